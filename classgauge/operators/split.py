@@ -4,8 +4,8 @@ Rows of a class are ordered by md5(seed:id) and cut at exact quotas. Ranking a
 whole class would put it in one task. Instead the leading hash digits cut every
 class into equal small buckets; bucket sizes tell which bucket holds each cut, and
 only that bucket's rows are ranked. What comes out is two (hash, id) limits per
-class, and the split of a row is a comparison with them: the wide rows are never
-shuffled.
+class, written once, and the split of a row is a comparison with them: the wide
+rows are never shuffled, and a table may be split anew for every reader.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from classgauge.session import written
+
 HASH_DIGITS = 4
 
 
@@ -65,7 +67,7 @@ def split_limits(df: DataFrame, key: str, label: str, seed: int = 42, **fraction
     rows = df.select(F.col(label).alias("label"), F.col(key).alias("key"))
     rows = rows.withColumn("hash", row_hash(F.col("key"), seed))
     rows = rows.withColumn("bucket", F.substring("hash", 1, HASH_DIGITS))
-    buckets = rows.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    buckets = written(rows.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
     quotas = split_quotas(buckets.groupBy("label").agg(F.sum("n").alias("n")), **fractions)
 
     # At most 16**HASH_DIGITS rows per class.
@@ -85,7 +87,7 @@ def split_limits(df: DataFrame, key: str, label: str, seed: int = 42, **fraction
         .select("label", "bucket", "slice", (F.col("last") - F.col("before")).alias("nth"))
     )
     in_bucket = W.partitionBy("label", "slice").orderBy("hash", "key")
-    return (
+    limits = (
         rows.join(F.broadcast(edges), ["label", "bucket"])
         .withColumn("rank", F.row_number().over(in_bucket))
         .filter(F.col("rank") == F.col("nth"))
@@ -94,6 +96,7 @@ def split_limits(df: DataFrame, key: str, label: str, seed: int = 42, **fraction
         .agg(F.max(F.struct("hash", "key")))
         .select("label", F.col("test").alias("_test_end"), F.col("val").alias("_val_end"))
     )
+    return written(limits, "limits")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, **fractions: float) -> DataFrame:

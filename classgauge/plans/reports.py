@@ -11,12 +11,10 @@ from classgauge.operators.compare import baseline_counts, mcnemar, paired_counts
 from classgauge.operators.metrics import (
     calibration_error,
     class_sums,
-    metric_cells,
     metric_row,
     per_class,
 )
-from classgauge.operators.roc import macro_auc_ovr
-from classgauge.session import written
+from classgauge.operators.roc import macro_auc_ovr, running_counts
 from classgauge.sources.tables import label_name
 
 # The rows of the overall table, in order.
@@ -46,9 +44,8 @@ def overall_metrics(cells: DataFrame) -> DataFrame:
     return _stacked(metric_row(cells).withColumn("ece_15bins", ece.scalar()), OVERALL)
 
 
-def detailed_metrics(scored: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(row, metric, value): the twelve overall numbers. Reads the scored rows once."""
-    cells = written(metric_cells(scored), "cells")
+def detailed_metrics(cells: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(row, metric, value): the twelve overall numbers. Pass written cells: they are read twice."""
     interval = bootstrap_macro_f1(cells, replicates, seed)
     shifted = _stacked(interval, INTERVAL).withColumn("row", F.col("row") + len(OVERALL))
     return overall_metrics(cells).unionByName(shifted).orderBy("row")
@@ -127,5 +124,6 @@ def baseline_report(scored: dict[str, DataFrame], with_p: bool = True) -> DataFr
 def pair_report(a: DataFrame, b: DataFrame, with_p: bool = True) -> DataFrame:
     """(auc_a, auc_b, b, c, chi2, p_value) of two models on the ids they share."""
     tested = mcnemar(paired_counts(a, b), with_p)
-    tested = tested.withColumn("auc_a", macro_auc_ovr(a).scalar()).withColumn("auc_b", macro_auc_ovr(b).scalar())
+    for name, table in (("auc_a", a), ("auc_b", b)):
+        tested = tested.withColumn(name, macro_auc_ovr(running_counts(table), table).scalar())
     return tested.select("auc_a", "auc_b", *[c for c in tested.columns if not c.startswith("auc_")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from classgauge.operators.logreg import search_and_fit
 from classgauge.operators.metrics import confusion_matrix, metric_cells, reliability
-from classgauge.operators.roc import auc_per_class, macro_auc_interpolated, roc_points
+from classgauge.operators.roc import auc_per_class, macro_auc_interpolated, roc_points, running_counts
 from classgauge.operators.split import stratified_split
 from classgauge.operators.textmodel import TextModel, audit_table, score_texts, with_prediction_columns
 from classgauge.plans.reports import (
@@ -46,24 +46,25 @@ def train_and_test(labelled: DataFrame, profile: str = "arabic", seed: int = 42)
 def evaluate(scored: DataFrame, name: str = "model") -> dict[str, DataFrame]:
     """All tables about a scored table (id, y, pred, probs)."""
     cells = written(metric_cells(scored), "cells")
+    runs = running_counts(scored)
     return {
-        "metrics": detailed_metrics(scored),
+        "metrics": detailed_metrics(cells),
         "record": evaluation_record(cells, name),
         "per_class": per_class_report(cells, CLASSES),
         "report": classification_report(cells),
         "confusion": confusion_matrix(cells, CLASSES),
         "reliability": reliability(cells),
-        "roc": roc_points(scored),
-        "auc": auc_per_class(scored),
-        "macro_auc": macro_auc_interpolated(scored),
+        "roc": roc_points(runs),
+        "auc": auc_per_class(runs),
+        "macro_auc": macro_auc_interpolated(runs),
         "baseline": baseline_report({name: cells}),
     }
 
 
 def write_evaluation(scored: DataFrame, out: str, text: str = "text", with_probs: bool = True) -> None:
     """Write the overall, per-class and prediction files."""
-    cells = metric_cells(scored)
-    write_report(detailed_metrics(scored), f"{out}/detailed_metrics")
+    cells = written(metric_cells(scored), "cells")
+    write_report(detailed_metrics(cells), f"{out}/detailed_metrics")
     write_report(per_class_report(cells, CLASSES).orderBy("class_id"), f"{out}/per_class_report")
     write_rows(audit_table(scored, text, with_probs), f"{out}/test_predictions")
 

@@ -44,3 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a plan; file sizes for a plain scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
