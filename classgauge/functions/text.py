@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from classgauge.functions.vectors import let
+
 # Code points removed, folded and kept by the Arabic profile.
 DIACRITICS = "".join(map(chr, [*range(0x0617, 0x061B), *range(0x064B, 0x0653)]))
 TATWEEL = "\u0640"
@@ -54,15 +56,18 @@ def tokens(clean: Column, profile: str = "arabic") -> Column:
 
 def unigrams_and_bigrams(tok: Column) -> Column:
     """All words, then each word joined to the next by one blank."""
-    n = F.size(tok) - 1
-    pairs = F.zip_with(F.slice(tok, F.lit(1), n), F.slice(tok, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(n > 0, F.concat(tok, pairs)).otherwise(tok)
+
+    def both(t: Column) -> Column:
+        n = F.size(t) - 1
+        pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(n > 0, F.concat(t, pairs)).otherwise(t)
+
+    return let(tok, both)
 
 
-def with_terms(df: DataFrame, text: str, profile: str = "arabic", out: str = "terms") -> DataFrame:
-    """Add the list of terms. Staged, so that the words are cut once per row."""
-    df = df.withColumn("_tokens", tokens(normalize(F.col(text), profile), profile))
-    return df.withColumn(out, unigrams_and_bigrams(F.col("_tokens"))).drop("_tokens")
+def terms(text: Column, profile: str = "arabic") -> Column:
+    """The list of terms of a raw text."""
+    return unigrams_and_bigrams(tokens(normalize(text, profile), profile))
 
 
 def parse_token_list(literal: Column) -> Column:

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` evaluated once per row.
+
+    Spark copies a column's expression to where the column is used, also into
+    lambdas and pushed-down filters, and would then evaluate it there each time.
+    A lambda argument is bound to its value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def argmax(scores: Column) -> Column:
     """Index of the largest entry; the first one on ties."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    return let(scores, lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,15 +39,16 @@ def linear(hidden: Column, weights: Column, bias: Column) -> Column:
     return F.zip_with(F.transform(weights, lambda row: dot(hidden, row)), bias, lambda z, b: z + b)
 
 
-def with_softmax(df: DataFrame, logits: str, out: str = "probs") -> DataFrame:
-    """Softmax shifted by the row maximum. Staged, so each power is taken once."""
-    return (
-        df.withColumn("_top", F.array_max(logits))
-        .withColumn("_exp", F.transform(logits, lambda z: F.exp(z - F.col("_top"))))
-        .withColumn("_sum", F.aggregate("_exp", F.lit(0.0), lambda s, e: s + e))
-        .withColumn(out, F.transform("_exp", lambda e: e / F.col("_sum")))
-        .drop("_top", "_exp", "_sum")
-    )
+def softmax(logits: Column) -> Column:
+    """Softmax shifted by the largest logit."""
+
+    def powers(z: Column) -> Column:
+        return let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(let(logits, powers), shares)
 
 
 def rounded(values: Column, digits: int) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from classgauge.functions.text import with_terms
+from classgauge.functions.text import terms
 from classgauge.session import work_path
 from classgauge.sources.tables import spread
 
@@ -33,6 +33,12 @@ DRIVER_BYTES = 256 << 20
 HOT_SHARE = 0.01
 
 
+def explode_terms(found: Column) -> Column:
+    """One row per term, a null one for none. A plain explode would make Spark add a
+    filter on the list's size, and cut every text into terms a second time for it."""
+    return F.explode_outer(found).alias("term")
+
+
 def term_counts(
     df: DataFrame, key: str, text: str, profile: str, carry: tuple[str, ...] = (), keep_empty: bool = False
 ) -> DataFrame:
@@ -42,16 +48,17 @@ def term_counts(
     later groups by key then happen in place; shuffling the exploded terms
     instead would move several times the text.
     """
-    rows = with_terms(df.select(key, *carry, text).repartition(key), text, profile)
-    explode = F.explode_outer if keep_empty else F.explode
-    rows = rows.select(key, *carry, explode("terms").alias("term"))
+    rows = df.select(key, *carry, text).repartition(key)
+    rows = rows.select(key, *carry, explode_terms(terms(F.col(text), profile)))
+    if not keep_empty:
+        rows = rows.filter(F.col("term").isNotNull())
     return rows.groupBy(key, *carry, "term").agg(F.count("term").alias("tf"))
 
 
 def document_frequency(df: DataFrame, text: str, profile: str) -> DataFrame:
     """(term, df): in how many texts a term occurs."""
-    rows = with_terms(df.select(text), text, profile)
-    return rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = df.select(explode_terms(F.array_distinct(terms(F.col(text), profile))))
+    return rows.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def smooth_idf(df: Column, n_docs: int) -> Column:
@@ -169,22 +176,22 @@ def driver_terms(vocabulary: Vocabulary, spark: SparkSession) -> tuple[list[str]
     """Terms and IDFs in index order, on the driver; refused past DRIVER_BYTES."""
     if not vocabulary.fits_driver():
         raise ValueError(f"vocabulary of {vocabulary.n_bytes} bytes is too large for the driver; use the long form")
-    rows = vocabulary.table(spark).orderBy("term_idx").select("term", "idf").toPandas()
-    return rows["term"].tolist(), rows["idf"].tolist()
+    rows = vocabulary.table(spark).orderBy("term_idx").select("term", "idf").toArrow()
+    return rows["term"].to_pylist(), rows["idf"].to_pylist()
 
 
-def with_count_arrays(df: DataFrame, text: str, profile: str, terms: list[str]) -> DataFrame:
+def with_count_arrays(df: DataFrame, text: str, profile: str, known: list[str]) -> DataFrame:
     """Add ``_idx`` and ``_tf``: the known terms of a text and their counts, by index."""
-    vectorizer = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_counts")
-    counted = vectorizer.transform(with_terms(df, text, profile, "_terms")).withColumn("_counts", F.unwrap_udt("_counts"))
+    vectorizer = CountVectorizerModel.from_vocabulary(known, inputCol="_terms", outputCol="_counts")
+    counted = vectorizer.transform(df.withColumn("_terms", terms(F.col(text), profile))).withColumn("_counts", F.unwrap_udt("_counts"))
     return counted.withColumn("_idx", F.col("_counts.indices")).withColumn("_tf", F.col("_counts.values")).drop("_terms", "_counts")
 
 
 def tfidf_vectors(df: DataFrame, text: str, profile: str, vocabulary: Vocabulary) -> DataFrame:
     """Add ``features``, the TF-IDF vector of a text. No shuffle and no Python."""
-    terms, idf = driver_terms(vocabulary, df.sparkSession)
-    rows = with_count_arrays(df, text, profile, terms)
-    rows = rows.withColumn("_raw", as_vector(F.lit(len(terms)), F.col("_idx"), F.transform("_tf", sublinear_tf)))
+    known, idf = driver_terms(vocabulary, df.sparkSession)
+    rows = with_count_arrays(df, text, profile, known)
+    rows = rows.withColumn("_raw", as_vector(F.lit(len(known)), F.col("_idx"), F.transform("_tf", sublinear_tf)))
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_raw", outputCol="_scaled").transform(rows)
     unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="features").transform(scaled)
     return unit.drop("_idx", "_tf", "_raw", "_scaled")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classgauge.functions.vectors import argmax, linear, with_softmax
+from classgauge.functions.vectors import argmax, linear, softmax
 
 
 def centroid_head(df: DataFrame, vector: str, label: str, scale: float = 1.0) -> DataFrame:
@@ -42,4 +42,4 @@ def score_vectors(df: DataFrame, vector: str, head: DataFrame) -> DataFrame:
     """
     df = df.withColumn("_head", head_row(head).scalar())
     df = df.withColumn("logits", linear(F.col(vector), F.col("_head.w"), F.col("_head.b"))).drop("_head")
-    return with_softmax(df, "logits").withColumn("pred", argmax(F.col("probs")))
+    return df.withColumn("probs", softmax(F.col("logits"))).withColumn("pred", argmax(F.col("probs")))

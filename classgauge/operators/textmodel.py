@@ -14,9 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classgauge.functions.vectors import argmax, with_softmax
+from classgauge.functions.vectors import argmax, softmax
 from classgauge.operators.features import (
-    BROADCAST_BYTES,
     DRIVER_BYTES,
     Vocabulary,
     join_terms,
@@ -138,10 +137,9 @@ def term_logits(df: DataFrame, key: str, text: str, model: TextModel) -> DataFra
 
 def _row_logits(spark: SparkSession, model: TextModel):
     """Terms in index order and an Arrow function (indices, counts) -> logits."""
-    rows = model.table(spark).orderBy("term_idx").select("term", "idf", "w").toPandas()
-    shared = spark.sparkContext.broadcast(
-        (rows["idf"].to_numpy(), np.vstack(rows["w"].to_numpy()), np.array(model.intercepts), model.weighting)
-    )
+    rows = model.table(spark).orderBy("term_idx").select("term", "idf", "w").toArrow()
+    weights = np.array(rows["w"].combine_chunks().flatten()).reshape(len(rows), model.n_classes)
+    shared = spark.sparkContext.broadcast((np.array(rows["idf"]), weights, np.array(model.intercepts), model.weighting))
 
     @F.pandas_udf("array<double>")
     def logits(indices: pd.Series, counts: pd.Series) -> pd.Series:
@@ -161,7 +159,7 @@ def _row_logits(spark: SparkSession, model: TextModel):
             z[full] /= np.sqrt(np.add.reduceat(x * x, starts))[:, None]
         return pd.Series(list(z + bias))
 
-    return rows["term"].tolist(), logits
+    return rows["term"].to_pylist(), logits
 
 
 def score_texts(df: DataFrame, text: str, model: TextModel, key: str | None = None) -> DataFrame:
@@ -180,7 +178,7 @@ def score_texts(df: DataFrame, text: str, model: TextModel, key: str | None = No
     else:
         rows = df.join(term_logits(df, key, text, model), key)
     rows = rows.withColumn("logits", F.when(F.col(text).isNotNull(), F.col("logits")))
-    return with_softmax(rows, "logits").withColumn("pred", argmax(F.col("probs")))
+    return rows.withColumn("probs", softmax(F.col("logits"))).withColumn("pred", argmax(F.col("probs")))
 
 
 def with_prediction_columns(scored: DataFrame) -> DataFrame:

@@ -97,12 +97,12 @@ CENTROID: Chain = WEIGHTS + SIZES + (
     ("b", f"SELECT c, -0.5 * sum(m * m) * {TEXT_SCALE} AS b FROM means GROUP BY c"),
 )
 BAYES: Chain = TERMS + SIZES + (
-    ("sums", "SELECT label AS c, term_idx, sum(tf) AS s FROM tf JOIN vocab USING (term) WHERE split = 'train' GROUP BY ALL"),
-    ("totals", "SELECT c, sum(s) + (SELECT count(*) FROM vocab) AS t FROM sums GROUP BY c"),
+    ("tsums", "SELECT label AS c, term_idx, sum(tf) AS s FROM tf JOIN vocab USING (term) WHERE split = 'train' GROUP BY ALL"),
+    ("totals", "SELECT c, sum(s) + (SELECT count(*) FROM vocab) AS t FROM tsums GROUP BY c"),
     (
         "w",
         "SELECT c, term_idx, ln((coalesce(s, 0) + 1)::DOUBLE) - ln(t::DOUBLE) AS w"
-        " FROM (SELECT c, t, term_idx FROM totals, vocab) LEFT JOIN sums USING (c, term_idx)",
+        " FROM (SELECT c, t, term_idx FROM totals, vocab) LEFT JOIN tsums USING (c, term_idx)",
     ),
     ("b", "SELECT c, ln((n + 1)::DOUBLE) - ln((sum(n) OVER () + 3)::DOUBLE) AS b FROM sizes"),
 )

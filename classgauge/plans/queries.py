@@ -217,7 +217,7 @@ def bayes_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_class(scored: DataFrame, column: str, out: str, *keep: str) -> DataFrame:
-    return scored.select(*keep, "id", F.posexplode(column).alias("class_id", out))
+    return scored.select(*keep, "id", F.posexplode_outer(column).alias("class_id", out))
 
 
 # Sources.
@@ -284,7 +284,7 @@ def arabic_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _term_digest(rows: DataFrame, profile: str) -> DataFrame:
-    rows = tx.with_terms(tables.spread(rows, "id"), "text", profile)
+    rows = tables.spread(rows, "id").withColumn("terms", tx.terms(F.col("text"), profile))
     return rows.select("id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join("terms", "|")).alias("terms_md5"))
 
 
