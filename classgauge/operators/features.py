@@ -180,10 +180,20 @@ def driver_terms(vocabulary: Vocabulary, spark: SparkSession) -> tuple[list[str]
     return rows["term"].to_pylist(), rows["idf"].to_pylist()
 
 
+def _count_vectorizer(spark: SparkSession, known: list[str]) -> CountVectorizerModel:
+    """``CountVectorizerModel.from_vocabulary``, with the terms handed over in one piece.
+
+    That method passes them to the JVM one call each: minutes for a million.
+    """
+    sc = spark.sparkContext
+    array = sc._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(known))  # no term holds a line break
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", array)
+    return model.setInputCol("_terms").setOutputCol("_counts")
+
+
 def with_count_arrays(df: DataFrame, text: str, profile: str, known: list[str]) -> DataFrame:
     """Add ``_idx`` and ``_tf``: the known terms of a text and their counts, by index."""
-    vectorizer = CountVectorizerModel.from_vocabulary(known, inputCol="_terms", outputCol="_counts")
-    counted = vectorizer.transform(df.withColumn("_terms", terms(F.col(text), profile))).withColumn("_counts", F.unwrap_udt("_counts"))
+    counted = _count_vectorizer(df.sparkSession, known).transform(df.withColumn("_terms", terms(F.col(text), profile))).withColumn("_counts", F.unwrap_udt("_counts"))
     return counted.withColumn("_idx", F.col("_counts.indices")).withColumn("_tf", F.col("_counts.values")).drop("_terms", "_counts")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from classgauge.functions.text import parse_token_list, strip_blanks
-from classgauge.session import estimated_bytes
+from classgauge.session import input_bytes
 
 # The closed set of annotations.
 LABEL_IDS = {"NEG": 0, "POS": 1, "NEU": 2}
@@ -36,7 +36,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if estimated_bytes(df) < split_bytes * cores else df
+    return df.repartition(cores, key) if input_bytes(df) < split_bytes * cores else df
 
 
 def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
