@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from classgauge.functions.vectors import argmax, softmax
 from classgauge.operators.features import (
@@ -28,6 +29,9 @@ from classgauge.session import work_path
 from classgauge.sources.tables import LABEL_IDS, label_name
 
 
+BLOCK_ROWS = 512
+
+
 @dataclass(frozen=True)
 class TextModel:
     path: str
@@ -141,23 +145,26 @@ def _row_logits(spark: SparkSession, model: TextModel):
     weights = np.array(rows["w"].combine_chunks().flatten()).reshape(len(rows), model.n_classes)
     shared = spark.sparkContext.broadcast((np.array(rows["idf"]), weights, np.array(model.intercepts), model.weighting))
 
-    @F.pandas_udf("array<double>")
-    def logits(indices: pd.Series, counts: pd.Series) -> pd.Series:
+    def block_logits(indices: pd.Series, counts: pd.Series) -> np.ndarray:
         idf, weights, bias, weighting = shared.value
+        z = np.zeros((len(indices), len(bias)))
         sizes = indices.map(len).to_numpy()
-        if not sizes.sum():
-            return pd.Series([bias] * len(indices))
-        idx, x = np.concatenate(indices.to_numpy()), np.concatenate(counts.to_numpy())
-        if weighting == "tfidf":
-            x = (1.0 + np.log(x)) * idf[idx]
-        # Sums over each row's stretch; an empty stretch would repeat its neighbour.
+        # Sums over each row's stretch; rows without a term have none.
         full = np.flatnonzero(sizes)
-        starts = np.concatenate(([0], np.cumsum(sizes)))[full]
-        z = np.zeros((len(sizes), len(bias)))
-        z[full] = np.add.reduceat(x[:, None] * weights[idx], starts, axis=0)
-        if weighting == "tfidf":
-            z[full] /= np.sqrt(np.add.reduceat(x * x, starts))[:, None]
-        return pd.Series(list(z + bias))
+        if len(full):
+            idx, x = np.concatenate(indices.to_numpy()), np.concatenate(counts.to_numpy())
+            if weighting == "tfidf":
+                x = (1.0 + np.log(x)) * idf[idx]
+            starts = np.concatenate(([0], np.cumsum(sizes)))[full]
+            z[full] = np.add.reduceat(x[:, None] * weights[idx], starts, axis=0)
+            if weighting == "tfidf":
+                z[full] /= np.sqrt(np.add.reduceat(x * x, starts))[:, None]
+        return z + bias
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def logits(indices: pd.Series, counts: pd.Series) -> pd.Series:
+        blocks = range(0, len(indices), BLOCK_ROWS)
+        return pd.Series([z for i in blocks for z in block_logits(indices[i : i + BLOCK_ROWS], counts[i : i + BLOCK_ROWS])])
 
     return rows["term"].to_pylist(), logits
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from classgauge.functions.text import parse_token_list, strip_blanks
-from classgauge.session import input_bytes
+from classgauge.session import input_bytes, written
 
 # The closed set of annotations.
 LABEL_IDS = {"NEG": 0, "POS": 1, "NEU": 2}
@@ -62,7 +62,9 @@ def read_new_texts(
 ) -> tuple[DataFrame, DataFrame]:
     """Read a CSV of new texts: (good rows, rows the reader could not parse).
 
-    Unreadable rows are reported, not raised. Without a schema the header names
+    Unreadable rows are reported, not raised. The file is parsed once, in full, into
+    the shared folder: a reader that asks for fewer columns would parse fewer, and
+    miss the breaks in the others. Without a schema the header names
     string columns. Quoted line breaks need ``multi_line``, which makes each
     file one task: write many files, or turn it off where no cell has a break.
     """
@@ -78,8 +80,7 @@ def read_new_texts(
         .schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())]))
         .csv(path)
     )
-    # The parser skips columns nobody asks for, and with them their errors; keeping
-    # the record column in a filter over all columns makes both sides parse alike.
+    rows = written(rows, "csv")
     good = rows.filter(F.col(bad).isNull()).select(*schema.names)
     return good.withColumn(text_column, F.col(text_column).cast("string")), rows.filter(F.col(bad).isNotNull())
 
