@@ -189,3 +189,32 @@ def test_top_terms(spark):
     top = introspect.top_terms(long, "id", 2).orderBy("id", "rank").collect()
     assert [r["feature_name"] for r in top if r["id"] == 1] == ["a", "a b"]
     assert {r["id"] for r in top} == {1, 2, 4}
+
+
+def test_wide_fit_nears_the_optimum(spark, labelled, monkeypatch):
+    """Weights in tables, with hot terms apart: same objective as the driver-side solver."""
+    from classgauge.operators import logreg_wide
+
+    monkeypatch.setattr(logreg_wide, "HOT_SHARE", 0.3)
+    train = labelled.filter("split = 'train'")
+    vocab = features.fit_vocabulary(train, "text", "generic")
+    vectors = logreg.training_table(train, "text", "label", "generic", vocab)
+    (exact,) = logreg.fit_strengths(vectors, (1.0,), 3, 1e-9)
+    model = logreg_wide.fit_wide(train, vocab, profile="generic", strength=1.0, max_iter=8, tol=1e-5)
+    X, y = arrays(vectors)
+    W = np.vstack([r["w"] for r in model.table(spark).orderBy("term_idx").select("w").collect()]).T
+    best = objective(exact.coefficientMatrix.toArray(), exact.interceptVector.toArray(), X, y, 1.0)
+    assert best - 1e-6 <= objective(W, np.array(model.intercepts), X, y, 1.0) <= best * 1.01
+
+
+def test_wide_search_is_used_past_the_bound(spark, labelled, monkeypatch):
+    monkeypatch.setattr(logreg, "MAX_WEIGHTS", 0)
+    monkeypatch.setattr(logreg, "MAX_ITER", 1)
+    train = labelled.filter("split = 'train'")
+    vocab = features.fit_vocabulary(train, "text", "generic")
+    with pytest.raises(ValueError, match="too many"):
+        logreg.fit_strengths(logreg.training_table(train, "text", "label", "generic", vocab), (1.0,), 3, 1e-4)
+    grid = logreg.grid_search_wide(labelled, vocab, "text", "label", "generic", (0.1, 10.0)).collect()
+    assert {r["C"] for r in grid} == {0.1, 10.0} and all(r["accuracy"] > 0.5 for r in grid)
+    model = logreg.fit_logreg(labelled, profile="generic")
+    assert textmodel.score_texts(labelled, "text", model).filter("pred = label").count() > 75
