@@ -318,6 +318,23 @@ LINES: Chain = (
     ("long", "SELECT id, unnest(ls) AS line, (generate_subscripts(ls, 1) - 1)::INT AS line_no FROM cut"),
     ("bare", f"SELECT id, line_no, regexp_replace(line, '^{STRIP}+|{STRIP}+$', '', 'g') AS line FROM long"),
 )
+# Each line under naive Bayes.
+LINE_SCORES = BAYES + (
+    ("lines", "SELECT id, line_no, line FROM (" + _sql(LINES, "SELECT * FROM bare WHERE line <> ''") + ")"),
+    ("ltok", f"SELECT id, line_no, {TOKENS.replace('text', 'line')} AS tok FROM lines"),
+    ("lexp", f"SELECT id, line_no, unnest({BIGRAMS}) AS term FROM ltok"),
+    ("ldot", "SELECT id, line_no, c, sum(w) AS d FROM lexp JOIN vocab USING (term) JOIN w USING (term_idx) GROUP BY ALL"),
+    (
+        "lz",
+        "SELECT id, line_no, c, coalesce(d, 0) + b AS z FROM (SELECT id, line_no, c, b FROM lines, b) LEFT JOIN ldot USING (id, line_no, c)",
+    ),
+    ("le", "SELECT *, exp(z - max(z) OVER (PARTITION BY id, line_no)) AS e FROM lz"),
+    ("lp", "SELECT id, line_no, c, e / sum(e) OVER (PARTITION BY id, line_no) AS p FROM le"),
+    (
+        "lscored",
+        "SELECT id, line_no, list(p ORDER BY c) AS probs, list_position(list(p ORDER BY c), max(p)) - 1 AS pred FROM lp GROUP BY ALL",
+    ),
+)
 VECTOR_DIGEST = (
     "SELECT p.id, (SELECT count(*) FROM vocab) AS size, count(term_idx) AS n_terms, coalesce(sum(term_idx), 0)::BIGINT AS index_sum,"
     f" {_r('coalesce(sum(weight), 0)')} AS total FROM parts p {{0}} JOIN weights USING (id) GROUP BY p.id"
@@ -345,6 +362,7 @@ ORACLES: dict[str, str] = {
     ),
     "label_names": _sql(LABELLED, f"SELECT id, {NAME.format('label')} AS label_name FROM base"),
     "input_preview": _sql(RAW, "SELECT id, text, annotation FROM raw ORDER BY id LIMIT 10"),
+    "column_as_text": "SELECT conv_id, turn, turn::VARCHAR AS text FROM conversations",
     "arabic_normalized": _sql(ARABIC_CLEAN, "SELECT id, t AS clean FROM t6"),
     "arabic_terms": _sql(ARABIC_CLEAN, DIGEST),
     "generic_terms": _sql(GENERIC, DIGEST),
@@ -376,6 +394,11 @@ ORACLES: dict[str, str] = {
     "scored_new_texts": _sql(NEW_TEXTS, NEW_SCORED.format("")),
     "scored_new_texts_by_join": _sql(NEW_TEXTS, f"SELECT id, c::INT AS class_id, {_r('z')} AS logit FROM lp"),
     "scored_csv_written": _sql(NEW_TEXTS, NEW_SCORED.format("md5(text) AS text_md5, ")),
+    "scored_lines": _sql(
+        LINE_SCORES,
+        f"SELECT id, line_no, {NAME.format('pred')} AS \"Pred_Label\", {_r('probs[1]')} AS \"Prob_NEG\","
+        f" {_r('probs[2]')} AS \"Prob_POS\", {_r('probs[3]')} AS \"Prob_NEU\" FROM lscored",
+    ),
     "prediction_audit": _sql(
         CENTROID_SCORED,
         f"SELECT md5(text) AS text, y AS true_label_id, {NAME.format('y')} AS true_label, pred::INT AS pred_label_id,"

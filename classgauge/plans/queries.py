@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from classgauge.functions import text as tx
 from classgauge.functions.vectors import rounded
 from classgauge.operators import bootstrap, compare, features, heads, introspect, logreg, metrics, roc, split, textmodel
-from classgauge.plans import reports
+from classgauge.plans import reports, workbench
 from classgauge.session import work_path, written
 from classgauge.sources import sinks, tables
 
@@ -274,6 +274,11 @@ def input_preview(spark: SparkSession, sf: str) -> DataFrame:
     return tables.preview(rows, ["id", "text", "annotation"], "id")
 
 
+@query
+def column_as_text(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.as_text(table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").alias("text")), "text")
+
+
 # Text.
 
 
@@ -449,6 +454,12 @@ def scored_csv_written(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_row(back.withColumn("text_md5", F.md5("text")).drop("text"))
 
 
+@query
+def scored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables.spread(documents(spark, sf), "id")
+    return rounded_row(workbench.score_lines(rows, "id", "text", bayes_model(spark, sf)).drop("line"))
+
+
 @query
 def prediction_audit(spark: SparkSession, sf: str) -> DataFrame:
     audit = textmodel.audit_table(centroid_scored(spark, sf))

@@ -71,6 +71,11 @@ def evaluation_record(cells: DataFrame, name: str) -> DataFrame:
     )
 
 
+def record_view(record: DataFrame) -> DataFrame:
+    """A record without its bulky fields."""
+    return record.drop("y_pred", "report")
+
+
 def quick_metrics(rows: DataFrame, logits: str = "logits", label: str = "y") -> DataFrame:
     """Accuracy and macro-F1 straight from logits."""
     guessed = rows.select(F.col(label).alias("y"), argmax(F.col(logits)).alias("pred"))

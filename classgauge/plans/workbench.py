@@ -21,7 +21,7 @@ from classgauge.plans.reports import (
 )
 from classgauge.session import written
 from classgauge.sources.sinks import write_report, write_rows
-from classgauge.sources.tables import LABEL_IDS, read_new_texts, require_column
+from classgauge.sources.tables import LABEL_IDS, lines_to_rows, read_new_texts, require_column
 
 CLASSES = sorted(LABEL_IDS.values())
 
@@ -69,6 +69,12 @@ def write_evaluation(scored: DataFrame, out: str, text: str = "text", with_probs
     write_rows(audit_table(scored, text, with_probs), f"{out}/test_predictions")
 
 
+def score_lines(df: DataFrame, key: str, text: str, model: TextModel) -> DataFrame:
+    """Score every non-blank line of a text: (key, line_no, line, Pred_Label, Prob_..)."""
+    lines = lines_to_rows(df, key, text).withColumn("_line", F.concat_ws(":", key, "line_no"))
+    return with_prediction_columns(score_texts(lines, "line", model, "_line")).drop("_line")
+
+
 def score_csv(
     spark: SparkSession, path: str, out: str, model: TextModel, text_column: str = "text", key: str | None = None
 ) -> DataFrame:

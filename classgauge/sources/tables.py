@@ -82,7 +82,12 @@ def read_new_texts(
     )
     rows = written(rows, "csv")
     good = rows.filter(F.col(bad).isNull()).select(*schema.names)
-    return good.withColumn(text_column, F.col(text_column).cast("string")), rows.filter(F.col(bad).isNotNull())
+    return as_text(good, text_column), rows.filter(F.col(bad).isNotNull())
+
+
+def as_text(df: DataFrame, column: str) -> DataFrame:
+    """The column as strings; a missing value stays missing."""
+    return df.withColumn(column, F.col(column).cast("string"))
 
 
 def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:

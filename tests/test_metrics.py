@@ -202,5 +202,7 @@ def test_reports(spark):
     text = reports.report_text(report)
     assert "macro avg" in text and f"{(y == pred).mean():.2f}" in text
     record = reports.evaluation_record(cells, "m").drop("name").first().asDict()
+    full = spark.createDataFrame([("m", 1.0, [1], "r")], "name string, accuracy double, y_pred array<int>, report string")
+    assert reports.record_view(full).columns == ["name", "accuracy"]
     quick = reports.quick_metrics(table.withColumn("logits", F.col("probs"))).first()
     assert quick["f1_macro"] == pytest.approx(record["macro_f1"]) and quick["accuracy"] == pytest.approx(record["accuracy"])
