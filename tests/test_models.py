@@ -218,3 +218,29 @@ def test_wide_search_is_used_past_the_bound(spark, labelled, monkeypatch):
     assert {r["C"] for r in grid} == {0.1, 10.0} and all(r["accuracy"] > 0.5 for r in grid)
     model = logreg.fit_logreg(labelled, profile="generic")
     assert textmodel.score_texts(labelled, "text", model).filter("pred = label").count() > 75
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_texts_are_shuffled_once(spark, labelled):
+    """Counting, weighing and summing per text all use the one exchange of the raw text."""
+    train = labelled.filter("split = 'train'")
+    vocab = features.fit_vocabulary(train, "text", "generic")
+    model = textmodel.fit_centroid(train, "id", "text", "label", vocab, "generic")
+    rows = spark.createDataFrame(DOCS, "id long, text string")
+    counts = features.term_counts(rows, "id", "text", "generic")
+    assert exchanges(counts) == 1
+    assert exchanges(features.tfidf_long(counts, "id", vocab)) == 1
+    assert exchanges(features.vectors_from_long(features.tfidf_long(counts, "id", vocab), "id", vocab.n_terms)) == 1
+    assert exchanges(textmodel.term_logits(rows, "id", "text", model)) == 1
+    assert exchanges(introspect.top_terms(features.tfidf_long(counts, "id", vocab), "id")) == 1
+
+
+def test_words_are_cut_once(spark):
+    """No filter repeats the tokeniser."""
+    rows = spark.createDataFrame(DOCS, "id long, text string")
+    for df in (features.term_counts(rows, "id", "text", "generic"), features.document_frequency(rows, "text", "generic")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
