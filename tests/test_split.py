@@ -56,3 +56,27 @@ def test_guards(spark, sizes):
 def test_fit_rows(spark):
     parts = split.stratified_split(make(spark, {0: 40, 1: 40}), "id", "label")
     assert split.fit_rows(parts).count() == 64
+
+
+class _Unset:
+    """A session whose shared folder is not set."""
+
+    def __init__(self, master):
+        self.conf = self
+        self.sparkContext = self
+        self.master = master
+
+    def get(self, key, default):
+        return default
+
+
+def test_shared_folder(spark):
+    from classgauge.session import work_path
+
+    assert spark.conf.get("spark.no.such.setting", None) is None
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    assert base is None or work_path(spark, "x").startswith(base)
+    local = work_path(_Unset("local[2]"), "x")
+    assert "/classgauge-" in local and work_path(_Unset("local[2]"), "x") != local
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_path(_Unset("spark://host:7077"), "x")
