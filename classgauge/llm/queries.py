@@ -17,6 +17,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(_table(spark, folder, "documents"))
 
 
+ORACLES: dict[str, str] = {}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op8_ngram_jaccard_join,)
 }
