@@ -16,7 +16,7 @@ from classgauge.llm.words import LOWER, owners, per_text, runs, span_hashes, tex
 from classgauge.session import input_bytes, written
 
 KEY_BITS = 48  # of a shingle's hash; equal ones count as the same shingle
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_TEXTS = 1 << 16
 PART_BYTES = 4 << 20
 SIDE = 2048  # members of a block when a mixed bucket is verified

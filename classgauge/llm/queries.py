@@ -5,14 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from classgauge.llm.bpe import bpe_decode, bpe_encode
 from classgauge.llm.jaccard import shingle_components
+from classgauge.llm.tokencount import token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op7_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = _vocabulary("byte_bpe_50k.json")
+    coded = bpe_decode(bpe_encode(_table(spark, folder, "documents"), vocabulary), vocabulary)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(_table(spark, folder, "documents"))
 
@@ -20,5 +45,5 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_ngram_jaccard_join,)
+    f.__name__: f for f in (op1_token_counts, op7_bpe_coding, op8_ngram_jaccard_join)
 }
