@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from classgauge.llm.words import distinct_spans, owners, runs, text_chunks
 from classgauge.session import input_bytes
 
-BLOCK_BYTES = 8 << 20
-PART_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
+BLOCK_TEXTS = 1 << 16
+PART_BYTES = 16 << 20
 
 _PACKED = pa.schema([
     ("bucket", pa.int32()), ("block", pa.string()), ("words", pa.list_(pa.binary())), ("spread", pa.binary()),
@@ -26,6 +27,18 @@ _PARTS = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("pieces", pa
 _COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def _short(values: np.ndarray) -> bytes:
+    """Small numbers, a byte each; those over 254 follow in full."""
+    large = values > 254
+    return np.where(large, 255, values).astype(np.uint8).tobytes() + values[large].astype(np.int64).tobytes()
+
+
+def _long(blob: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    values[values == 255] = np.frombuffer(blob, np.int64, offset=n)
+    return values
+
+
 def _frequencies(buckets: int):
     """Of each block of texts: its distinct pre-tokens, dealt by hash, with the texts that have them and how often."""
 
@@ -34,23 +47,23 @@ def _frequencies(buckets: int):
 
         for batch in batches:
             ids = batch.column(0)
-            for texts in text_chunks(batch.column(1), BLOCK_BYTES):
+            for texts in text_chunks(batch.column(1), BLOCK_BYTES, BLOCK_TEXTS):
                 block, rows = uuid.uuid4().hex, []
                 starts, ends, firsts = texts.edges()
-                words, number = distinct_spans(texts.data, starts, ends)
+                words, number, _ = distinct_spans(texts.data, starts, ends)
                 places = np.array([xxhash.xxh64_intdigest(w) % buckets for w in words], np.int64)
                 order = np.argsort(places, kind="stable")  # words by bucket
                 rank = np.empty(len(words), np.int64)
                 rank[order] = np.arange(len(words))
                 pairs, counts = runs(np.sort(rank[number] << np.int64(32) | owners(firsts)))
-                word, doc = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
+                word, doc = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint16)
                 cuts = np.searchsorted(places[order], np.arange(buckets + 1))
                 spots = np.searchsorted(word, cuts)
                 for b in np.flatnonzero(np.diff(cuts)):
                     lo, hi = cuts[b], cuts[b + 1]
                     at = slice(spots[b], spots[b + 1])
-                    spread = np.bincount(word[at] - lo, minlength=hi - lo).astype(np.uint32)
-                    rows.append((int(b), block, [words[i] for i in order[lo:hi]], spread.tobytes(), doc[at].tobytes(), counts[at].astype(np.uint32).tobytes(), None, None))
+                    spread = np.bincount(word[at] - lo, minlength=hi - lo) - 1  # each word has a text
+                    rows.append((int(b), block, [words[i] for i in order[lo:hi]], spread.astype(np.uint16).tobytes(), doc[at].tobytes(), _short(counts[at] - 1), None, None))
                 own = ids.slice(texts.first, len(texts)).to_pylist()
                 rows.append((hash(block) % buckets, block, None, None, None, None, own, np.diff(texts.offsets).tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
@@ -69,12 +82,12 @@ def _pieces(vocabulary: str):
         sizes = size[every.indices.to_numpy(zero_copy_only=False)] if len(every) else size
         out, at = [], 0
         for i, w in lists:
-            per_pair = np.repeat(sizes[at : at + len(w)], np.frombuffer(rows["spread"][i], np.uint32))
+            per_pair = np.repeat(sizes[at : at + len(w)], np.frombuffer(rows["spread"][i], np.uint16).astype(np.int64) + 1)
             at += len(w)
-            docs = np.frombuffer(rows["docs"][i], np.uint32)
-            total = np.bincount(docs, weights=per_pair * np.frombuffer(rows["counts"][i], np.uint32)).astype(np.int64)
+            docs = np.frombuffer(rows["docs"][i], np.uint16)
+            total = np.bincount(docs, weights=per_pair * (_long(rows["counts"][i], len(docs)) + 1)).astype(np.int64)
             held = np.flatnonzero(total)
-            out.append((rows["block"][i], held.astype(np.uint32).tobytes(), total[held].tobytes(), None, None))
+            out.append((rows["block"][i], held.astype(np.uint16).tobytes(), _short(total[held]), None, None))
         out += [(b, None, None, i, n) for b, i, n in zip(rows["block"], rows["ids"], rows["bytes"], strict=True) if i is not None]
         return pa.table([pa.array(v, t) for v, t in zip(zip(*out, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
 
@@ -107,7 +120,8 @@ def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(len(ids), np.int64)
     for docs, pieces in zip(rows["docs"], rows["pieces"], strict=True):
         if docs is not None:
-            total[np.frombuffer(docs, np.uint32)] += np.frombuffer(pieces, np.int64)
+            spots = np.frombuffer(docs, np.uint16)
+            total[spots] += _long(pieces, len(spots))
     return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total)], schema=_COUNTED)
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,8 +48,8 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The texts of a column in pieces of about ``limit`` bytes; a text is never divided."""
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 16) -> Iterator[Texts]:
+    """The texts of a column in pieces of about ``limit`` bytes and at most ``most`` texts; a text is never divided."""
     column = pc.fill_null(pc.cast(column, pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -59,7 +60,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        to = min(to, len(column))
+        to = min(to, at + most, len(column))
         part = offsets[at : to + 1]
         yield Texts(data[part[0] : part[-1]], part - part[0], at)
         at = to
@@ -84,13 +85,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, by differences of one running polynomial sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = len(data)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _powers(size, _BASE), out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers(size, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans, which are in order: differences of a running polynomial sum.
+
+    Works in pieces of about a megabyte, so that the sums stay small whatever the texts' size.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE_BYTES, "right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[data[low:high]] * _powers(high - low, _BASE), out=total[1:])
+        first, last = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((total[last] - total[first]) * _powers(high - low + 1, _INVERSE)[first] + (last - first).astype(np.uint64))
+        at = to
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -124,12 +133,19 @@ def per_text(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return total[firsts[1:]] - total[firsts[:-1]]
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct byte strings of the spans, and for each span the number of its string.
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct byte strings of the spans, and for each span the number of its string; then a span of each.
 
     Spans are told apart by 64-bit hashes, so two strings of one chunk are taken for one
     with a chance of about the square of their number over 2^65 (1e-8 for a million).
     """
-    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes = span_hashes(data, starts, ends)
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(ranked), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
     raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], number
+    return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], number, first
