@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from classgauge.llm.bpe import bpe_decode, bpe_encode
 from classgauge.llm.jaccard import shingle_components
+from classgauge.llm.linedup import dedup_lines
+from classgauge.llm.perplexity import quality_verdicts
+from classgauge.llm.templates import template_leaks
 from classgauge.llm.tokencount import token_counts
 
 
@@ -27,6 +30,16 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_verdicts(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "low", "high"
+    )
+
+
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return template_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = _vocabulary("byte_bpe_50k.json")
     coded = bpe_decode(bpe_encode(_table(spark, folder, "documents"), vocabulary), vocabulary)
@@ -42,8 +55,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(_table(spark, folder, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_deleted_lines", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op7_bpe_coding, op8_ngram_jaccard_join)
+    f.__name__: f for f in (op1_token_counts, op4_quality_rules, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op10_line_dedup)
 }
