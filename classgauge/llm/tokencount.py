@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classgauge.llm.words import distinct_spans, owners, runs, text_chunks
+from classgauge.llm.words import LOWER, distinct_spans, owners, runs, text_chunks
 from classgauge.session import input_bytes
 
 BLOCK_BYTES = 24 << 20
@@ -19,10 +20,10 @@ BLOCK_TEXTS = 1 << 16
 PART_BYTES = 16 << 20
 
 _PACKED = pa.schema([
-    ("bucket", pa.int32()), ("block", pa.string()), ("words", pa.list_(pa.binary())), ("spread", pa.binary()),
+    ("bucket", pa.int32()), ("block", pa.string()), ("marked", pa.bool_()), ("words", pa.list_(pa.binary())), ("spread", pa.binary()),
     ("docs", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())),
 ])
-_PACKED_DDL = "bucket int, block string, words array<binary>, spread binary, docs binary, counts binary, ids array<long>, bytes array<long>"
+PACKED_DDL = "bucket int, block string, marked boolean, words array<binary>, spread binary, docs binary, counts binary, ids array<long>, bytes array<long>"
 _PARTS = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("pieces", pa.binary()), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64()))])
 _COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -39,34 +40,35 @@ def _long(blob: bytes, n: int) -> np.ndarray:
     return values
 
 
-def _frequencies(buckets: int):
+def frequencies(buckets: int, lower: bool = False):
     """Of each block of texts: its distinct pre-tokens, dealt by hash, with the texts that have them and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            ids = batch.column(0)
-            for texts in text_chunks(batch.column(1), BLOCK_BYTES, BLOCK_TEXTS):
-                block, rows = uuid.uuid4().hex, []
-                starts, ends, firsts = texts.edges()
-                words, number, _ = distinct_spans(texts.data, starts, ends)
-                places = np.array([xxhash.xxh64_intdigest(w) % buckets for w in words], np.int64)
-                order = np.argsort(places, kind="stable")  # words by bucket
-                rank = np.empty(len(words), np.int64)
-                rank[order] = np.arange(len(words))
-                pairs, counts = runs(np.sort(rank[number] << np.int64(32) | owners(firsts)))
-                word, doc = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint16)
-                cuts = np.searchsorted(places[order], np.arange(buckets + 1))
-                spots = np.searchsorted(word, cuts)
-                for b in np.flatnonzero(np.diff(cuts)):
-                    lo, hi = cuts[b], cuts[b + 1]
-                    at = slice(spots[b], spots[b + 1])
-                    spread = np.bincount(word[at] - lo, minlength=hi - lo) - 1  # each word has a text
-                    rows.append((int(b), block, [words[i] for i in order[lo:hi]], spread.astype(np.uint16).tobytes(), doc[at].tobytes(), _short(counts[at] - 1), None, None))
-                own = ids.slice(texts.first, len(texts)).to_pylist()
-                rows.append((hash(block) % buckets, block, None, None, None, None, own, np.diff(texts.offsets).tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
+            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for mark, part in ((m, batch.filter(pa.array(marks == m))) for m in (False, True)):
+                for texts in text_chunks(part.column(2), BLOCK_BYTES, BLOCK_TEXTS):
+                    yield packed(texts, part.column(0).slice(texts.first, len(texts)).to_pylist(), mark)
+
+    def packed(texts, ids: list, mark: bool) -> pa.RecordBatch:
+        block, rows = uuid.uuid4().hex, []
+        starts, ends, firsts = texts.edges()
+        words, number, _ = distinct_spans(LOWER[texts.data] if lower else texts.data, starts, ends)
+        places = np.array([xxhash.xxh64_intdigest(w) % buckets for w in words], np.int64)
+        order = np.argsort(places, kind="stable")  # words by bucket
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        pairs, counts = runs(np.sort(rank[number] << np.int64(32) | owners(firsts)))
+        word, doc = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint16)
+        cuts = np.searchsorted(places[order], np.arange(buckets + 1))
+        spots = np.searchsorted(word, cuts)
+        for b in np.flatnonzero(np.diff(cuts)):
+            lo, hi = cuts[b], cuts[b + 1]
+            at = slice(spots[b], spots[b + 1])
+            spread = np.bincount(word[at] - lo, minlength=hi - lo) - 1  # each word has a text
+            rows.append((int(b), block, mark, [words[i] for i in order[lo:hi]], spread.astype(np.uint16).tobytes(), doc[at].tobytes(), _short(counts[at] - 1), None, None))
+        rows.append((hash(block) % buckets, block, mark, None, None, None, None, ids, np.diff(texts.offsets).tolist()))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
     return run
 
@@ -76,16 +78,11 @@ def _pieces(vocabulary: str):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
-        lists = [(i, w) for i, w in enumerate(rows["words"]) if w is not None]
-        every = pa.array([x for _, w in lists for x in w], pa.binary()).dictionary_encode()
-        size = piece_counts(vocabulary, [x.decode("utf-8", "replace") for x in every.dictionary.to_pylist()])
-        sizes = size[every.indices.to_numpy(zero_copy_only=False)] if len(every) else size
-        out, at = [], 0
-        for i, w in lists:
-            per_pair = np.repeat(sizes[at : at + len(w)], np.frombuffer(rows["spread"][i], np.uint16).astype(np.int64) + 1)
-            at += len(w)
-            docs = np.frombuffer(rows["docs"][i], np.uint16)
-            total = np.bincount(docs, weights=per_pair * (_long(rows["counts"][i], len(docs)) + 1)).astype(np.int64)
+        out, words, lists = [], *distinct_words(rows)
+        size = piece_counts(vocabulary, [x.decode("utf-8", "replace") for x in words])
+        for i, number in lists:
+            docs, counts = pairs_of(rows, i)
+            total = np.bincount(docs, weights=np.repeat(size[number], spread_of(rows, i)) * counts).astype(np.int64)
             held = np.flatnonzero(total)
             out.append((rows["block"][i], held.astype(np.uint16).tobytes(), _short(total[held]), None, None))
         out += [(b, None, None, i, n) for b, i, n in zip(rows["block"], rows["ids"], rows["bytes"], strict=True) if i is not None]
@@ -94,6 +91,25 @@ def _pieces(vocabulary: str):
     return run
 
 
+def distinct_words(rows: dict) -> tuple[list[bytes], list[tuple[int, np.ndarray]]]:
+    """The distinct words of a bucket's rows, and for each row that has words its place and their numbers."""
+    lists = [(i, w) for i, w in enumerate(rows["words"]) if w is not None]
+    every = pa.array([x for _, w in lists for x in w], pa.binary()).dictionary_encode()
+    numbers = np.split(every.indices.to_numpy(zero_copy_only=False), np.cumsum([len(w) for _, w in lists])[:-1]) if lists else []
+    return every.dictionary.to_pylist(), [(i, n) for (i, _), n in zip(lists, numbers, strict=True)]
+
+
+def spread_of(rows: dict, i: int) -> np.ndarray:
+    """In how many texts each word of a row is."""
+    return np.frombuffer(rows["spread"][i], np.uint16).astype(np.int64) + 1
+
+
+def pairs_of(rows: dict, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the count of each pair of a word and a text that has it."""
+    docs = np.frombuffer(rows["docs"][i], np.uint16)
+    return docs, _long(rows["counts"][i], len(docs)) + 1
+
+
 def piece_counts(vocabulary: str, words: list[str]) -> np.ndarray:
     """How many pieces the library cuts each word into; special strings count as it takes them by default."""
     if vocabulary.endswith(".model"):
@@ -137,8 +153,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     each distinct pre-token is cut into pieces once, and one number per text and bucket goes
     back to be added up: no ids are made, and a frequent word costs a row per block.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(False).alias("marked"), F.col(text_col).cast("string").alias("text"))
     buckets = max(12, math.ceil(input_bytes(source) / PART_BYTES))
-    packed = source.mapInArrow(_frequencies(buckets), _PACKED_DDL)
+    packed = source.mapInArrow(frequencies(buckets), PACKED_DDL)
     parts = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pieces(vocabulary), "block string, docs binary, pieces binary, ids array<long>, bytes array<long>")
     return parts.groupBy("block").applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
