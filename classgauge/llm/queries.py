@@ -11,8 +11,10 @@ from classgauge.llm.bpe import bpe_decode, bpe_encode
 from classgauge.llm.jaccard import shingle_components
 from classgauge.llm.linedup import dedup_lines
 from classgauge.llm.perplexity import quality_verdicts
+from classgauge.llm.shards import balanced_shards
 from classgauge.llm.templates import template_leaks
 from classgauge.llm.tokencount import token_counts
+from classgauge.llm.urlfilter import canonical, filtered_urls, url_host, url_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +32,22 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return balanced_shards(_table(spark, folder, "documents"))
+
+
+# The rules and the host words that the query's list is made of.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = "(casino|pills|spam|bets)"
+
+
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    parts = pages.withColumnRenamed("url", "url_").select(url_host(F.col("url_")).alias("host"), url_path(F.col("url_")).alias("path"))
+    listed = parts.where(F.col("host").rlike(LISTED_HOSTS)).select(canonical(F.col("host"), F.col("path")).alias("url_key"))
+    return filtered_urls(pages, URL_RULES, listed)
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "low", "high"
@@ -64,5 +82,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_quality_rules, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op10_line_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op10_line_dedup)
 }
