@@ -19,7 +19,7 @@ KEY_BITS = 48  # of a shingle's hash; equal ones count as the same shingle
 BLOCK_BYTES = 8 << 20
 BLOCK_TEXTS = 1 << 16
 PART_BYTES = 4 << 20
-SIDE = 2048  # members of a block when a mixed bucket is verified
+SIDE_BYTES = 32 << 20  # of the sets on a side of a block
 
 _PACKED = "bucket int, block string, docs binary, keys binary, meta binary, sizes binary"
 _NODES = "doc_id long, n_shingles long, sig_a long, sig_b long, fresh long, prefix array<long>, shared binary"
@@ -52,21 +52,12 @@ def _pack(width: int, buckets: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for texts in text_chunks(batch.column(1), BLOCK_BYTES):
-                for at in range(0, len(texts), BLOCK_TEXTS):
-                    part = _slice(texts, at, min(at + BLOCK_TEXTS, len(texts)))
-                    yield _packed(part, ids[texts.first + at : texts.first + at + len(part)], width, buckets, uuid.uuid4().hex)
+            for texts in text_chunks(batch.column(1), BLOCK_BYTES, BLOCK_TEXTS):
+                yield _packed(texts, ids[texts.first : texts.first + len(texts)], width, buckets, uuid.uuid4().hex)
 
     return run
 
 
-def _slice(texts, lo: int, hi: int):
-    if lo == 0 and hi == len(texts):
-        return texts
-    cut = texts.offsets[lo : hi + 1]
-    return type(texts)(texts.data[cut[0] : cut[-1]], cut - cut[0], texts.first + lo)
-
-
 def _packed(texts, ids, width: int, buckets: int, block: str) -> pa.RecordBatch:
     keys, docs = shingle_sets(texts, width)
     sizes = np.bincount(docs, minlength=len(texts))
@@ -211,8 +202,9 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     only one text has comes first in the order of a prefix, so a text with more such keys than
     its prefix is long has no candidates. Texts with equal sets become one node. In each
     prefix bucket every node is verified with the bucket's centre (the node with the
-    smallest share of unshared keys); buckets that still hold several components are verified in blocks,
-    so links between all of them are found and no list of pairs is made.
+    smallest share of unshared keys). Buckets that then still hold several components are joined
+    to regions, and a region's components are verified against each other in blocks of
+    bounded size: no link between them is missed, and no list of pairs is made.
     """
     from pyspark.sql.types import StructType
 
@@ -237,23 +229,25 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = written(_verified(pairs, node, percent), "links")
     roots = connected_components(links)
 
-    mixed = slots.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    buckets_ = mixed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
-        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"),
-    ).where("lo <> hi")
-    buckets_ = buckets_.groupBy("n", "who").agg(F.min("key").alias("key"))
-    mixed = written(mixed.join(buckets_.select("key", "n"), "key"), "mixed")
-    held = mixed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    main = held.groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"))
-    mixed = mixed.join(main, "key").withColumn("odd", F.col("component") != F.col("main.component"))
-    mixed = mixed.withColumns({"across": F.ceil(F.col("n") / SIDE).cast("int"), "down": F.ceil((F.col("n") - F.col("main.m")) / SIDE).cast("int")})
-    place = F.xxhash64("node")
-    left = mixed.where("odd").select("key", "node", "component", F.lit(0).alias("side"), F.pmod(place, "down").alias("row"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("col"))
-    right = mixed.select("key", "node", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("row"), F.pmod(place, "across").alias("col"))
-    right = right.select("key", "node", "component", "side", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
-    left = left.select("key", "node", "component", "side", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
-    more = left.unionByName(right).join(node.select("node", "n_shingles", "shared"), "node").groupBy("key", "row", "col").applyInArrow(_verify_blocks(percent), "a long, b long")
+    mixed = slots.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    met = slots.join(mixed.select("key"), "key").select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+    regions = connected_components(met).withColumnRenamed("component", "region")
+    held = written(
+        regions.join(node.select("node", "n_shingles", "shared"), "node").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")),
+        "regions",
+    )
+    own = held.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum(F.length("shared")).alias("bytes"))
+    own = own.groupBy("region").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"),
+        F.ceil(F.sum("bytes") / SIDE_BYTES).cast("int").alias("parts"),
+    )
+    held = held.join(own, "region").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    side = ("region", "node", "component", "n_shingles", "shared")
+    left = held.where("component <> main").select(*side, F.lit(0).alias("side"), F.col("part").alias("row"), every.alias("col"))
+    right = held.select(*side, F.lit(1).alias("side"), every.alias("row"), F.col("part").alias("col"))
+    more = left.unionByName(right).groupBy("region", "row", "col").applyInArrow(_verify_blocks(percent), "a long, b long")
     links = written(links.unionByName(more), "links")
 
     roots = connected_components(links)

@@ -14,8 +14,8 @@ import tempfile
 import numpy as np
 
 
-def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
-    """The file image of an automaton that gives each word its ids."""
+def compile_lexicon(entries: dict[bytes, bytes]) -> bytes:
+    """The file image of an automaton that gives each word its ids (int32, as bytes)."""
     states: dict[tuple, int] = {}
     table: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
 
@@ -58,14 +58,14 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     ids = [entries[w] for w in words]
     parts = [
         np.array([root, len(table), len(labels), len(words)], np.int32), np.array(opens, np.int32), np.array(targets, np.int32),
-        np.array(skips, np.int32), np.cumsum([0, *map(len, ids)]).astype(np.int32), np.array([x for i in ids for x in i], np.int32),
+        np.array(skips, np.int32), np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32), np.frombuffer(b"".join(ids), np.int32),
         np.array(labels, np.uint8), np.array([f for f, _ in table], np.uint8),
     ]
     return b"".join(x.tobytes() for x in parts)
 
 
 class Lexicon:
-    """Looks words up in a file image that is mapped into memory."""
+    """Looks words up in a file image that is mapped into memory, many at a time."""
 
     def __init__(self, image: bytes):
         with tempfile.TemporaryFile() as f:  # has no name, so nothing is left behind
@@ -79,29 +79,30 @@ class Lexicon:
             nonlocal at
             view = np.frombuffer(data, kind, n, at)
             at += view.nbytes
-            return memoryview(view)
+            return view
 
-        self.opens, self.targets, self.skips = take(np.int32, states + 1), take(np.int32, edges), take(np.int32, edges)
+        opens, self.targets, self.skips = take(np.int32, states + 1), take(np.int32, edges), take(np.int32, edges)
         self.spans = take(np.int32, words + 1)
-        self.ids = take(np.int32, self.spans[words])
-        self.labels, self.finals = take(np.uint8, edges), take(np.uint8, states)
-
-    def find(self, word: bytes) -> list[int] | None:
-        """The word's ids; None if it isn't in the lexicon."""
-        state, number = self.root, 0
-        opens, labels = self.opens, self.labels
-        for byte in word:
-            lo, hi = opens[state], opens[state + 1]
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if labels[mid] < byte:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == opens[state + 1] or labels[lo] != byte:
-                return None
-            number += self.skips[lo]
-            state = self.targets[lo]
-        if not self.finals[state]:
-            return None
-        return self.ids[self.spans[number] : self.spans[number + 1]].tolist()
+        self.ids = take(np.int32, int(self.spans[words]))
+        labels, self.finals = take(np.uint8, edges), take(np.uint8, states)
+        self.keys = np.repeat(np.arange(states, dtype=np.int64), np.diff(opens)) << 8 | labels  # ascending
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in the lexicon; -1 where it isn't in it."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data, firsts = np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        live, step = np.arange(len(words)), 0
+        if not len(self.keys):
+            return np.full(len(words), -1)
+        while len(live := live[sizes[live] > step]):
+            key = state[live] << 8 | data[firsts[live] + step]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[edge] == key
+            number[live[~there]] = -1
+            live, edge = live[there], edge[there]
+            number[live] += self.skips[edge]
+            state[live] = self.targets[edge]
+            step += 1
+        number[(number >= 0) & (self.finals[state] == 0)] = -1
+        return number

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from classgauge.llm.bpe import bpe_decode, bpe_encode
 from classgauge.llm.jaccard import shingle_components
 from classgauge.llm.linedup import dedup_lines
+from classgauge.llm.mixing import lm_scores
 from classgauge.llm.perplexity import quality_verdicts
 from classgauge.llm.shards import balanced_shards
 from classgauge.llm.templates import template_leaks
@@ -73,6 +74,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(_table(spark, folder, "documents"))
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(-1))
+
+
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(_table(spark, folder, "documents"), _remainder(7) == 2)
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(_table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_deleted_lines", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256")
@@ -82,5 +92,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op10_line_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup)
 }
