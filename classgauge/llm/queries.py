@@ -15,6 +15,7 @@ from classgauge.llm.perplexity import quality_verdicts
 from classgauge.llm.shards import balanced_shards
 from classgauge.llm.templates import template_leaks
 from classgauge.llm.tokencount import token_counts
+from classgauge.llm.toxicity import toxicity_scores
 from classgauge.llm.urlfilter import canonical, filtered_urls, url_host, url_path
 
 
@@ -28,6 +29,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(-1))
+
+
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -55,6 +61,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scores = toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"), _remainder(4) != 2)
+    return scores.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted", "neighbours", "cosines")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return template_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -74,11 +85,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(_table(spark, folder, "documents"))
 
 
-def _remainder(n: int):
-    """crc32 of the id as text, modulo n; -1 for a null id."""
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(-1))
-
-
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scores(_table(spark, folder, "documents"), _remainder(7) == 2)
 
@@ -92,5 +98,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op5_toxicity, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup)
 }
