@@ -19,7 +19,7 @@ from classgauge.session import written
 
 LEXICON_WORDS = 1 << 16  # at most so many words in the lexicon
 WORD_BYTES = 64  # of a word in the lexicon, at most: with the number of words, the bound of what is broadcast
-CACHED = 1 << 17  # white space and words whose ids a task remembers
+CACHED = 1 << 16  # white space and words whose ids a task remembers
 LONG_WORD = 200
 NO_RANK = 1 << 30
 BLOCK_BYTES = 4 << 20
@@ -252,7 +252,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text_col: str = "text", lim
     return [] if least is None else [bytes(r.word) for r in counts.where(F.col("level") >= least).select("word").collect()]
 
 
-def _encoded(path: str, image):
+def _encoded(path: str, image, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, lexicon = _bpe(path), Lexicon(image.value)
         known: dict[bytes, bytes] = {}
@@ -282,7 +282,7 @@ def _encoded(path: str, image):
             return out
 
         for batch in batches:
-            for texts in text_chunks(batch.column(batch.num_columns - 1)):
+            for texts in text_chunks(batch.column(batch.num_columns - 1), BLOCK_BYTES // 2):
                 starts, ends, firsts, single = segments(texts)
                 spans, number, first = distinct_spans(texts.data, starts, ends)
                 ids = ids_of(spans, single[first].tolist())
@@ -292,13 +292,17 @@ def _encoded(path: str, image):
                 spots = np.repeat(opens[number] - ends_at[:-1], lengths) + np.arange(ends_at[-1])
                 flat = np.frombuffer(b"".join(ids), np.int32)[spots]
                 kept = pa.ListArray.from_arrays(pa.array(ends_at[firsts].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*[c.slice(texts.first, len(texts)) for c in batch.columns[:-1]], kept], [*batch.schema.names[:-1], "ids"])
+                out, names = [*[c.slice(texts.first, len(texts)) for c in batch.columns[:-1]], kept], [*batch.schema.names[:-1], "ids"]
+                if back:
+                    out, names = [*out, pa.array([_spelled(bpe.bytes, x) for x in kept], pa.string())], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LEXICON_WORDS, keep: tuple = ()) -> DataFrame:
-    """Rows (doc_id, the columns ``keep``, ids), one for each input row, ids that are null or repeat included.
+def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LEXICON_WORDS, keep: tuple = (), decode: bool = False) -> DataFrame:
+    """Rows (doc_id, the columns ``keep``, ids), one for each input row, ids that are null or repeat included; with
+    ``decode`` also ``decoded``, what the ids spell, from the same pass.
 
     ``vocabulary`` is the path of a byte-level vocabulary file, the same on every machine. The
     ids are those its library gives without added special tokens, truncation or padding; special
@@ -314,21 +318,23 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     image = compile_lexicon(dict(zip(words, bpe.merge_all(words), strict=True)))
     shared = docs.sparkSession.sparkContext.broadcast(image)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_encoded(vocabulary, shared), _fields(source.dtypes[:-1], "ids array<int>"))
+    return source.mapInArrow(_encoded(vocabulary, shared, decode), _fields(source.dtypes[:-1], "ids array<int>" + ", decoded string" * decode))
 
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _bpe(path).bytes
         for batch in batches:
-            texts = [None if ids is None else b"".join([held.get(i, b"") for i in ids]).decode("utf-8", "replace") for ids in map(_listed, batch.column(batch.num_columns - 1))]
+            texts = [_spelled(held, ids) for ids in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     return run
 
 
-def _listed(ids: pa.ListScalar) -> list[int] | None:
-    return ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else None
+def _spelled(held: dict[int, bytes], ids: pa.ListScalar) -> str | None:
+    if not ids.is_valid:
+        return None
+    return b"".join([held.get(i, b"") for i in ids.values.to_numpy(zero_copy_only=False).tolist()]).decode("utf-8", "replace")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classgauge.llm.bpe import bpe_decode, bpe_encode
+from classgauge.llm.bpe import bpe_encode
 from classgauge.llm.jaccard import shingle_components
 from classgauge.llm.linedup import dedup_lines
 from classgauge.llm.mixing import lm_scores
@@ -72,12 +72,12 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 def op7_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = _vocabulary("byte_bpe_50k.json")
-    coded = bpe_decode(bpe_encode(_table(spark, folder, "documents"), vocabulary), vocabulary)
+    coded = bpe_encode(_table(spark, folder, "documents"), vocabulary, decode=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

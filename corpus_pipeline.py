@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classgauge.llm.bpe import bpe_decode, bpe_encode
+from classgauge.llm.bpe import bpe_encode
 from classgauge.llm.jaccard import shingle_components
 from classgauge.llm.linedup import dedup_lines
 from classgauge.llm.perplexity import quality_verdicts
@@ -54,8 +54,9 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    pairs = bpe_decode(bpe_encode(docs, vocabulary, keep=(F.sha2("text", 256).alias("sha256"),)), vocabulary, keep=("sha256",))
-    return pairs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.coalesce(F.sha2("text", 256) == F.col("sha256"), F.col("sha256").isNull()).alias("exact"))
+    coded = bpe_encode(docs, vocabulary, keep=(F.sha2("text", 256).alias("sha256"),), decode=True)
+    exact = F.coalesce(F.sha2("decoded", 256) == F.col("sha256"), F.col("decoded") == "")  # a null text has no ids
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
 
 STAGES: list[tuple[str, Stage]] = [
