@@ -95,7 +95,65 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_URL_PARTS = r"""
+WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+cut AS (
+  SELECT page_id, translate(coalesce(regexp_extract(r, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest
+),
+named AS (SELECT *, regexp_replace(host, '^www[.]', '') || regexp_replace(path, '(/index)?([.]html?)?/*$', '') AS u FROM cut),
+list AS (SELECT DISTINCT u FROM named WHERE regexp_matches(host, '(casino|pills|spam|bets)')),
+rules(said, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fit AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(said, length(h || p)) AS said FROM named, rules
+  WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT n.page_id, host, path, rule, coalesce(said, CASE WHEN list.u IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+  (host <> '' AND list.u IS NOT NULL) AS listed
+FROM named n LEFT JOIN fit USING (page_id) LEFT JOIN list ON list.u = n.u AND host <> ''
+"""
+
+_JACCARD = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words
+),
+sizes AS (SELECT doc_id, count(g) AS n FROM words LEFT JOIN grams USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, n AS n_shingles, min(b) AS component_id FROM sizes JOIN reach ON a = doc_id GROUP BY doc_id, n
+"""
+
+_LINES = f"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+split AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM docs),
+filled AS (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS w FROM split WHERE regexp_matches(line, '{_WORD}')),
+lines AS (
+  SELECT *, row_number() OVER o AS i, (sum(w) OVER o)::BIGINT AS upto FROM filled WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+),
+spans AS (SELECT doc_id, list(line ORDER BY i) AS ll FROM lines GROUP BY doc_id),
+ahead AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM (SELECT *, upto - w + 20 AS need FROM lines) a ASOF JOIN lines b ON a.doc_id = b.doc_id AND a.need <= b.upto),
+behind AS (SELECT b.doc_id, a.i AS a, b.i AS b FROM (SELECT *, upto - 20 AS room FROM lines) b ASOF JOIN (SELECT *, upto - w AS before FROM lines) a ON a.doc_id = b.doc_id AND b.room >= a.before),
+windows AS (SELECT * FROM ahead UNION SELECT * FROM behind),
+ranked AS (
+  SELECT doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(ll[a:b], chr(10)) ORDER BY doc_id, a) AS rk FROM windows JOIN spans USING (doc_id)
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE rk > 1),
+places AS (SELECT doc_id, list(place) AS gone, count(*) AS n FROM gone JOIN lines USING (doc_id, i) GROUP BY doc_id),
+texts AS (
+  SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN gone IS NULL THEN text
+    ELSE array_to_string([ls[k] FOR k IN range(1, len(ls) + 1) IF NOT list_contains(gone, k)], chr(10)) END AS t
+  FROM docs LEFT JOIN places USING (doc_id)
+)
+SELECT doc_id, n::BIGINT AS n_deleted_lines, length(t)::BIGINT AS n_chars_left, sha256(t) AS text_sha256 FROM texts
+"""
+
+ORACLES: dict[str, str] = {"op3_url_filters": _URL_PARTS, "op8_ngram_jaccard_join": _JACCARD, "op10_line_dedup": _LINES}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op5_toxicity, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup)
