@@ -73,7 +73,12 @@ def terms(text: Column, profile: str = "arabic") -> Column:
 def parse_token_list(literal: Column) -> Column:
     """Words of a printed list such as ``['a', 'b']``, joined by blanks.
 
-    The text is parsed as data, never run. What the JSON reader does not take
-    (or null) gives null; callers route such rows to a reject table.
+    The text is parsed as data, never run. A comma before the closing bracket, round brackets
+    around two or more words and two-digit escapes are put in the form the JSON reader takes. What it
+    then does not take (or null) gives null; callers route such rows to a reject table.
     """
-    return F.array_join(F.from_json(literal, "array<string>"), " ")
+    blank = r"[\t\n\r ]*"
+    text = F.regexp_replace(literal, rf"(?s)^{blank}\((.*,.*)\){blank}$", "[$1]")
+    text = F.regexp_replace(text, rf"([^\[\s]){blank},{blank}\]{blank}$", "$1]")
+    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    return F.array_join(F.from_json(text, "array<string>"), " ")

@@ -197,8 +197,19 @@ def with_count_arrays(df: DataFrame, text: str, profile: str, known: list[str])
     return counted.withColumn("_idx", F.col("_counts.indices")).withColumn("_tf", F.col("_counts.values")).drop("_terms", "_counts")
 
 
-def tfidf_vectors(df: DataFrame, text: str, profile: str, vocabulary: Vocabulary) -> DataFrame:
-    """Add ``features``, the TF-IDF vector of a text. No shuffle and no Python."""
+def tfidf_vectors(df: DataFrame, text: str, profile: str, vocabulary: Vocabulary, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
+    """Add ``features``, the TF-IDF vector of a text; a null text has an empty one.
+
+    A vocabulary of up to ``driver_bytes`` is handed to every task: no shuffle and no Python. With a larger one
+    each distinct text is weighed once, under its hash, through the long form.
+    """
+    if vocabulary.n_bytes > driver_bytes:
+        named = df.withColumn("_key", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+        texts = named.select("_key", text).dropDuplicates(["_key"])
+        long = tfidf_long(term_counts(texts, "_key", text, profile), "_key", vocabulary)
+        rows = named.join(vectors_from_long(long, "_key", vocabulary.n_terms), "_key", "left")
+        empty = as_vector(F.lit(vocabulary.n_terms), F.array().cast("array<int>"), F.array().cast("array<double>"))
+        return rows.withColumn("features", F.coalesce("features", empty)).select(*df.columns, "features")
     known, idf = driver_terms(vocabulary, df.sparkSession)
     rows = with_count_arrays(df, text, profile, known)
     rows = rows.withColumn("_raw", as_vector(F.lit(len(known)), F.col("_idx"), F.transform("_tf", sublinear_tf)))

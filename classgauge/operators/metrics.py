@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # The machine epsilon that bounds a probability away from 0 and 1.
 EPS = 2.220446049250313e-16
 N_BINS = 15
-SCORE_DIGITS = 9
 
 
 def bin_edges(n_bins: int = N_BINS) -> list[float]:
@@ -37,7 +36,7 @@ def brier_of(probs: Column, y: Column) -> Column:
 
 
 def metric_cells(
-    scored: DataFrame, n_bins: int = N_BINS, digits: int | None = SCORE_DIGITS, by: tuple[str, ...] = ()
+    scored: DataFrame, n_bins: int = N_BINS, digits: int | None = None, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """(by.., y, pred, bin, n, conf, loss, brier): the only pass over the scored rows.
 

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from classgauge.functions.text import terms
 from classgauge.functions.vectors import argmax, softmax
 from classgauge.operators.features import (
     DRIVER_BYTES,
     Vocabulary,
+    explode_terms,
     join_terms,
     sublinear_tf,
     term_counts,
@@ -30,6 +32,7 @@ from classgauge.sources.tables import LABEL_IDS, label_name
 
 
 BLOCK_ROWS = 512
+TEXT_KEY = "_text_sha256"
 
 
 @dataclass(frozen=True)
@@ -105,10 +108,10 @@ def fit_naive_bayes(df: DataFrame, key: str, text: str, label: str, vocabulary:
     spark = df.sparkSession
     sizes = class_sizes(df, label)
     classes = range(len(sizes))
-    counts = term_counts(df, key, text, profile, carry=(label,))
-    rows = join_terms(counts, key, vocabulary.table(spark), vocabulary.n_bytes, vocabulary.n_docs)
+    found = df.select(label, explode_terms(terms(F.col(text), profile))).filter(F.col("term").isNotNull())
+    counts = found.groupBy("term").agg(*_by_class(F.lit(1.0), label, len(sizes)))  # added up within tasks: no text moves
     path = work_path(spark, "model")
-    _term_sums(rows, F.col("tf").cast("double"), label, len(sizes)).write.parquet(f"{path}/sums")
+    counts.join(vocabulary.table(spark), "term").write.parquet(f"{path}/sums")
     sums = spark.read.parquet(f"{path}/sums")
     totals = sums.agg(*[F.sum(f"s{c}") for c in classes]).first()
     weights = [
@@ -169,21 +172,21 @@ def _row_logits(spark: SparkSession, model: TextModel):
     return rows["term"].to_pylist(), logits
 
 
-def score_texts(df: DataFrame, text: str, model: TextModel, key: str | None = None) -> DataFrame:
+def score_texts(df: DataFrame, text: str, model: TextModel, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
     """Add ``logits``, ``probs`` and ``pred``; all null where the text is null.
 
-    A model that fits is broadcast and the rows stay where they are: no shuffle,
-    every input column kept. A larger one is joined by term, for which rows need
-    a ``key``.
+    Every input row and column is kept. A model of up to ``driver_bytes`` is broadcast and the rows
+    stay where they are. A larger one is joined by term: equal texts have equal scores, so each
+    distinct text is cut once, under its hash, and its scores go back to its rows.
     """
-    if model.n_bytes <= DRIVER_BYTES:
+    if model.n_bytes <= driver_bytes:
         terms, logits = _row_logits(df.sparkSession, model)
         rows = with_count_arrays(df, text, model.profile, terms)
         rows = rows.withColumn("logits", logits("_idx", "_tf")).drop("_idx", "_tf")
-    elif key is None:
-        raise ValueError("a model of this size is joined by term; name the key column of the rows")
     else:
-        rows = df.join(term_logits(df, key, text, model), key)
+        named = df.withColumn(TEXT_KEY, F.sha2(F.col(text).cast("string"), 256))
+        texts = named.filter(F.col(text).isNotNull()).select(TEXT_KEY, text).dropDuplicates([TEXT_KEY])
+        rows = named.join(term_logits(texts, TEXT_KEY, text, model), TEXT_KEY, "left").select(*df.columns, "logits")
     rows = rows.withColumn("logits", F.when(F.col(text).isNotNull(), F.col("logits")))
     return rows.withColumn("probs", softmax(F.col("logits"))).withColumn("pred", argmax(F.col("probs")))
 

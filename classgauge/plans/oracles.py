@@ -6,7 +6,6 @@ final select.
 
 from __future__ import annotations
 
-from classgauge.functions.text import FOLD_FROM, FOLD_TO, TATWEEL
 from classgauge.plans.queries import ARABIC, HEAD_SCALE, LATIN, TEXT_SCALE
 
 Chain = tuple[tuple[str, str], ...]
@@ -35,7 +34,7 @@ RAW: Chain = (
     ("tokens", f"SELECT doc_id, {TOKENS} AS tok FROM documents"),
     (
         "raw",
-        "SELECT d.doc_id AS id, d.text, d.lang, t.tok,"
+        "SELECT d.doc_id AS id, d.text, d.lang, d.source, t.tok,"
         " CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 AND quality = 1 THEN 'MIX' WHEN toxic = 1 THEN 'NEG'"
         " WHEN quality = 1 THEN 'POS' ELSE 'NEU' END AS annotation"
         " FROM documents d JOIN tokens t USING (doc_id) LEFT JOIN labels l USING (doc_id)",
@@ -119,7 +118,7 @@ SOFTMAX: Chain = (
 )
 
 
-def _dense(dims: int = 64) -> Chain:
+def _dense(dims: int = 64, where: str = "split = 'test'") -> Chain:
     return EMBEDDED + SPLIT + (
         ("long", f"SELECT id, label, split, unnest(embedding[1:{dims}])::DOUBLE AS x, generate_subscripts(embedding[1:{dims}], 1) - 1 AS pos FROM parts"),
         ("means", "SELECT label AS c, pos, avg(x) AS m FROM long WHERE split = 'train' GROUP BY ALL"),
@@ -127,20 +126,27 @@ def _dense(dims: int = 64) -> Chain:
         (
             "lp",
             f"SELECT id, any_value(label) AS y, c, sum(x * m) * {HEAD_SCALE} + any_value(b) AS z"
-            " FROM long JOIN means USING (pos) JOIN b USING (c) WHERE split = 'test' GROUP BY id, c",
+            f" FROM long JOIN means USING (pos) JOIN b USING (c) WHERE {where} GROUP BY id, c",
         ),
     )
 
 
 DENSE = _dense() + SOFTMAX
-CENTROID_SCORED = CENTROID + (
-    ("dots", "SELECT id, c, sum(weight * w) AS d FROM weights JOIN w USING (term_idx) WHERE split = 'test' GROUP BY id, c"),
-    (
-        "lp",
-        "SELECT id, label AS y, c, coalesce(d, 0) + b AS z FROM (SELECT id, label, c, b FROM parts, b WHERE split = 'test')"
-        " LEFT JOIN dots USING (id, c)",
-    ),
-) + SOFTMAX
+DENSE_WHOLE = _dense(where="true") + SOFTMAX
+
+
+def _centroid_scored(where: str) -> Chain:
+    return CENTROID + (
+        ("dots", f"SELECT id, c, sum(weight * w) AS d FROM weights JOIN w USING (term_idx) WHERE {where} GROUP BY id, c"),
+        (
+            "lp",
+            f"SELECT id, label AS y, c, coalesce(d, 0) + b AS z FROM (SELECT id, label, c, b FROM parts, b WHERE {where})"
+            " LEFT JOIN dots USING (id, c)",
+        ),
+    ) + SOFTMAX
+
+
+CENTROID_SCORED = _centroid_scored("split = 'test'")
 BAYES_SCORED = BAYES + (
     (
         "dots",
@@ -205,7 +211,7 @@ LOSSES: Chain = (
     ),
 )
 BINS: Chain = (
-    ("confs", "SELECT y, pred, round(list_max(probs), 9) AS conf FROM scored"),
+    ("confs", "SELECT y, pred, list_max(probs) AS conf FROM scored"),
     ("binned", "SELECT *, (SELECT count(*) FROM range(1, 15) t(i) WHERE conf > i * (1.0::DOUBLE / 15)) AS bin FROM confs"),
     ("bins", "SELECT bin, avg((y = pred)::INT) AS acc, avg(conf) AS conf, count(*) AS n FROM binned GROUP BY bin"),
 )
@@ -228,7 +234,7 @@ OVERALL = " UNION ALL ".join(
 ALL_METRICS = SEEN_RATES + LOSSES + BINS
 
 ROC: Chain = (
-    ("ovr", "SELECT id, c, round(p, 9) AS s, (y = c)::INT AS pos FROM pr"),
+    ("ovr", "SELECT id, c, p AS s, (y = c)::INT AS pos FROM pr"),
     ("grouped", "SELECT c, s, sum(pos) AS pos, sum(1 - pos) AS neg FROM ovr GROUP BY c, s"),
     (
         "roc",
@@ -293,6 +299,9 @@ def _macro(scored_chain: Chain) -> str:
 
 
 # The normaliser one rule at a time, as defined.
+FOLD_FROM = "\u0625\u0623\u0622\u0649\u0629"  # alef with hamza below, above, with madda; alef maksura; teh marbuta
+FOLD_TO = "\u0627\u0627\u0627\u064a\u0647"  # alef three times; yeh; heh
+TATWEEL = "\u0640"
 _CLASS = r"[\x{0617}-\x{061A}\x{064B}-\x{0652}]"
 _FOLDS = "".join(f"\\x{{{ord(c):04X}}}" for c in FOLD_FROM[:3] + FOLD_TO[:1])
 ARABIC_CLEAN: Chain = (
@@ -353,15 +362,19 @@ ORACLES: dict[str, str] = {
         RAW,
         "SELECT id, md5(coalesce(array_to_string(tok, ' '), '')) AS text_md5,"
         " CASE annotation WHEN 'NEG' THEN 0 WHEN 'POS' THEN 1 ELSE 2 END AS label"
-        " FROM raw WHERE annotation IN ('NEG', 'POS', 'NEU') AND lang <> 'fr'",
+        " FROM raw WHERE annotation IN ('NEG', 'POS', 'NEU') AND source <> 'src7'",
     ),
     "rejected_rows": _sql(
         RAW,
-        "SELECT id, annotation, CASE WHEN lang = 'fr' THEN 'tokens' ELSE 'annotation' END AS reason"
-        " FROM raw WHERE annotation = 'MIX' OR (annotation IS NOT NULL AND lang = 'fr')",
+        "SELECT id, annotation, CASE WHEN source = 'src7' THEN 'tokens' ELSE 'annotation' END AS reason"
+        " FROM raw WHERE annotation = 'MIX' OR (annotation IS NOT NULL AND source = 'src7')",
     ),
     "label_names": _sql(LABELLED, f"SELECT id, {NAME.format('label')} AS label_name FROM base"),
-    "input_preview": _sql(RAW, "SELECT id, text, annotation FROM raw ORDER BY id LIMIT 10"),
+    "input_preview": _sql(
+        RAW,
+        "SELECT id, coalesce(array_to_string(tok, ' '), '') AS text, CASE annotation WHEN 'NEG' THEN 0 WHEN 'POS' THEN 1 ELSE 2 END AS label"
+        " FROM raw WHERE annotation IN ('NEG', 'POS', 'NEU') AND source <> 'src7' ORDER BY id LIMIT 10",
+    ),
     "column_as_text": "SELECT conv_id, turn, turn::VARCHAR AS text FROM conversations",
     "arabic_normalized": _sql(ARABIC_CLEAN, "SELECT id, t AS clean FROM t6"),
     "arabic_terms": _sql(ARABIC_CLEAN, DIGEST),
@@ -378,6 +391,7 @@ ORACLES: dict[str, str] = {
         f"SELECT p.id, term_idx, {_r('weight')} AS weight FROM parts p LEFT JOIN weights USING (id) WHERE p.split <> 'train'",
     ),
     "tfidf_vectors": _sql(WEIGHTS, VECTOR_DIGEST.format("LEFT")),
+    "tfidf_vectors_any_size": _sql(WEIGHTS, VECTOR_DIGEST.format("LEFT")),
     "tfidf_vectors_from_weights": _sql(WEIGHTS, VECTOR_DIGEST.format("")),
     "split_of_embeddings": _sql(EMBEDDED + SPLIT, "SELECT id, label, split FROM parts"),
     "split_of_texts": _sql(LABELLED + SPLIT, "SELECT id, label, split FROM parts"),
@@ -385,13 +399,15 @@ ORACLES: dict[str, str] = {
     "final_fit_rows": _sql(LABELLED + SPLIT, "SELECT id, label FROM parts WHERE split IN ('train', 'val')"),
     "centroid_weights": _sql(_dense(), f"SELECT c::INT AS class_id, pos::INT AS pos, {_r(f'm * {HEAD_SCALE}')} AS w FROM means"),
     "head_bias": _sql(_dense(), f"SELECT c::INT AS class_id, {_r('b')} AS b FROM b"),
-    "dense_logits": _sql(_dense(), f"SELECT id, c::INT AS class_id, {_r('z')} AS logit FROM lp"),
-    "softmax_probabilities": _sql(DENSE, f"SELECT id, c::INT AS class_id, {_r('p')} AS prob FROM pr"),
-    "predicted_class": _sql(DENSE, "SELECT id, pred::INT AS pred FROM scored"),
+    "dense_logits": _sql(_dense(where="true"), f"SELECT id, c::INT AS class_id, {_r('z')} AS logit FROM lp"),
+    "softmax_probabilities": _sql(DENSE_WHOLE, f"SELECT id, c::INT AS class_id, {_r('p')} AS prob FROM pr"),
+    "predicted_class": _sql(DENSE_WHOLE, "SELECT id, pred::INT AS pred FROM scored"),
     "naive_bayes_scores": _sql(
         BAYES_SCORED, f"SELECT pred::INT AS pred, id, c::INT AS class_id, {_r('z', 4)} AS logit FROM lp JOIN scored USING (id)"
     ),
     "scored_new_texts": _sql(NEW_TEXTS, NEW_SCORED.format("")),
+    "scored_new_texts_any_size": _sql(NEW_TEXTS, NEW_SCORED.format("")),
+    "text_model_bias": _sql(BAYES, f"SELECT c::INT AS class_id, {NAME.format('c')} AS class_label, {_r('b')} AS b FROM b"),
     "scored_new_texts_by_join": _sql(NEW_TEXTS, f"SELECT id, c::INT AS class_id, {_r('z')} AS logit FROM lp"),
     "scored_csv_written": _sql(NEW_TEXTS, NEW_SCORED.format("md5(text) AS text_md5, ")),
     "scored_lines": _sql(
@@ -480,6 +496,9 @@ ORACLES: dict[str, str] = {
     "macro_auc_interpolated_text": _sql(
         CENTROID_SCORED + INTERPOLATED, f"SELECT {_r('sum(a)')} AS macro_auc_interpolated FROM cut"
     ),
+    "macro_auc_interpolated_bayes": _sql(
+        BAYES_SCORED + INTERPOLATED, f"SELECT {_r('sum(a)')} AS macro_auc_interpolated FROM cut"
+    ),
     "macro_auc_ovr": _sql(DENSE + ROC, f"SELECT {_r('avg(auc)')} AS macro_auc_ovr FROM aucs"),
     "majority_baseline": _sql(
         CENTROID_SCORED, "SELECT y AS majority, count(*) AS support FROM scored GROUP BY y ORDER BY support DESC, y LIMIT 1"
@@ -494,13 +513,13 @@ ORACLES: dict[str, str] = {
         f"SELECT {_r(_macro(CENTROID_SCORED))} AS auc_a, {_r(_macro(BAYES_SCORED))} AS auc_b, b, c, {_r(CHI2)} AS chi2 FROM pair",
     ),
     "text_introspection": _sql(
-        CENTROID_SCORED,
+        _centroid_scored("true"),
         f"SELECT id, c::INT AS class_id, {NAME.format('c')} AS class_label, {_r('z')} AS \"logit_xWT_plus_b\","
         f" {_r('p')} AS prob_from_model_predict_proba, {_r('p')} AS prob_from_manual_softmax FROM pr",
     ),
     "head_introspection": _sql(
-        DENSE,
-        f"SELECT id, c::INT AS class_id, {_r('z')} AS logit_from_model, {_r('z')} AS \"logit_manual_W_hCLS_plus_b\","
+        DENSE_WHOLE,
+        f"SELECT id, c::INT AS class_id, 'class ' || c AS class_label, {_r('z')} AS logit_from_model, {_r('z')} AS \"logit_manual_W_hCLS_plus_b\","
         f" {_r('p')} AS prob_from_model_softmax, {_r('p')} AS prob_from_manual_softmax FROM pr",
     ),
     "weight_preview": _sql(CENTROID, f"SELECT class_id, term_idx, term, {_r('w')} AS w FROM ({PREVIEW_W})"),

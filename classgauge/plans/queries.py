@@ -88,11 +88,13 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_input(spark: SparkSession, sf: str) -> DataFrame:
     """The documents in the shape of the labelled input file: token lists printed as
-    literals (with a stray comma in French), annotations missing where there is no
+    literals (French ends in a comma, German is in round brackets, one source forgets the end), annotations missing where there is no
     label and outside the closed set where a text is both toxic and good."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     tok = F.transform(tx.tokens(tx.normalize(F.col("text"), PROFILE), PROFILE), lambda t: F.concat(F.lit("'"), t, F.lit("'")))
-    literal = F.concat(F.lit("["), F.array_join(tok, ", "), F.when(F.col("lang") == "fr", ",]").otherwise("]"))
+    round_ = (F.col("lang") == "de") & (F.size(tok) > 1)
+    close = F.when(F.col("source") == "src7", "").when(round_, ")").when((F.col("lang") == "fr") & (F.size(tok) > 0), ",]").otherwise("]")
+    literal = F.concat(F.when(round_, "(").otherwise("["), F.array_join(tok, ", "), close)
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1
     return docs.select(
         F.col("doc_id").alias("id"),
@@ -171,7 +173,7 @@ def bayes_model(spark: SparkSession, sf: str) -> textmodel.TextModel:
 
 def _text_scored(spark: SparkSession, sf: str, model: textmodel.TextModel) -> DataFrame:
     test = tables.spread(_slice(split_texts(spark, sf), "test"), "id")
-    scored = textmodel.score_texts(test, "text", model, "id").withColumnRenamed("label", "y")
+    scored = textmodel.score_texts(test, "text", model).withColumnRenamed("label", "y")
     return written(scored.select("id", "text", "y", "pred", "probs", "logits"), "scored")
 
 
@@ -269,9 +271,8 @@ def label_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def input_preview(spark: SparkSession, sf: str) -> DataFrame:
-    rows = raw_input(spark, sf).withColumnRenamed(tables.ANNOTATION_COLUMN, "annotation")
-    rows = rows.select("id", F.col(tables.TEXT_COLUMN).alias("text"), "annotation")
-    return tables.preview(rows, ["id", "text", "annotation"], "id")
+    good, _ = tables.prepare_labelled(raw_input(spark, sf))
+    return tables.preview(good, ["id", "text", "label"], "id")
 
 
 @query
@@ -357,6 +358,13 @@ def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return _vector_digest(features.tfidf_vectors(rows, "text", PROFILE, train_vocabulary(spark, sf)))
 
 
+@query
+def tfidf_vectors_any_size(spark: SparkSession, sf: str) -> DataFrame:
+    """``tfidf_vectors`` with the plan that a vocabulary past the driver's bound takes."""
+    rows = split_texts(spark, sf)
+    return _vector_digest(features.tfidf_vectors(rows, "text", PROFILE, train_vocabulary(spark, sf), driver_bytes=0))
+
+
 @query
 def tfidf_vectors_from_weights(spark: SparkSession, sf: str) -> DataFrame:
     vocab = train_vocabulary(spark, sf)
@@ -406,19 +414,19 @@ def head_bias(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dense_logits(spark: SparkSession, sf: str) -> DataFrame:
-    rows = heads.score_vectors(_slice(split_embeddings(spark, sf), "test"), "embedding", dense_head(spark, sf))
+    rows = heads.score_vectors(split_embeddings(spark, sf), "embedding", dense_head(spark, sf))
     return rounded_row(_by_class(rows, "logits", "logit"))
 
 
 @query
 def softmax_probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = heads.score_vectors(_slice(split_embeddings(spark, sf), "test"), "embedding", dense_head(spark, sf))
+    rows = heads.score_vectors(split_embeddings(spark, sf), "embedding", dense_head(spark, sf))
     return rounded_row(_by_class(rows, "probs", "prob"))
 
 
 @query
 def predicted_class(spark: SparkSession, sf: str) -> DataFrame:
-    rows = heads.score_vectors(_slice(split_embeddings(spark, sf), "test"), "embedding", dense_head(spark, sf))
+    rows = heads.score_vectors(split_embeddings(spark, sf), "embedding", dense_head(spark, sf))
     return rows.select("id", "pred")
 
 
@@ -436,13 +444,21 @@ def scored_new_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scored_new_texts_by_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The same scores through the term join that models of any size use."""
+    """The logits alone, through the term join that models of any size use."""
     key = F.concat_ws(":", "conv_id", "turn")
     rows = table(spark, sf, "conversations").select(key.alias("id"), "text")
     logits = textmodel.term_logits(rows, "id", "text", centroid_model(spark, sf))
     return rounded_row(_by_class(logits, "logits", "logit"))
 
 
+@query
+def scored_new_texts_any_size(spark: SparkSession, sf: str) -> DataFrame:
+    """``scored_new_texts`` with the plan that a model past the driver's bound takes."""
+    rows = table(spark, sf, "conversations")
+    scored = textmodel.score_texts(rows, "text", centroid_model(spark, sf), driver_bytes=0)
+    return rounded_row(textmodel.with_prediction_columns(scored).drop("text"))
+
+
 @query
 def scored_csv_written(spark: SparkSession, sf: str) -> DataFrame:
     """Scored texts written as CSV and read back."""
@@ -618,6 +634,11 @@ def macro_auc_interpolated_text(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_row(roc.macro_auc_interpolated(text_runs(spark, sf)))
 
 
+@query
+def macro_auc_interpolated_bayes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded_row(roc.macro_auc_interpolated(bayes_runs(spark, sf)))
+
+
 @query
 def macro_auc_ovr(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_row(roc.macro_auc_ovr(dense_runs(spark, sf), dense_scored(spark, sf)))
@@ -667,13 +688,20 @@ def model_pair_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_introspection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _slice(split_texts(spark, sf), "test")
+    rows = split_texts(spark, sf)
     return rounded_row(introspect.text_introspection(rows, "id", "text", centroid_model(spark, sf)))
 
 
 @query
 def head_introspection(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_row(introspect.head_introspection(dense_scored(spark, sf), "id", "embedding", dense_head(spark, sf)))
+    rows = heads.score_vectors(split_embeddings(spark, sf), "embedding", dense_head(spark, sf))
+    names = {c: f"class {c}" for c in EMB_CLASSES}
+    return rounded_row(introspect.head_introspection(rows, "id", "embedding", dense_head(spark, sf), names))
+
+
+@query
+def text_model_bias(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded_row(introspect.model_bias(spark, bayes_model(spark, sf)))
 
 
 @query

@@ -39,7 +39,7 @@ def train_and_test(labelled: DataFrame, profile: str = "arabic", seed: int = 42)
     rows = stratified_split(labelled, "id", "label", seed)
     model, grid, best = search_and_fit(rows, profile=profile)
     test = rows.filter(F.col("split") == "test")
-    scored = score_texts(test, "text", model, "id").withColumnRenamed("label", "y")
+    scored = score_texts(test, "text", model).withColumnRenamed("label", "y")
     return TrainedRun(model, best, grid, written(scored, "scored"))
 
 
@@ -72,7 +72,7 @@ def write_evaluation(scored: DataFrame, out: str, text: str = "text", with_probs
 def score_lines(df: DataFrame, key: str, text: str, model: TextModel) -> DataFrame:
     """Score every non-blank line of a text: (key, line_no, line, Pred_Label, Prob_..)."""
     lines = lines_to_rows(df, key, text).withColumn("_line", F.concat_ws(":", key, "line_no"))
-    return with_prediction_columns(score_texts(lines, "line", model, "_line")).drop("_line")
+    return with_prediction_columns(score_texts(lines, "line", model)).drop("_line")
 
 
 def score_csv(
@@ -81,5 +81,5 @@ def score_csv(
     """Read a CSV, add the prediction columns, write it; returns the rows that did not parse."""
     good, bad = read_new_texts(spark, path, text_column=text_column)
     require_column(good, text_column)
-    write_rows(with_prediction_columns(score_texts(good, text_column, model, key)), out)
+    write_rows(with_prediction_columns(score_texts(good, text_column, model)), out)
     return bad

@@ -48,7 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The table, computed once and read back from the shared folder."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    back.written_path = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made; the table can't be read after that."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from classgauge.functions.text import parse_token_list, strip_blanks
-from classgauge.session import input_bytes, written
+from classgauge.session import input_bytes
 
 # The closed set of annotations.
 LABEL_IDS = {"NEG": 0, "POS": 1, "NEU": 2}
@@ -39,11 +39,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if input_bytes(df) < split_bytes * cores else df
 
 
-def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a labelled table with a fixed schema (parquet, csv or json)."""
+def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """Read a labelled table with a fixed schema (parquet, csv or json). ``multi_line``
+    takes quoted line breaks in CSV cells, and makes each file one task."""
     reader = spark.read.schema(LABELLED_SCHEMA)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(header=True, multiLine=multi_line, escape='"')
     return reader.format(fmt).load(path)
 
 
@@ -62,9 +63,8 @@ def read_new_texts(
 ) -> tuple[DataFrame, DataFrame]:
     """Read a CSV of new texts: (good rows, rows the reader could not parse).
 
-    Unreadable rows are reported, not raised. The file is parsed once, in full, into
-    the shared folder: a reader that asks for fewer columns would parse fewer, and
-    miss the breaks in the others. Without a schema the header names
+    Unreadable rows are reported, not raised. Each reader parses whole rows: with column pruning
+    on, one that asks for fewer columns would miss the breaks in the others. Without a schema the header names
     string columns. Quoted line breaks need ``multi_line``, which makes each
     file one task: write many files, or turn it off where no cell has a break.
     """
@@ -76,13 +76,13 @@ def read_new_texts(
         raise ValueError(f"column {text_column!r} not found; the file has {schema.names}")
     bad = "_corrupt_record"
     rows = (
-        spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+        spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, columnPruning=False)
         .schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())]))
         .csv(path)
     )
-    rows = written(rows, "csv")
     good = rows.filter(F.col(bad).isNull()).select(*schema.names)
-    return as_text(good, text_column), rows.filter(F.col(bad).isNotNull())
+    whole = F.length(F.concat_ws("", *[F.col(n).cast("string") for n in schema.names])) >= 0  # Spark refuses to read the record column alone
+    return as_text(good, text_column), rows.filter(F.col(bad).isNotNull() & whole)
 
 
 def as_text(df: DataFrame, column: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from classgauge.plans.oracles import ORACLES
+from classgauge.plans.queries import QUERIES
 from tools.check import TABLES, same
 
 # These fit models by many solver steps; the smallest tables only.
@@ -27,13 +28,13 @@ def con(sf):
 
 
 def test_every_query_is_checked():
-    assert set(queries()) == set(oracle_sql()) | set(ROWS_ONLY)
+    assert set(QUERIES) == set(ORACLES) | set(ROWS_ONLY)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, con, name):
-    got = queries()[name](spark, sf).toPandas()
+    got = QUERIES[name](spark, sf).toPandas()
     if name in ROWS_ONLY:
         assert len(got) == (ROWS_ONLY[name] or len(got)) > 0
     else:
-        assert same(got, con.execute(oracle_sql()[name]).df()) == "same"
+        assert same(got, con.execute(ORACLES[name]).df()) == "same"

@@ -78,8 +78,14 @@ def test_token_lists(spark):
         "['a', 'b']": "a b",
         "['a', \"it's\"]": "a it's",
         "[]": "",
-        "['a',]": None,
-        r"['a\x0fb']": None,
+        "['a',]": "a",
+        "['a' , ] ": "a",
+        "('a', 'b')": "a b",
+        "('a',)": "a",
+        r"['a\x0fb']": "a\x0fb",
+        "['a,]', 'b']": "a,] b",
+        "[,]": None,
+        "['a', 'b'": None,
         "nan": None,
         None: None,
         r"['‏a']": "‏a",
