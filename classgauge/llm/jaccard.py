@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classgauge.llm.components import connected_components
+from classgauge.llm.sizing import parts_for
 from classgauge.llm.words import LOWER, owners, per_text, runs, span_hashes, text_chunks, window_hashes
-from classgauge.session import input_bytes, written
+from classgauge.session import written
 
 KEY_BITS = 48  # of a shingle's hash; equal ones count as the same shingle
 BLOCK_BYTES = 8 << 20
@@ -209,7 +209,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     from pyspark.sql.types import StructType
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    buckets = max(32, math.ceil(input_bytes(source) / PART_BYTES))
+    buckets = parts_for(source, PART_BYTES, 32)
     packed = source.mapInArrow(_pack(width, buckets), _PACKED)
     shared = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "block string, docs binary, keys binary, counts binary, meta binary, sizes binary")
     nodes = written(shared.groupBy("block").applyInArrow(_nodes(percent), StructType.fromDDL(_NODES)), "nodes")

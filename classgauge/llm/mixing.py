@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from classgauge.llm.sizing import parts_for
 from classgauge.llm.tokencount import PACKED_DDL, PART_BYTES, distinct_words, frequencies, pairs_of, spread_of
 from classgauge.llm.words import LOWER, Texts, mix, text_chunks
-from classgauge.session import input_bytes, written
+from classgauge.session import written
 
 ORDERS = 6  # predictors see 1 to ORDERS bytes before a bit, and the bits of its byte so far
 SLOT_BITS = 22  # each predictor has 2 ** SLOT_BITS slots: the bound of what is broadcast
@@ -21,6 +22,7 @@ GATES = (ORDERS + 1) * 8  # weight sets: the longest context that is known, and
 BINS = 33  # of the refinement stage
 TUNE_PART = 8  # one document of so many is kept out of the first counts, to learn weights by
 STEPS = 8  # blocks that the weights are learned on, one after the other
+RATE, HOLD = 0.7, 20.0  # of a step, and what holds weights near where they start
 UNKNOWN = -128
 
 
@@ -117,7 +119,7 @@ def _learn(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, weights, refine = model.value
-        slope, curve = np.zeros((GATES, ORDERS + 1)), np.zeros((GATES, ORDERS + 1))
+        slope, curve = np.zeros((GATES, ORDERS + 1)), np.zeros((GATES, ORDERS + 1, ORDERS + 1))
         bins = np.zeros((GATES, BINS, 2))
         for batch in batches:
             keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
@@ -128,10 +130,11 @@ def _learn(model):
                     np.add.at(bins, (gate, _bins(dot)[0], bit), n)
                     continue
                 p = _squash(dot)
-                error, spread = (n * (bit - p))[:, None] * x, (n * np.maximum(p * (1 - p), 1e-3))[:, None] * x * x
+                error, spread = n * (bit - p), n * np.maximum(p * (1 - p), 1e-3)
                 for j in range(ORDERS + 1):
-                    slope[:, j] += np.bincount(gate, error[:, j], GATES)
-                    curve[:, j] += np.bincount(gate, spread[:, j], GATES)
+                    slope[:, j] += np.bincount(gate, error * x[:, j], GATES)
+                    for k in range(j + 1):
+                        curve[:, j, k] += np.bincount(gate, spread * x[:, j] * x[:, k], GATES)
         out = bins.ravel() if refine else np.concatenate((slope.ravel(), curve.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["at", "v"])
 
@@ -178,7 +181,7 @@ def mixing_model(docs: DataFrame, text_col: str = "text") -> MixingModel:
 
     Predictors first count the texts of all documents but one in TUNE_PART. On those left out the weights
     are learned online: block after block is predicted with the weights so far, which then
-    move against the errors, each gate's apart; then the refinement, which maps a mixed prediction to
+    move against the errors by a damped Newton step, each gate's apart; then the refinement, which maps a mixed prediction to
     the share of ones it had, is counted there. At last the predictors count all texts.
     """
     spark = docs.sparkSession
@@ -189,12 +192,15 @@ def mixing_model(docs: DataFrame, text_col: str = "text") -> MixingModel:
     tune = runs.where("marked")
     first = _slot_states(runs.where("NOT marked"))
     weights = np.full((GATES, ORDERS + 1), 0.0)
-    weights[:, :ORDERS] = 0.3
+    weights[:, :ORDERS] = 0.25
+    start = weights
     for step in range(STEPS):
         model = spark.sparkContext.broadcast((first, weights, False))
         block = tune.where(F.pmod(F.xxhash64("run"), F.lit(STEPS)) == step).select("run", "n")
-        slope, curve = _summed(block.mapInArrow(_learn(model), "at int, v double"), 2 * weights.size).reshape(2, *weights.shape)
-        weights = weights + 0.5 * slope / (curve + 1.0)
+        sums = _summed(block.mapInArrow(_learn(model), "at int, v double"), weights.size * (ORDERS + 2))
+        slope, curve = sums[: weights.size].reshape(weights.shape), sums[weights.size :].reshape(GATES, ORDERS + 1, ORDERS + 1)
+        curve = curve + np.swapaxes(np.tril(curve, -1), 1, 2) + HOLD * np.eye(ORDERS + 1)
+        weights = weights + RATE * np.linalg.solve(curve, (slope - HOLD * (weights - start))[:, :, None])[:, :, 0]
         model.unpersist()
     model = spark.sparkContext.broadcast((first, weights, True))
     bins = _summed(tune.select("run", "n").mapInArrow(_learn(model), "at int, v double"), GATES * BINS * 2).reshape(GATES, BINS, 2)
@@ -285,7 +291,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     # equal texts of one kind score alike and are scored once; the row is their name
     key = F.xxhash64("marked", F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit(""))))
     source = source.withColumn("row", key)
-    buckets = max(12, math.ceil(input_bytes(source) / PART_BYTES))
+    buckets = parts_for(source, PART_BYTES, 12)
     packed = source.select("row", "marked", "text").mapInArrow(frequencies(buckets, lower=True), PACKED_DDL)
     sums = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_word_sums, _SUMS_DDL), "word-sums")
     ends = source.where("NOT marked").agg(F.count("*").alias("ends"))

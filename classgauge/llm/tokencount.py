@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -12,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from classgauge.llm.sizing import parts_for
 from classgauge.llm.words import LOWER, distinct_spans, owners, runs, text_chunks
-from classgauge.session import input_bytes
 
 BLOCK_BYTES = 24 << 20
 BLOCK_TEXTS = 1 << 16
@@ -154,7 +153,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     back to be added up: no ids are made, and a frequent word costs a row per block.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(False).alias("marked"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(12, math.ceil(input_bytes(source) / PART_BYTES))
+    buckets = parts_for(source, PART_BYTES, 12)
     packed = source.mapInArrow(frequencies(buckets), PACKED_DDL)
     parts = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pieces(vocabulary), "block string, docs binary, pieces binary, ids array<long>, bytes array<long>")
     return parts.groupBy("block").applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
