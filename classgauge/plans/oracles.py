@@ -406,6 +406,17 @@ ORACLES: dict[str, str] = {
         BAYES_SCORED, f"SELECT pred::INT AS pred, id, c::INT AS class_id, {_r('z', 4)} AS logit FROM lp JOIN scored USING (id)"
     ),
     "scored_new_texts": _sql(NEW_TEXTS, NEW_SCORED.format("")),
+    "logreg_grid_choice": "SELECT unnest([0.01, 0.1, 0.5, 1, 2, 5, 10]::DOUBLE[]) AS \"C\", true AS choice_holds",
+    "logreg_optimum": _sql(
+        TERMS,
+        "SELECT (SELECT count(*) FROM parts WHERE split <> 'test') AS n_rows, (SELECT count(*) FROM (SELECT term FROM tf WHERE split <> 'test'"
+        " GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM parts WHERE split <> 'test'))) AS n_terms,"
+        " 3 AS n_classes, 0.0::DOUBLE AS gradient",
+    ),
+    "logreg_plans_agree": "SELECT conv_id, turn, true AS same FROM conversations",
+    "logreg_introspection_check": _sql(
+        LABELLED, f"SELECT id, c::INT AS class_id, {NAME.format('c')} AS class_label, true AS agrees FROM base, range(3) t(c)"
+    ),
     "scored_new_texts_any_size": _sql(NEW_TEXTS, NEW_SCORED.format("")),
     "text_model_bias": _sql(BAYES, f"SELECT c::INT AS class_id, {NAME.format('c')} AS class_label, {_r('b')} AS b FROM b"),
     "scored_new_texts_by_join": _sql(NEW_TEXTS, f"SELECT id, c::INT AS class_id, {_r('z')} AS logit FROM lp"),

@@ -13,6 +13,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from classgauge.functions import text as tx
 from classgauge.functions.vectors import rounded
@@ -506,6 +507,47 @@ def logreg_record(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_row(reports.evaluation_record(metrics.metric_cells(logreg_scored(spark, sf)), name), 4)
 
 
+@query
+def logreg_grid_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The strengths tried, and whether the chosen one is the smallest with the best macro-F1."""
+    _, grid, best = logreg_run(spark, sf)
+    first = F.min(F.when(F.col("f1_macro") == F.col("top"), F.col("C"))).over(W.partitionBy(F.lit(0)))  # seven rows
+    grid = grid.withColumn("top", F.max("f1_macro").over(W.partitionBy(F.lit(0))))
+    return grid.select("C", (first == best).alias("choice_holds"))
+
+
+@query
+def logreg_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of the final fit and its gradient per row, to 2 places."""
+    model, _, best = logreg_run(spark, sf)
+    return rounded_row(logreg.gradient_size(split.fit_rows(split_texts(spark, sf)), model, best), 2)
+
+
+@query
+def logreg_plans_agree(spark: SparkSession, sf: str) -> DataFrame:
+    """New texts whose scores in place equal those of the term join."""
+    model = logreg_run(spark, sf)[0]
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    here = textmodel.score_texts(rows, "text", model).select("conv_id", "turn", "pred", "probs")
+    there = textmodel.score_texts(rows, "text", model, driver_bytes=0).select("conv_id", "turn", F.col("pred").alias("p2"), F.col("probs").alias("q2"))
+    near = F.forall(F.zip_with("probs", "q2", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    return here.join(there, ["conv_id", "turn"]).select("conv_id", "turn", ((F.col("pred") == F.col("p2")) & near).alias("same"))
+
+
+@query
+def logreg_introspection_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text and class: whether the model's probability is the softmax of the logit summed by hand."""
+    rows = introspect.text_introspection(split_texts(spark, sf), "id", "text", logreg_run(spark, sf)[0])
+    gap = F.abs(F.col("prob_from_model_predict_proba") - F.col("prob_from_manual_softmax"))
+    return rows.select("id", "class_id", "class_label", (gap < 1e-9).alias("agrees"))
+
+
+@query
+def lr_vs_bayes_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas and McNemar's test of logistic regression and naive Bayes on the shared test slice."""
+    return rounded_row(reports.pair_report(logreg_scored(spark, sf), bayes_scored(spark, sf)))
+
+
 # Metrics.
 
 

@@ -1,4 +1,4 @@
-"""The three jobs end to end: train and test, evaluate any scored table, score new texts."""
+"""The jobs end to end: train and test, compare two models, evaluate any scored table, score new texts."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from classgauge.operators.features import fit_vocabulary
 from classgauge.operators.logreg import search_and_fit
 from classgauge.operators.metrics import confusion_matrix, metric_cells, reliability
 from classgauge.operators.roc import auc_per_class, macro_auc_interpolated, roc_points, running_counts
-from classgauge.operators.split import stratified_split
-from classgauge.operators.textmodel import TextModel, audit_table, score_texts, with_prediction_columns
+from classgauge.operators.split import fit_rows, stratified_split
+from classgauge.operators.textmodel import TextModel, audit_table, fit_naive_bayes, score_texts, with_prediction_columns
 from classgauge.plans.reports import (
     baseline_report,
     classification_report,
     detailed_metrics,
     evaluation_record,
+    pair_report,
     per_class_report,
 )
 from classgauge.session import written
@@ -61,6 +63,30 @@ def evaluate(scored: DataFrame, name: str = "model") -> dict[str, DataFrame]:
     }
 
 
+@dataclass(frozen=True)
+class Comparison:
+    scored: dict[str, DataFrame]  # by model: id, text, y, pred, probs of the same test rows
+    tables: dict[str, dict[str, DataFrame]]  # by model: what ``evaluate`` gives
+    pair: DataFrame  # areas of both and McNemar's test
+
+
+def compare(labelled: DataFrame, profile: str = "arabic", seed: int = 42) -> Comparison:
+    """Logistic regression and naive Bayes on one shared split of (id, text, label), side by side.
+
+    Both are fitted on all rows outside the test slice, each with the vocabulary of those rows.
+    """
+    rows = stratified_split(labelled, "id", "label", seed)
+    logreg, _, _ = search_and_fit(rows, profile=profile)
+    fit = fit_rows(rows)
+    bayes = fit_naive_bayes(fit, "id", "text", "label", fit_vocabulary(fit, "text", profile), profile)
+    test = rows.filter(F.col("split") == "test")
+    scored = {
+        name: written(score_texts(test, "text", model).withColumnRenamed("label", "y"), "scored")
+        for name, model in (("logreg", logreg), ("bayes", bayes))
+    }
+    return Comparison(scored, {name: evaluate(table, name) for name, table in scored.items()}, pair_report(scored["logreg"], scored["bayes"]))
+
+
 def write_evaluation(scored: DataFrame, out: str, text: str = "text", with_probs: bool = True) -> None:
     """Write the overall, per-class and prediction files."""
     cells = written(metric_cells(scored), "cells")

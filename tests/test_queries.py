@@ -16,6 +16,7 @@ ROWS_ONLY = {
     "logreg_test_predictions": None,
     "logreg_scored_new_texts": None,
     "logreg_record": 1,
+    "lr_vs_bayes_report": 1,
 }
 
 
