@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classgauge.llm.components import connected_components
-from classgauge.llm.sizing import parts_for
+from classgauge.llm.sizing import block_names, parts_for
 from classgauge.llm.words import LOWER, owners, per_text, runs, span_hashes, text_chunks, window_hashes
 from classgauge.session import written
 
@@ -48,12 +49,11 @@ def _pack(width: int, buckets: int):
     """Tables of (doc_id, text) to postings, dealt by hash range, and a row of sizes per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
+        blocks = block_names()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for texts in text_chunks(batch.column(1), BLOCK_BYTES, BLOCK_TEXTS):
-                yield _packed(texts, ids[texts.first : texts.first + len(texts)], width, buckets, uuid.uuid4().hex)
+                yield _packed(texts, ids[texts.first : texts.first + len(texts)], width, buckets, next(blocks))
 
     return run
 
@@ -74,7 +74,7 @@ def _packed(texts, ids, width: int, buckets: int, block: str) -> pa.RecordBatch:
         if hi > lo:
             for k, v in zip(rows, (b, block, docs[lo:hi].tobytes(), _narrow(keys[lo:hi]), None, None), strict=True):
                 rows[k].append(v)
-    for k, v in zip(rows, (hash(block) % buckets, block, None, None, meta.tobytes(), sizes.astype(np.int64).tobytes()), strict=True):
+    for k, v in zip(rows, (zlib.crc32(block.encode()) % buckets, block, None, None, meta.tobytes(), sizes.astype(np.int64).tobytes()), strict=True):
         rows[k].append(v)
     kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from classgauge.session import written
+from classgauge.session import forget, written
 
 BLANK = "^[\\x20\\x09-\\x0D]*$"
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -16,6 +16,11 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string"))
 
 
+def _name(first: Column) -> Column:
+    """A place in 64 bits. A window is told by the names of its two intervals, its length and its first line's hash."""
+    return F.xxhash64(first)
+
+
 def line_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, key, place, line_a, line_b, words): the lines of each document that aren't blank."""
     lines = docs.select(
@@ -43,9 +48,9 @@ def repeated_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     lines = line_sequences(docs, id_col, text_col).distinct()
     own = Window.partitionBy("doc_id", "key").orderBy("place")
     lines = lines.withColumns({"i": F.row_number().over(own), "upto": F.sum("words").over(own)})
-    lines = lines.withColumn("at", F.struct("doc_id", "key", "i"))
-    seen = lines.groupBy("line_a", "line_b").agg(F.min("at").alias("rank_0"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-    active = lines.join(seen, ["line_a", "line_b"]).select("doc_id", "key", "i", "at", "place", "words", "upto", "rank_0")
+    at = F.struct("doc_id", "key", "i")
+    seen = lines.groupBy("line_a", "line_b").agg(_name(F.min(at)).alias("rank_0"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+    active = lines.join(seen, ["line_a", "line_b"]).select("doc_id", "key", "i", "place", "words", "upto", "line_a", "rank_0")
     active = written(active, "ranks")
 
     steps = min_words.bit_length() - 1  # 2 ** steps <= min_words
@@ -54,14 +59,15 @@ def repeated_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
         half = own.rangeBetween(1 << k, 1 << k)
         pairs = active.withColumn("next_", F.first(f"rank_{k}").over(half))
         both = pairs.where(f"rank_{k} IS NOT NULL AND next_ IS NOT NULL").groupBy(f"rank_{k}", "next_")
-        both = both.agg(F.min("at").alias(f"rank_{k + 1}"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-        active = written(pairs.join(both, [f"rank_{k}", "next_"], "left").drop("next_"), "ranks")
+        both = both.agg(_name(F.min(at)).alias(f"rank_{k + 1}"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+        before, active = active, written(pairs.join(both, [f"rank_{k}", "next_"], "left").drop("next_"), "ranks")
+        forget(before)
 
     here = F.struct("i", "upto", (F.col("upto") - F.col("words")).alias("before"))
     ahead = F.collect_list(here).over(own.rangeBetween(0, min_words - 1))
     behind = F.collect_list(here).over(own.rangeBetween(1 - min_words, 0))
     reached = active.select(
-        "doc_id", "key", "i", "at", (F.col("upto") - F.col("words")).alias("before"), "upto", ahead.alias("ahead"), behind.alias("behind")
+        "doc_id", "key", "i", (F.col("upto") - F.col("words")).alias("before"), "upto", ahead.alias("ahead"), behind.alias("behind")
     )
     ends = F.try_element_at(F.filter("ahead", lambda x: x["upto"] - F.col("before") >= min_words), F.lit(1))["i"]
     starts = F.try_element_at(F.filter("behind", lambda x: F.col("upto") - x["before"] >= min_words), F.lit(-1))["i"]
@@ -69,18 +75,19 @@ def repeated_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     windows = windows.select("doc_id", "key", "w.a", "w.b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
     depth = F.floor(F.log2(F.col("b") - F.col("a") + 1)).cast("int")
     windows = windows.withColumn("k", depth).withColumn("c", (F.col("b") - F.expr("shiftleft(1, k)") + 1).cast("int"))
-    ranks = active.select("doc_id", "key", "i", F.array(*[f"rank_{k}" for k in range(steps + 1)]).alias("ranks"))
+    ranks = active.select("doc_id", "key", "i", "line_a", F.array(*[f"rank_{k}" for k in range(steps + 1)]).alias("ranks"))
 
-    def ranked(windows: DataFrame, spot: str, name: str) -> DataFrame:
-        side = ranks.select(F.col("doc_id").alias("d_"), F.col("key").alias("k_"), F.col("i").alias(spot), "ranks")
+    def ranked(windows: DataFrame, spot: str, name: str, *more: str) -> DataFrame:
+        side = ranks.select(F.col("doc_id").alias("d_"), F.col("key").alias("k_"), F.col("i").alias(spot), "ranks", *more)
         met = windows.join(side, [windows["doc_id"].eqNullSafe(side["d_"]), windows["key"] == side["k_"], windows[spot] == side[spot]])
-        return met.select(*[windows[c] for c in windows.columns], F.col("ranks")[F.col("k")].alias(name)).where(F.col(name).isNotNull())
+        return met.select(*[windows[c] for c in windows.columns], F.col("ranks")[F.col("k")].alias(name), *more).where(F.col(name).isNotNull())
 
-    runs = ranked(ranked(windows, "a", "head"), "c", "tail").withColumn("n", F.col("b") - F.col("a"))
+    runs = ranked(ranked(windows, "a", "head", "line_a"), "c", "tail").withColumn("n", F.col("b") - F.col("a"))
     start = F.struct("doc_id", "key", F.col("a").alias("i"))
-    runs = written(runs.withColumn("start", start), "windows")
-    first = runs.groupBy("n", "head", "tail").agg(F.min("start").alias("first"), F.count("*").alias("m")).where("m > 1")
-    later = runs.join(first, ["n", "head", "tail"]).where("start <> first")
+    same = ["n", "line_a", "head", "tail"]
+    runs = written(runs.select("doc_id", "key", "a", "b", *same), "windows")
+    first = runs.groupBy(*same).agg(F.min(start).alias("first"), F.count("*").alias("m")).where("m > 1")
+    later = runs.join(first, same).where(start != F.col("first"))
     gone = later.select("doc_id", "key", F.explode(F.sequence("a", "b")).alias("i")).distinct()
     return gone.alias("g").join(
         active.alias("x"), [F.col("g.doc_id").eqNullSafe(F.col("x.doc_id")), F.col("g.key") == F.col("x.key"), F.col("g.i") == F.col("x.i")]

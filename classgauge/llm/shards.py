@@ -34,7 +34,7 @@ def propagated(groups: DataFrame, links: DataFrame, shards: int, rounds: int) ->
     """Rows (node, size, shard): nodes moved towards the shards where most of what they share is.
 
     ``groups`` has (node, size); ``links`` has (node, via): nodes with one ``via`` are neighbours. Each round
-    counts every ``via``'s nodes by shard, lets each node choose the shard with the most
+    counts every ``via``'s nodes by shard (one row a ``via``), lets each node choose the shard with the most
     neighbours, and of those who would go from a to b and from b to a lets equally many
     rows go, the largest gains first: exchange quotas, so shard sizes keep as they are up to one group.
     Counts are added up within tasks first, so a ``via`` that a third of all nodes share is
@@ -42,12 +42,12 @@ def propagated(groups: DataFrame, links: DataFrame, shards: int, rounds: int) ->
     """
     held = written(groups.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "shards")
     for turn in range(rounds):
-        around = links.join(held, "node").groupBy("via", "shard").agg(F.count("*").alias("n"))
-        total = F.sum("n").over(Window.partitionBy("via"))
-        around = around.withColumn("pull", F.col("n") / total)
-        pulls = links.join(around, "via").groupBy("node", "shard").agg(F.sum("pull").alias("pull"))
-        best = pulls.groupBy("node").agg(F.max(F.struct("pull", (-F.col("shard")).alias("s"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("shard", "pull"))).alias("all"))
-        wish = held.join(best, "node").select("node", "size", "shard", (-F.col("b.s")).alias("to"), (F.col("b.pull") - F.coalesce(F.col("all")[F.col("shard")], F.lit(0.0))).alias("gain"))
+        counts = [F.sum((F.col("shard") == s).cast("double")).alias(f"n{s}") for s in range(shards)]
+        around = links.join(held, "node").groupBy("via").agg(F.count("*").alias("n"), *counts)
+        pulls = links.join(around, "via").groupBy("node").agg(*[F.sum(F.col(f"n{s}") / F.col("n")).alias(f"p{s}") for s in range(shards)])
+        pulls = pulls.select("node", F.array(*[f"p{s}" for s in range(shards)]).alias("pulls"))
+        most = F.array_max("pulls")
+        wish = held.join(pulls, "node").select("node", "size", "shard", (F.array_position("pulls", most) - 1).cast("int").alias("to"), (most - F.col("pulls")[F.col("shard")]).alias("gain"))
         # half of the nodes may move in a round, so that two linked nodes don't just change places
         wish = wish.where((F.col("to") != F.col("shard")) & (F.col("gain") > 1e-9) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0))
         wish = wish.withColumn("step", F.greatest(F.lit(-64), F.least(F.lit(64), F.floor(-4 * F.log2("gain")))).cast("int"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from classgauge.session import input_bytes
@@ -11,6 +13,20 @@ from classgauge.session import input_bytes
 UNKNOWN = 1 << 56  # what Spark says of rows that it can't size, such as those made in the driver
 
 
+def block_names() -> Iterator[str]:
+    """Names for the blocks a task makes: its partition and a count.
+
+    A task that runs again after a lost executor reads the same split and gives its
+    blocks the same names, so they fit what other tasks have already taken. Tables that come out of a shuffle
+    should be written first, as a second read may have another order.
+    """
+    part = TaskContext.get().partitionId()
+    n = 0
+    while True:
+        yield f"{part}-{n}"
+        n += 1
+
+
 def parts_for(df: DataFrame, part_bytes: int, least: int) -> int:
     """One part for each ``part_bytes`` of the files that ``df`` reads; with sizes unknown, the session's number of shuffle partitions."""
     size = input_bytes(df)

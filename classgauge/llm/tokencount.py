@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classgauge.llm.sizing import parts_for
+from classgauge.llm.sizing import block_names, parts_for
 from classgauge.llm.words import LOWER, distinct_spans, owners, runs, text_chunks
 
 BLOCK_BYTES = 24 << 20
@@ -43,14 +43,15 @@ def frequencies(buckets: int, lower: bool = False):
     """Of each block of texts: its distinct pre-tokens, dealt by hash, with the texts that have them and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = block_names()
         for batch in batches:
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for mark, part in ((m, batch.filter(pa.array(marks == m))) for m in (False, True)):
                 for texts in text_chunks(part.column(2), BLOCK_BYTES, BLOCK_TEXTS):
-                    yield packed(texts, part.column(0).slice(texts.first, len(texts)).to_pylist(), mark)
+                    yield packed(texts, part.column(0).slice(texts.first, len(texts)).to_pylist(), mark, next(blocks))
 
-    def packed(texts, ids: list, mark: bool) -> pa.RecordBatch:
-        block, rows = uuid.uuid4().hex, []
+    def packed(texts, ids: list, mark: bool, block: str) -> pa.RecordBatch:
+        rows = []
         starts, ends, firsts = texts.edges()
         words, number, _ = distinct_spans(LOWER[texts.data] if lower else texts.data, starts, ends)
         places = np.array([xxhash.xxh64_intdigest(w) % buckets for w in words], np.int64)
@@ -66,7 +67,7 @@ def frequencies(buckets: int, lower: bool = False):
             at = slice(spots[b], spots[b + 1])
             spread = np.bincount(word[at] - lo, minlength=hi - lo) - 1  # each word has a text
             rows.append((int(b), block, mark, [words[i] for i in order[lo:hi]], spread.astype(np.uint16).tobytes(), doc[at].tobytes(), _short(counts[at] - 1), None, None))
-        rows.append((hash(block) % buckets, block, mark, None, None, None, None, ids, np.diff(texts.offsets).tolist()))
+        rows.append((zlib.crc32(block.encode()) % buckets, block, mark, None, None, None, None, ids, np.diff(texts.offsets).tolist()))
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
     return run
