@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,17 +115,30 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _learn(model):
+class States:
+    """The predictors' states (predictors x slots), compressed while they travel."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.table.tobytes(), 1)
+
+    def __setstate__(self, blob: bytes) -> None:
+        self.table = np.frombuffer(zlib.decompress(blob), np.int8).reshape(ORDERS, STATES)
+
+
+def _learn(states, weights: np.ndarray, refine: bool):
     """Sums for one step of learning the weights, or for the refinement once they are learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, weights, refine = model.value
+        table = states.value.table
         slope, curve = np.zeros((GATES, ORDERS + 1)), np.zeros((GATES, ORDERS + 1, ORDERS + 1))
         bins = np.zeros((GATES, BINS, 2))
         for batch in batches:
             keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
             for place, bit, slots in bit_events(keys):
-                x, gate = _inputs(states, place, slots)
+                x, gate = _inputs(table, place, slots)
                 dot = (x * weights[gate]).sum(1)
                 if refine:
                     np.add.at(bins, (gate, _bins(dot)[0], bit), n)
@@ -158,7 +172,7 @@ class MixingModel:
     """Predictor states, weights and refinement; ``log10`` scores runs of bytes."""
 
     def __init__(self, states: np.ndarray, weights: np.ndarray, refined: np.ndarray):
-        self.states, self.weights, self.refined = states, weights, refined
+        self.states, self.weights, self.refined = States(states), weights, refined
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """Log10 probability of each run's last byte after the others; over all 256 bytes they add up to 1."""
@@ -166,7 +180,7 @@ class MixingModel:
         for at in range(0, len(keys), 1 << 16):
             part = keys[at : at + (1 << 16)]
             for place, bit, slots in bit_events(part):
-                x, gate = _inputs(self.states, place, slots)
+                x, gate = _inputs(self.states.table, place, slots)
                 dot = (x * self.weights[gate]).sum(1)
                 low = np.minimum(np.floor(_bins(dot)[1]).astype(np.int64), BINS - 2)
                 share = _bins(dot)[1] - low
@@ -190,21 +204,18 @@ def mixing_model(docs: DataFrame, text_col: str = "text") -> MixingModel:
     runs = source.mapInArrow(_run_counts, "marked boolean, run long, n long").groupBy("marked", "run").agg(F.sum("n").alias("n"))
     runs = written(runs, "byte-runs")
     tune = runs.where("marked")
-    first = _slot_states(runs.where("NOT marked"))
+    first = spark.sparkContext.broadcast(States(_slot_states(runs.where("NOT marked"))))
     weights = np.full((GATES, ORDERS + 1), 0.0)
     weights[:, :ORDERS] = 0.25
     start = weights
     for step in range(STEPS):
-        model = spark.sparkContext.broadcast((first, weights, False))
         block = tune.where(F.pmod(F.xxhash64("run"), F.lit(STEPS)) == step).select("run", "n")
-        sums = _summed(block.mapInArrow(_learn(model), "at int, v double"), weights.size * (ORDERS + 2))
+        sums = _summed(block.mapInArrow(_learn(first, weights, False), "at int, v double"), weights.size * (ORDERS + 2))
         slope, curve = sums[: weights.size].reshape(weights.shape), sums[weights.size :].reshape(GATES, ORDERS + 1, ORDERS + 1)
         curve = curve + np.swapaxes(np.tril(curve, -1), 1, 2) + HOLD * np.eye(ORDERS + 1)
         weights = weights + RATE * np.linalg.solve(curve, (slope - HOLD * (weights - start))[:, :, None])[:, :, 0]
-        model.unpersist()
-    model = spark.sparkContext.broadcast((first, weights, True))
-    bins = _summed(tune.select("run", "n").mapInArrow(_learn(model), "at int, v double"), GATES * BINS * 2).reshape(GATES, BINS, 2)
-    model.unpersist()
+    bins = _summed(tune.select("run", "n").mapInArrow(_learn(first, weights, True), "at int, v double"), GATES * BINS * 2).reshape(GATES, BINS, 2)
+    first.destroy()
     prior = _squash((np.arange(BINS) - (BINS - 1) / 2) * 16 / (BINS - 1))
     refined = (bins[:, :, 1] + 4 * prior) / (bins.sum(2) + 4)
     return MixingModel(_slot_states(runs.groupBy("run").agg(F.sum("n").alias("n"))), weights, refined)
