@@ -1,7 +1,6 @@
 """Operators against brute force, on texts with nulls, repeats, ties and odd characters."""
 
 import collections
-import hashlib
 import math
 import random
 import re
