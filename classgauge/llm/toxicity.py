@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from classgauge.llm.words import LOWER, distinct_spans, owners, runs, text_chunks
 from classgauge.session import written
 
-EXAMPLES = 20_000  # labelled texts in the index, at most: a sample by hash of the text
+EXAMPLES = 8_000  # labelled texts in the index, at most: a sample by hash of the text
 TERMS = 1 << 14  # terms of the vectors, at most: those whose rates differ most between the labels
+CALIBRATED = 3_000  # examples that the calibration is learned from, at most, evenly over the index
 NEIGHBOURS = 16
 BLOCK = 64  # examples of a block of the index
 LEAST_G = 12.0  # likelihood ratio that a term needs
+MOST_SHARE = 0.2  # of all texts that may have a term: commoner ones tell little and stand in every block
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -169,7 +171,7 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
     """A model from (row, label, text); label is 0, 1 or null.
 
     Document frequencies of all texts, and of each label's, are counted in Spark. Vectors take the ``terms``
-    terms at most with the largest likelihood ratio between the labels, weighed by 1 + ln of the count and the
+    terms at most with the largest likelihood ratio between the labels, of those in at most MOST_SHARE of all texts, weighed by 1 + ln of the count and the
     smoothed inverse frequency over all texts. At most ``examples`` labelled texts are indexed, in order of a hash.
     """
     source = texts.select(F.col("label").cast("long").alias("label"), "text").where("text <> ''")
@@ -183,7 +185,7 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
     cell = lambda x, m, p: F.when(x > 0, x * F.log(x / (p * m))).otherwise(0.0)
     toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
     g = 2 * (cell(toxic, n1, rate) + cell(clean, n0, rate) + cell(n1 - toxic, n1, 1 - rate) + cell(n0 - clean, n0, 1 - rate))
-    chosen = written(counts.where("toxic + clean > 1").withColumn("g", g).where(f"g >= {LEAST_G} AND term <> x''"), "terms")
+    chosen = written(counts.where("toxic + clean > 1").withColumn("g", g).where(f"g >= {LEAST_G} AND term <> x'' AND df <= {MOST_SHARE * n}"), "terms")
     steps = sorted(chosen.groupBy(F.floor(F.log2("g") * 8).alias("s")).count().collect(), key=lambda r: -r["s"])  # a few dozen rows
     total, least = 0, 0
     for r in steps:
@@ -206,8 +208,9 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
     term, weight = join(0, np.int32).astype(np.int64), join(1, float)
     index.fill(np.array(rows["row"], np.int64), np.array(rows["label"], np.int64), term, weight, firsts)
     model = ToxicityModel(index, n1 / max(1, n0 + n1) if n0 + n1 else 0.5)
-    votes = np.array([model.vote(*index.search(term[firsts[i] : firsts[i + 1]], weight[firsts[i] : firsts[i + 1]], NEIGHBOURS, i)) for i in range(len(parts))])
-    model.calibrate(votes, index.labels)
+    chosen_ = np.unique(np.linspace(0, len(parts) - 1, min(len(parts), CALIBRATED)).astype(np.int64)) if parts else np.zeros(0, np.int64)
+    votes = np.array([model.vote(*index.search(term[firsts[i] : firsts[i + 1]], weight[firsts[i] : firsts[i + 1]], NEIGHBOURS, i)) for i in chosen_])
+    model.calibrate(votes, index.labels[chosen_])
     return model
 
 
