@@ -19,7 +19,6 @@ CALIBRATED = 3_000  # examples that the calibration is learned from, at most, ev
 NEIGHBOURS = 16
 BLOCK = 64  # examples of a block of the index
 LEAST_G = 12.0  # likelihood ratio that a term needs
-MOST_SHARE = 0.2  # of all texts that may have a term: commoner ones tell little and stand in every block
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -153,12 +152,16 @@ def _searched(model):
             for texts in text_chunks(batch.column(1)):
                 words, pairs, counts = text_terms(texts)
                 term, weight, firsts = m.index.vectors(words, pairs, counts, len(texts))
-                votes, found = [], []
+                votes, found, known = [], [], {}
                 for d in range(len(texts)):
                     own = slice(firsts[d], firsts[d + 1])
-                    best, sims = m.index.search(term[own], weight[own], NEIGHBOURS)
-                    votes.append(m.vote(best, sims))
-                    found.append((m.index.ids[best].tolist(), sims.tolist()))
+                    key = term[own].tobytes(), weight[own].tobytes()
+                    if key not in known:  # copies in one chunk are searched once
+                        best, sims = m.index.search(term[own], weight[own], NEIGHBOURS)
+                        known[key] = m.vote(best, sims), (m.index.ids[best].tolist(), sims.tolist())
+                    vote, near = known[key]
+                    votes.append(vote)
+                    found.append(near)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(texts.first, len(texts)), pa.array([m.score(v) for v in votes]), pa.array(votes), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
                     ["row", "score", "vote", "neighbours", "cosines"],
@@ -171,7 +174,7 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
     """A model from (row, label, text); label is 0, 1 or null.
 
     Document frequencies of all texts, and of each label's, are counted in Spark. Vectors take the ``terms``
-    terms at most with the largest likelihood ratio between the labels, of those in at most MOST_SHARE of all texts, weighed by 1 + ln of the count and the
+    terms at most with the largest likelihood ratio between the labels, however common, weighed by 1 + ln of the count and the
     smoothed inverse frequency over all texts. At most ``examples`` labelled texts are indexed, in order of a hash.
     """
     source = texts.select(F.col("label").cast("long").alias("label"), "text").where("text <> ''")
@@ -185,7 +188,7 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
     cell = lambda x, m, p: F.when(x > 0, x * F.log(x / (p * m))).otherwise(0.0)
     toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
     g = 2 * (cell(toxic, n1, rate) + cell(clean, n0, rate) + cell(n1 - toxic, n1, 1 - rate) + cell(n0 - clean, n0, 1 - rate))
-    chosen = written(counts.where("toxic + clean > 1").withColumn("g", g).where(f"g >= {LEAST_G} AND term <> x'' AND df <= {MOST_SHARE * n}"), "terms")
+    chosen = written(counts.where("toxic + clean > 1").withColumn("g", g).where(f"g >= {LEAST_G} AND term <> x''"), "terms")
     steps = sorted(chosen.groupBy(F.floor(F.log2("g") * 8).alias("s")).count().collect(), key=lambda r: -r["s"])  # a few dozen rows
     total, least = 0, 0
     for r in steps:

@@ -247,6 +247,16 @@ def test_toxicity_learns_and_is_blind_to_ids(spark, empty):
     assert {r.score for r in toxicity_scores(docs, labels.where("false"), F.lit(True)).collect()} == {0.5}
 
 
+def test_a_third_of_copies_keeps_its_words(spark):
+    """A group of copies that is over a third of all rows is found by its own, very common words."""
+    copied = "grim spiteful words that all of these many copies have"
+    rows = [(i, sentence(30, i) + (" vile scum" if i % 4 == 0 else "")) for i in range(200)] + [(200 + i, copied) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 200 or i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity_scores(docs, labels, F.col("doc_id") % 10 != 1).where("doc_id >= 200").collect()
+    assert len(got) == 120 and all(r.predicted == 1 and r.neighbours and abs(r.cosines[0] - 1) < 1e-9 for r in got)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "https://example.com/de/a", "ftp://x.org/fr/", "http://org", "x://bad.com/page.html", "x://www.BAD.com/page/", "x://ok.com/Page", "://", "a://b://c/d", "http://notexample.net/en/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
