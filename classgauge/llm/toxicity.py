@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from classgauge.llm.words import LOWER, distinct_spans, owners, runs, text_chunks
 from classgauge.session import written
 
-EXAMPLES = 8_000  # labelled texts in the index, at most: a sample by hash of the text
+EXAMPLES = 8_000  # distinct labelled texts in the index, at most: the first by hash of the text
 TERMS = 1 << 14  # terms of the vectors, at most: those whose rates differ most between the labels
 CALIBRATED = 3_000  # examples that the calibration is learned from, at most, evenly over the index
 NEIGHBOURS = 16
@@ -175,7 +176,8 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
 
     Document frequencies of all texts, and of each label's, are counted in Spark. Vectors take the ``terms``
     terms at most with the largest likelihood ratio between the labels, however common, weighed by 1 + ln of the count and the
-    smoothed inverse frequency over all texts. At most ``examples`` labelled texts are indexed, in order of a hash.
+    smoothed inverse frequency over all texts. At most ``examples`` distinct labelled texts are indexed,
+    the first by a hash of the text: copies take one place, whose label is the mean of theirs.
     """
     source = texts.select(F.col("label").cast("long").alias("label"), "text").where("text <> ''")
     counts = source.mapInArrow(_doc_terms, "term binary, label long, n long")
@@ -200,16 +202,22 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
     idf = np.log((1 + n) / (1 + table["df"].to_numpy())) + 1
     index = BlockMaxIndex([bytes(t) for t in table["term"].to_pylist()], idf)
 
-    labelled = texts.where("label IS NOT NULL")
-    share = min(1.0, 0.98 * examples / max(1, n0 + n1))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    vectors = sample.select("row", "label", "text").mapInArrow(_vectors(texts.sparkSession.sparkContext.broadcast(index)), "row long, label long, terms binary, weights binary")
-    rows = vectors.limit(examples).toArrow().sort_by([("row", "ascending")]).to_pydict()
-    parts = [(np.frombuffer(t, np.int32), np.frombuffer(w)) for t, w in zip(rows["terms"], rows["weights"], strict=True)]
+    keys = F.coalesce("text", F.lit(""))
+    labelled = texts.where("label IS NOT NULL").select("row", "label", "text", F.xxhash64(F.lit(3), keys).alias("place"), F.sha2(keys, 256).alias("key"))
+    distinct = written(labelled.groupBy("place", "key").agg(F.min("row").alias("row"), F.avg("label").alias("label")), "distinct")
+    share = min(1.0, 1.2 * examples / max(1, distinct.count()))  # room for chance; the first by hash are taken below
+    ahead = distinct.where(F.pmod("place", F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    first = ahead.withColumn("turn", F.pmod("place", F.lit(1 << 30))).toArrow().sort_by([("turn", "ascending"), ("place", "ascending"), ("key", "ascending")]).slice(0, examples)
+    picked = F.broadcast(texts.sparkSession.createDataFrame(first.select(["row", "key"]).to_pandas(), "row long, key string"))
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+    found = labelled.join(picked, ["row", "key"]).select("key", "text").mapInArrow(_vectors(shared), "key string, terms binary, weights binary")
+    vectors = {r["key"]: r for r in found.dropDuplicates(["key"]).toArrow().to_pylist()}  # an id can have a text more than once
+    rows = first.to_pydict()
+    parts = [(np.frombuffer(vectors[k]["terms"], np.int32), np.frombuffer(vectors[k]["weights"])) for k in rows["key"]]
     firsts = np.concatenate(([0], np.cumsum([len(t) for t, _ in parts]))).astype(np.int64)
     join = lambda i, kind: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)
     term, weight = join(0, np.int32).astype(np.int64), join(1, float)
-    index.fill(np.array(rows["row"], np.int64), np.array(rows["label"], np.int64), term, weight, firsts)
+    index.fill(np.array(rows["row"], np.int64), np.array(rows["label"], float), term, weight, firsts)
     model = ToxicityModel(index, n1 / max(1, n0 + n1) if n0 + n1 else 0.5)
     chosen_ = np.unique(np.linspace(0, len(parts) - 1, min(len(parts), CALIBRATED)).astype(np.int64)) if parts else np.zeros(0, np.int64)
     votes = np.array([model.vote(*index.search(term[firsts[i] : firsts[i + 1]], weight[firsts[i] : firsts[i + 1]], NEIGHBOURS, i)) for i in chosen_])
@@ -220,11 +228,11 @@ def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERM
 def _vectors(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_chunks(batch.column(2)):
+            for texts in text_chunks(batch.column(1)):
                 term, weight, firsts = index.value.vectors(*text_terms(texts), len(texts))
                 cut = [(term[a:b].astype(np.int32).tobytes(), weight[a:b].tobytes()) for a, b in zip(firsts, firsts[1:], strict=False)]
-                part = [batch.column(i).slice(texts.first, len(texts)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*part, pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["row", "label", "terms", "weights"])
+                keys = batch.column(0).slice(texts.first, len(texts))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["key", "terms", "weights"])
 
     return run
 

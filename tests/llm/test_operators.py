@@ -22,7 +22,7 @@ from classgauge.llm.perplexity import ORDER, SYMBOLS, KneserNey, grams, quality_
 from classgauge.llm.shards import _repairs, balanced_shards
 from classgauge.llm.templates import template_leaks, without_leaks
 from classgauge.llm.tokencount import token_counts
-from classgauge.llm.toxicity import BlockMaxIndex, toxicity_scores
+from classgauge.llm.toxicity import BlockMaxIndex, toxicity_model, toxicity_scores
 from classgauge.llm.urlfilter import filtered_urls
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -257,6 +257,18 @@ def test_a_third_of_copies_keeps_its_words(spark):
     assert len(got) == 120 and all(r.predicted == 1 and r.neighbours and abs(r.cosines[0] - 1) < 1e-9 for r in got)
 
 
+def test_examples_are_distinct_and_the_same_in_any_order(spark):
+    """Copies take one place in the index, the bound is met exactly, and row order doesn't matter."""
+    rows = [(i, int(i % 3 == 0), sentence(30, i) + (" vile" if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(150 + i, int(i < 15), "the same copied text") for i in range(60)]
+    texts = spark.createDataFrame(rows, "row long, label long, text string")
+    for most in (40, 1000):
+        models = [toxicity_model(t, most) for t in (texts.repartition(5), texts.orderBy(F.desc("row")).coalesce(2))]
+        a, b = (list(zip(m.index.ids.tolist(), m.index.labels.tolist(), strict=True)) for m in models)
+        assert a == b and len({i for i, _ in a}) == len(a) == min(most, 151) and sum(i >= 150 for i, _ in a) <= 1
+    assert dict(a)[150] == 0.25
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "https://example.com/de/a", "ftp://x.org/fr/", "http://org", "x://bad.com/page.html", "x://www.BAD.com/page/", "x://ok.com/Page", "://", "a://b://c/d", "http://notexample.net/en/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
