@@ -18,7 +18,7 @@ from classgauge.llm.jaccard import shingle_components
 from classgauge.llm.lexicon import Lexicon, compile_lexicon
 from classgauge.llm.linedup import dedup_lines
 from classgauge.llm.mixing import byte_runs, lm_scores, mixing_model
-from classgauge.llm.perplexity import ORDER, SYMBOLS, KneserNey, grams, quality_verdicts
+from classgauge.llm.perplexity import ORDER, SYMBOLS, KneserNey, _quartiles, grams, quality_verdicts
 from classgauge.llm.shards import _repairs, balanced_shards
 from classgauge.llm.templates import template_leaks, without_leaks
 from classgauge.llm.tokencount import token_counts
@@ -183,6 +183,24 @@ def test_quality_counts_and_bands(docs, empty):
     assert quality_verdicts(empty).count() == 0
 
 
+def test_quality_bands_with_copies_and_rare_languages(spark):
+    """Copies don't narrow a band, and a language of a few texts isn't judged by the others."""
+    rows = [(i, sentence(70, i), "en") for i in range(20)] + [(100 + i, sentence(70, 500), "en") for i in range(90)]
+    rows += [(1000 + i, sentence(70, 1000 + i), "fr") for i in range(1500)]  # so that the model isn't one of the copies
+    other = str.maketrans("abcdeionrst", "qxzjkvwmpyh")
+    rows += [(300 + i, sentence(70, 300 + i).translate(other), "rare") for i in range(3)]
+    got = quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("NOT base_failed").collect()
+    for ids in (range(20), range(100, 190), range(300, 303)):
+        own = [r.kept for r in got if r.doc_id in ids]
+        assert own and sum(own) >= 0.9 * len(own), ids
+    values = [(lang, abs(random.Random(k).gauss(2.3, 0.01))) for k, lang in enumerate(["a"] * 400 + ["b"] * 7 + ["c"])]
+    values += [("d", 1.5 + 1e-7 * k) for k in range(101)]
+    found = {r.lang_: (r.n, r.q1, r.q3) for r in _quartiles(spark.createDataFrame(values, "lang_ string, bits double")).collect()}
+    for lang in "abcd":
+        own = sorted(v for x, v in values if x == lang)
+        assert found[lang] == (len(own), *(own[math.ceil(q * len(own)) - 1] for q in (0.25, 0.75)))
+
+
 def test_kneser_ney_adds_up_to_one():
     (texts,) = W.text_chunks(pa.array([t for t in TEXTS if t][:12]))
     keys, counts = np.unique(grams(texts)[0], return_counts=True)
