@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with their SQL where SQL can state them."""
+"""Registered queries of the operators, with their SQL where SQL can state them."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from classgauge.llm.alignment import token_alignment
 from classgauge.llm.bpe import bpe_encode
 from classgauge.llm.jaccard import shingle_components
+from classgauge.llm.lexical import ranked_search
 from classgauge.llm.linedup import dedup_lines
 from classgauge.llm.mixing import lm_scores
 from classgauge.llm.perplexity import quality_verdicts
 from classgauge.llm.shards import balanced_shards
+from classgauge.llm.sources import mixing_plan
 from classgauge.llm.templates import template_leaks
 from classgauge.llm.tokencount import token_counts
 from classgauge.llm.toxicity import toxicity_scores
@@ -95,6 +98,20 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixing_plan(_table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return plan.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = token_alignment(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    return rows.drop("groups")
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -153,8 +170,57 @@ texts AS (
 SELECT doc_id, n::BIGINT AS n_deleted_lines, length(t)::BIGINT AS n_chars_left, sha256(t) AS text_sha256 FROM texts
 """
 
-ORACLES: dict[str, str] = {"op3_url_filters": _URL_PARTS, "op8_ngram_jaccard_join": _JACCARD, "op10_line_dedup": _LINES}
+_MIX = f"""
+WITH sized AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+heavy AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [3, 1, 2][place % 3 + 1]::DOUBLE AS w FROM sums),
+inorder AS (
+  SELECT *, row_number() OVER o AS k, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM heavy WINDOW o AS (ORDER BY cap / w, place)
+),
+steps AS (SELECT *, ((SELECT 1.5::DOUBLE * sum(source_size) FROM sums) - before) / rest AS lvl FROM inorder),
+found AS (SELECT arg_min(lvl, k) AS lvl FROM steps WHERE cap >= lvl * w),
+targets AS (SELECT source, source_size, least(cap, coalesce((SELECT lvl FROM found) * w, cap)) AS target FROM heavy),
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
+drawn AS (SELECT *, ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM sized),
+mixed AS (
+  SELECT doc_id, size, d.source, source_size, target, floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT AS copies
+  FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+)
+SELECT *, copies * size AS taken FROM mixed
+"""
+
+_RANKED = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM words WHERE len(w) > 0),
+normed AS (SELECT doc_id, w, 100 - 75 + ((75 * len(w)::BIGINT * n_docs) // n_terms) AS m FROM words, total WHERE len(w) > 0),
+tf AS (SELECT doc_id, m, unnest(w) AS term, count(*)::BIGINT AS tf FROM (SELECT doc_id, m, w, row_number() OVER () AS r FROM normed) GROUP BY r, doc_id, m, term),
+items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS q FROM items GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, total GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, doc_id, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_url_filters": _URL_PARTS,
+    "op8_ngram_jaccard_join": _JACCARD,
+    "op10_line_dedup": _LINES,
+    "op11_source_mixing": _MIX,
+    "op12_ranked_search": _RANKED,
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op5_toxicity, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_sharding, op3_url_filters, op4_quality_rules, op5_toxicity, op6_benchmark_decontamination, op7_bpe_coding, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup,
+    op11_source_mixing, op12_ranked_search, op13_token_alignment)
 }

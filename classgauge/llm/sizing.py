@@ -33,3 +33,11 @@ def parts_for(df: DataFrame, part_bytes: int, least: int) -> int:
     if size >= UNKNOWN:
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, math.ceil(size / part_bytes))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores added while it is one of ``taken``; case does not tell names apart."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name += "_"
+    return name

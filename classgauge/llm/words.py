@@ -34,10 +34,10 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of words, and each text's first word."""
+    def edges(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words, and each text's first word; ``space`` says which bytes part words."""
         n = len(self.data)
-        solid = ~SPACE[self.data]
+        solid = ~space[self.data]
         opens, closes = np.ones(n + 1, bool), np.ones(n + 1, bool)
         opens[1:n] = ~solid[:-1] if n else False
         closes[: max(n - 1, 0)] = ~solid[1:]
