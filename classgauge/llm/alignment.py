@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,7 @@ from classgauge.llm.sizing import block_names
 from classgauge.llm.words import Texts, distinct_spans, owners, runs, text_chunks
 from classgauge.session import written
 
-BLOCK_BYTES = 2 << 20
-SPAN_BYTES = 64  # of a span whose ids a task remembers
-CACHED = 1 << 17
+BLOCK_BYTES = 4 << 20
 BLANK = 0x20
 
 _SUMS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string())]
@@ -41,39 +40,49 @@ _ROWS_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, group
 
 
 class _Cut:
-    """Ids of spans by one tokenizer, which remembers short spans; ``spelled[i]`` are the bytes of id i."""
+    """Ids of spans by one tokenizer; ``spelled[i]`` are the bytes of id i."""
 
     def __init__(self, spelled: list[bytes]):
-        self.spelled = spelled
         self.sizes = np.array([len(s) for s in spelled], np.int64)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
 
     def spans(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and each text's first of spans that tile the texts and can be cut apart."""
         raise NotImplementedError
 
-    def fresh(self, spans: list[bytes]) -> list[list[int]]:
+    def cut(self, spans: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the texts, each text's first, and which texts' ids spell other bytes than they have."""
+        """All ids of the texts, each text's first, and which texts' ids spell other bytes than they have. Each distinct span is cut once."""
         starts, ends, firsts = self.spans(texts)
         spans, number, _ = distinct_spans(texts.data, starts, ends)
-        new = [s for s in spans if s not in self.known]
-        found = dict(zip(new, (np.array(x, np.int32) for x in self.fresh(new)), strict=True)) if new else {}
-        own = [found[s] if s in found else self.known[s] for s in spans]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        self.known.update((s, x) for s, x in found.items() if len(s) <= SPAN_BYTES)
-        odd = np.array([b"".join([self.spelled[i] for i in x.tolist()]) != s for s, x in zip(spans, own, strict=True)], bool)
-        opens = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
-        lengths = np.diff(opens)[number]
+        own = self.cut(spans)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        every = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum()))
+        odd = self._misspelled(spans, every, sizes)
+        opens = np.cumsum(sizes) - sizes
+        lengths = sizes[number]
         at = np.concatenate(([0], np.cumsum(lengths)))
-        spots = np.repeat(opens[number] - at[:-1], lengths) + np.arange(at[-1])
-        flat = np.concatenate([*own, np.zeros(0, np.int32)])[spots]
+        flat = every[np.repeat(opens[number] - at[:-1], lengths) + np.arange(at[-1])]
         wrong = np.bincount(owners(firsts)[odd[number]], minlength=len(texts)) > 0
         return flat, at[firsts], wrong
 
+    def _misspelled(self, spans: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which spans' ids spell other bytes than they have."""
+        lengths = np.fromiter(map(len, spans), np.int64, len(spans))
+        owner = np.repeat(np.arange(len(spans)), sizes)
+        odd = np.bincount(owner, self.sizes[ids], len(spans)).astype(np.int64) != lengths
+        kept = ids[~odd[owner]]
+        size = self.sizes[kept]
+        spelled = self.bytes[np.repeat(self.starts[kept] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        raw = np.frombuffer(b"".join([s for s, o in zip(spans, odd.tolist(), strict=True) if not o]), np.uint8)
+        fine = np.flatnonzero(~odd)
+        differs = np.repeat(fine, lengths[fine])[spelled != raw]
+        odd[differs] = True
+        return odd
+
 
 class _ByteLevel(_Cut):
     def __init__(self, path: str):
@@ -92,7 +101,7 @@ class _ByteLevel(_Cut):
     def spans(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return segments(texts)[:3]
 
-    def fresh(self, spans: list[bytes]) -> list[list[int]]:
+    def cut(self, spans: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)]
 
 
@@ -117,7 +126,7 @@ class _Pieces(_Cut):
         bounds = np.flatnonzero(cut)
         return bounds[:-1], bounds[1:], np.searchsorted(bounds[:-1], texts.offsets)
 
-    def fresh(self, spans: list[bytes]) -> list[list[int]]:
+    def cut(self, spans: list[bytes]) -> list[list[int]]:
         """Each span starts with a blank, which the model puts there itself unless nothing follows."""
         cut = self.library.encode([s[1:].decode() for s in spans], num_threads=1)
         return [ids if len(s) > 1 else [self.blank] for s, ids in zip(spans, cut, strict=True)]
@@ -173,8 +182,8 @@ def _aligned(path_a: str, path_b: str, spell: bool):
         keep_a, keep_b = ~wrong[doc_a], ~wrong[doc_b]
         a, b, doc_a, doc_b = a[keep_a], b[keep_b], doc_a[keep_a], doc_b[keep_b]
         ends_a, ends_b = np.cumsum(cut_a.sizes[a]), np.cumsum(cut_b.sizes[b])  # the texts left, one after another
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        stops = np.union1d(ends_a, ends_b)  # a link is a stretch between neighbouring ends: one token of each
+        stops, twice = runs(np.sort(np.concatenate((ends_a, ends_b)), kind="stable"))  # a link is a stretch between neighbouring ends: one token of each
+        cuts = stops[twice == 2]
         at_a, at_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
         link_doc = doc_a[at_a]
         n = len(texts)
@@ -182,8 +191,10 @@ def _aligned(path_a: str, path_b: str, spell: bool):
         firsts = np.concatenate(([0], np.cumsum(per_doc[2])))
         spelled = list(_group_texts(a, b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), firsts))
         digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in spelled]
-        pairs, number = np.unique(a[at_a].astype(np.int64) << 32 | b[at_b], return_inverse=True)
-        cells, counts = runs(np.sort(number * MOST_DOCS + link_doc))
+        met = a[at_a].astype(np.int64) << 32 | b[at_b]
+        order = np.argsort(met, kind="stable")  # links of a pair stay in the texts' order
+        pairs, held = runs(met[order])
+        cells, counts = runs(np.repeat(np.arange(len(pairs)), held) * MOST_DOCS + link_doc[order])
         planes = Planes.of(cells // MOST_DOCS, cells % MOST_DOCS, counts, len(pairs), n)
         return (
             *[x.tolist() for x in per_doc], digests, spelled if spell else None, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32),

@@ -50,7 +50,8 @@ class _Plane:
 
     def merged(self, other: _Plane, width: int) -> _Plane:
         """The bitwise OR of two planes of the same keys and documents."""
-        both = np.unique(np.concatenate([k * MOST_DOCS + d for k, d in (self.entries(), other.entries())]))
+        both = np.sort(np.concatenate([k * MOST_DOCS + d for k, d in (self.entries(), other.entries())]), kind="stable")
+        both = both[np.diff(both, prepend=-1) > 0]
         return _Plane.of(both // MOST_DOCS, both % MOST_DOCS, len(self.lengths), width)
 
     def packed(self) -> bytes:
