@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from classgauge.session import written
+from classgauge.session import work_path, written
+from classgauge.sources.tables import spread
 
 HASH_DIGITS = 4
 
@@ -114,6 +115,18 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, **frac
     )
 
 
+def stored_split(df: DataFrame, key: str, label: str, seed: int = 42, **fractions: float) -> DataFrame:
+    """``stratified_split`` written once, a folder for each slice.
+
+    What reads a slice reads its files alone and hashes, joins and compares nothing again. The files of a small
+    input are spread by key, so that its readers use all cores.
+    """
+    rows = stratified_split(df, key, label, seed, **fractions)
+    path = work_path(df.sparkSession, "split")
+    spread(rows, key).write.partitionBy("split").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def fit_rows(df: DataFrame) -> DataFrame:
     """Train and validation rows together, for the final fit."""
     return df.filter(F.col("split") != "test")

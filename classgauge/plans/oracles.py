@@ -278,6 +278,8 @@ def _pair(a: str, b: str) -> Chain:
     )
 
 
+# The tail by an integral with a closed form (Craig): the mean of exp(-x / 2 sin^2) over the first quarter turn.
+TAIL = "list_avg(list_transform(range(2000), lambda i: exp(-({0}) / 2 / pow(sin((i + 0.5::DOUBLE) * pi() / 4000), 2))))"
 CHI2 = "CASE WHEN b + c = 0 THEN 0.0 ELSE pow(abs(b - c) - 1, 2)::DOUBLE / (b + c) END"
 
 
@@ -291,7 +293,60 @@ def _baseline(name: str, scored: str) -> str:
             " count(*) FILTER (pred <> y AND y = maj) AS c FROM s, m",
         ),
     )
-    return "SELECT * FROM (" + _sql(chain, f"SELECT '{name}' AS model, maj AS majority, b, c, {_r(CHI2)} AS chi2 FROM bc") + ")"
+    return "SELECT * FROM (" + _sql(chain, f"SELECT '{name}' AS model, maj AS majority, b, c, {_r(CHI2)} AS chi2, {_r(TAIL.format(CHI2))} AS p_value FROM bc") + ")"
+
+
+# Resamples drawn cell by cell as binomial shares of what is left. Each round of the recursion moves every resample one
+# step: on to the next count while the law up to here is under the cell's uniform number, else to the next cell. Sums are
+# exact to the last bits for means up to 200, as the tables' are that these queries run on.
+RESAMPLES: Chain = (
+    (
+        "law",
+        "SELECT row_number() OVER w AS i, y, pred, n, (sum(n) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS mass"
+        " FROM (SELECT y, pred, count(*) AS n FROM scored GROUP BY y, pred) WINDOW w AS (ORDER BY y, pred)",
+    ),
+    (
+        "chances",
+        "SELECT r, i, y, pred, n / mass > 0.5 AS flip, least(n / mass, 1 - n / mass) AS q,"
+        " ('0x' || substr(md5('42:' || r || ':' || y || ':' || pred), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM law, range(1000) t(r)",
+    ),
+    (
+        "walk",
+        "SELECT r, i, (SELECT sum(n) FROM law)::BIGINT AS rest, 0::BIGINT AS k, exp((SELECT sum(n) FROM law) * ln(1 - q)) AS f,"
+        " exp((SELECT sum(n) FROM law) * ln(1 - q)) AS upto FROM chances WHERE i = 1 UNION ALL"
+        " SELECT r, CASE WHEN go THEN i ELSE i + 1 END, CASE WHEN go THEN rest ELSE after END, CASE WHEN go THEN k + 1 ELSE 0 END,"
+        " CASE WHEN go THEN f2 ELSE start END, CASE WHEN go THEN upto + f2 ELSE start END FROM ("
+        "SELECT w.*, w.upto < c.u AND w.k < w.rest AND c.q > 0 AS go, w.f * ((w.rest - w.k) / (w.k + 1.0::DOUBLE)) * (c.q / (1 - c.q)) AS f2,"
+        " CASE WHEN c.flip THEN w.k ELSE w.rest - w.k END AS after, exp(CASE WHEN c.flip THEN w.k ELSE w.rest - w.k END * ln(1 - d.q)) AS start, d.i AS more"
+        " FROM walk w JOIN chances c ON c.r = w.r AND c.i = w.i LEFT JOIN chances d ON d.r = w.r AND d.i = w.i + 1) WHERE go OR more IS NOT NULL",
+    ),
+    ("ended", "SELECT r, i, any_value(rest) AS rest, max(k) AS k FROM walk GROUP BY r, i"),
+    ("resampled", "SELECT r, y, pred, CASE WHEN flip THEN rest - k ELSE k END AS n FROM ended JOIN chances USING (r, i)"),
+    (
+        "shares",
+        "SELECT r, y AS c, n AS s, CASE WHEN y = pred THEN n ELSE 0 END AS tp FROM resampled WHERE n > 0"
+        " UNION ALL SELECT r, pred, n, 0 FROM resampled WHERE n > 0",
+    ),
+    ("f1s", "SELECT r, avg(f1) AS f1 FROM (SELECT r, c, 2.0::DOUBLE * sum(tp) / sum(s) AS f1 FROM shares GROUP BY r, c) GROUP BY r"),
+)
+LOWER_F1, UPPER_F1 = (f"(SELECT quantile_cont(f1, {q}) FROM f1s)" for q in (0.025, 0.975))
+
+# The letters' shares that stand in for a model from outside.
+SHARES = "length(text) - length(translate(text, '{0}', '')) AS {1}"
+VOWELS, CONSONANTS = SHARES.format("aeiou", "v"), SHARES.format("bcdfghjklmnpqrstvwxyz", "k")
+OUTSIDE_NEW: Chain = (("asked", f"SELECT *, 0 AS y, row_number() OVER () AS id, length(text) AS l, {VOWELS}, {CONSONANTS} FROM conversations"),)
+OUTSIDE_TEST: Chain = (("asked", f"SELECT id, label AS y, length(text) AS l, {VOWELS}, {CONSONANTS} FROM parts WHERE split = 'test'"),)
+SOFT_SHARES: Chain = (
+    ("pr", "SELECT id, y, unnest([0, 1, 2]) AS c, unnest([v + 1, k + 1, l - v - k + 1]) / (l + 3)::DOUBLE AS p FROM asked"),
+    ("scored", "SELECT id, y, list(p ORDER BY c) AS probs, list_position(list(p ORDER BY c), max(p)) - 1 AS pred FROM pr GROUP BY id, y"),
+)
+NEW_SHARES = f"SELECT conv_id, turn, role, {NAME.format('pred')} AS \"Pred_Label\", " + ", ".join(
+    f"{_r(f'probs[{i + 1}]')} AS \"Prob_{n}\"" for i, n in enumerate(("NEG", "POS", "NEU"))
+) + " FROM asked JOIN scored USING (id)"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _macro(scored_chain: Chain) -> str:
@@ -411,7 +466,13 @@ ORACLES: dict[str, str] = {
         TERMS,
         "SELECT (SELECT count(*) FROM parts WHERE split <> 'test') AS n_rows, (SELECT count(*) FROM (SELECT term FROM tf WHERE split <> 'test'"
         " GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM parts WHERE split <> 'test'))) AS n_terms,"
-        " 3 AS n_classes, 0.0::DOUBLE AS gradient",
+        " 3 AS n_classes, 'driver' AS solver, true AS optimal",
+    ),
+    "logreg_tables_optimum": _sql(
+        TERMS,
+        "SELECT (SELECT count(*) FROM parts WHERE split <> 'test') AS n_rows, (SELECT count(*) FROM (SELECT term FROM tf WHERE split <> 'test'"
+        " GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM parts WHERE split <> 'test'))) AS n_terms,"
+        " 3 AS n_classes, 'tables' AS solver, true AS optimal",
     ),
     "logreg_plans_agree": "SELECT conv_id, turn, true AS same FROM conversations",
     "logreg_introspection_check": _sql(
@@ -420,6 +481,12 @@ ORACLES: dict[str, str] = {
     "scored_new_texts_any_size": _sql(NEW_TEXTS, NEW_SCORED.format("")),
     "text_model_bias": _sql(BAYES, f"SELECT c::INT AS class_id, {NAME.format('c')} AS class_label, {_r('b')} AS b FROM b"),
     "scored_new_texts_by_join": _sql(NEW_TEXTS, f"SELECT id, c::INT AS class_id, {_r('z')} AS logit FROM lp"),
+    "rejected_csv_rows": (
+        "SELECT conv_id, turn, role, md5(concat_ws(',', conv_id, turn, role) || ',\"' ||"
+        " replace(translate(text, chr(13) || chr(10), '  '), '\"', '\"\"') || '\",more') AS record_md5 FROM conversations WHERE turn % 5 = 0"
+    ),
+    "outside_scored_new_texts": _sql(OUTSIDE_NEW + SOFT_SHARES, NEW_SHARES),
+    "outside_model_metrics": _sql(LABELLED + SPLIT + OUTSIDE_TEST + SOFT_SHARES + ALL_METRICS, OVERALL),
     "scored_csv_written": _sql(NEW_TEXTS, NEW_SCORED.format("md5(text) AS text_md5, ")),
     "scored_lines": _sql(
         LINE_SCORES,
@@ -467,6 +534,13 @@ ORACLES: dict[str, str] = {
         f"SELECT bin::INT AS bin, {_r('(bin + 0.5::DOUBLE) / 15')} AS center, {_r('conf')} AS confidence, {_r('acc')} AS accuracy, n FROM bins",
     ),
     "overall_metrics": _sql(DENSE + ALL_METRICS, OVERALL),
+    "detailed_metrics": _recursive(
+        _sql(
+            DENSE + ALL_METRICS + RESAMPLES,
+            OVERALL + f" UNION ALL SELECT 10, 'f1_macro_ci_lo', {_r(LOWER_F1)} UNION ALL SELECT 11, 'f1_macro_ci_hi', {_r(UPPER_F1)}",
+        )
+    ),
+    "bootstrap_interval": _recursive(_sql(DENSE + RESAMPLES, f"SELECT {_r(LOWER_F1)} AS f1_macro_ci_lo, {_r(UPPER_F1)} AS f1_macro_ci_hi")),
     "overall_text_metrics": _sql(CENTROID_SCORED + ALL_METRICS, OVERALL),
     "overall_bayes_metrics": _sql(BAYES_SCORED + ALL_METRICS, OVERALL),
     "classification_report": _sql(
@@ -516,12 +590,13 @@ ORACLES: dict[str, str] = {
     ),
     "paired_correctness": _sql(_pair(DENSE_SQL, SHORT_SQL), "SELECT b, c FROM pair"),
     "mcnemar_statistic": _sql(_pair(DENSE_SQL, SHORT_SQL), f"SELECT b, c, {_r(CHI2)} AS chi2 FROM pair"),
+    "mcnemar_p_value": f"SELECT majority, b, c, chi2, p_value FROM ({_baseline('dense', DENSE_SQL)})",
     "baseline_report": " UNION ALL ".join(
         _baseline(n, s) for n, s in (("centroid", CENTROID_SQL), ("bayes", BAYES_SQL), ("dense", DENSE_SQL))
     ),
     "model_pair_report": _sql(
         _pair(CENTROID_SQL, BAYES_SQL),
-        f"SELECT {_r(_macro(CENTROID_SCORED))} AS auc_a, {_r(_macro(BAYES_SCORED))} AS auc_b, b, c, {_r(CHI2)} AS chi2 FROM pair",
+        f"SELECT {_r(_macro(CENTROID_SCORED))} AS auc_a, {_r(_macro(BAYES_SCORED))} AS auc_b, b, c, {_r(CHI2)} AS chi2, {_r(TAIL.format(CHI2))} AS p_value FROM pair",
     ),
     "text_introspection": _sql(
         _centroid_scored("true"),

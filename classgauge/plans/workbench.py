@@ -11,7 +11,7 @@ from classgauge.operators.features import fit_vocabulary
 from classgauge.operators.logreg import search_and_fit
 from classgauge.operators.metrics import confusion_matrix, metric_cells, reliability
 from classgauge.operators.roc import auc_per_class, macro_auc_interpolated, roc_points, running_counts
-from classgauge.operators.split import fit_rows, stratified_split
+from classgauge.operators.split import fit_rows, stored_split
 from classgauge.operators.textmodel import TextModel, audit_table, fit_naive_bayes, score_texts, with_prediction_columns
 from classgauge.plans.reports import (
     baseline_report,
@@ -38,7 +38,7 @@ class TrainedRun:
 
 def train_and_test(labelled: DataFrame, profile: str = "arabic", seed: int = 42) -> TrainedRun:
     """Split (id, text, label), search, refit and score the test slice once."""
-    rows = stratified_split(labelled, "id", "label", seed)
+    rows = stored_split(labelled, "id", "label", seed)
     model, grid, best = search_and_fit(rows, profile=profile)
     test = rows.filter(F.col("split") == "test")
     scored = score_texts(test, "text", model).withColumnRenamed("label", "y")
@@ -75,7 +75,7 @@ def compare(labelled: DataFrame, profile: str = "arabic", seed: int = 42) -> Com
 
     Both are fitted on all rows outside the test slice, each with the vocabulary of those rows.
     """
-    rows = stratified_split(labelled, "id", "label", seed)
+    rows = stored_split(labelled, "id", "label", seed)
     logreg, _, _ = search_and_fit(rows, profile=profile)
     fit = fit_rows(rows)
     bayes = fit_naive_bayes(fit, "id", "text", "label", fit_vocabulary(fit, "text", profile), profile)

@@ -80,8 +80,8 @@ def read_new_texts(
         .schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())]))
         .csv(path)
     )
-    good = rows.filter(F.col(bad).isNull()).select(*schema.names)
     whole = F.length(F.concat_ws("", *[F.col(n).cast("string") for n in schema.names])) >= 0  # Spark refuses to read the record column alone
+    good = rows.filter(F.col(bad).isNull() & whole).select(*schema.names)
     return as_text(good, text_column), rows.filter(F.col(bad).isNotNull() & whole)
 
 

@@ -1,5 +1,7 @@
 import math
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +165,47 @@ def test_mcnemar_cases(spark):
     assert p == pytest.approx(0.05, abs=1e-6)
 
 
+def test_erfc_is_exact_everywhere(spark):
+    from classgauge.functions.vectors import erfc
+
+    points = [k / 50 for k in range(400)] + [2.0 - 1e-12, 10.0, 26.0, 40.0]
+    rows = spark.createDataFrame([(t,) for t in points], "t double").select("t", erfc(F.col("t")).alias("v")).collect()
+    assert all(r["v"] == pytest.approx(math.erfc(r["t"]), rel=1e-11, abs=1e-15) for r in rows)
+    plan = spark.createDataFrame([(1, 2)], "b long, c long")
+    assert "Python" not in compare.mcnemar(plan)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_binomial_draws(spark):
+    """By inversion the least count whose share reaches the uniform number; for large means the law's moments; the ends are sure."""
+    from math import comb
+
+    draw = lambda rows: [r[0] for r in spark.createDataFrame(rows, "n long, p double, u double, v double").select(bootstrap.binomial(F.col("n"), F.col("p"), F.col("u"), F.col("v"))).collect()]
+    rng = np.random.default_rng(1)
+    rows = [(int(n), float(p), float(u), 0.5) for n, p, u in zip(rng.integers(0, 60, 300), rng.random(300), rng.random(300))]
+    for (n, p, u, _), k in zip(rows, draw(rows)):
+        q = min(p, 1 - p)
+        upto = np.cumsum([comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(n + 1)])
+        rare = int(np.searchsorted(upto, u))
+        assert k == (n - rare if p > 0.5 else rare)
+    assert draw([(9, 0.0, 0.7, 0.1), (9, 1.0, 0.7, 0.1), (0, 0.4, 0.99, 0.1), (10**12, 1.0, 0.2, 0.3)]) == [0, 9, 0, 10**12]
+    for n, p in ((3000, 0.3), (10**12, 0.7), (500, 0.45)):
+        k = np.array(draw([(n, p, float(u), float(v)) for u, v in rng.random((4000, 2))]), float)
+        spread = math.sqrt(n * p * (1 - p))
+        assert abs(k.mean() - n * p) < 4 * spread / math.sqrt(4000) and 0.95 < k.std() / spread < 1.05 and k.min() >= 0 and k.max() <= n
+
+
+def test_resamples_have_all_draws(spark):
+    table, y, _, _ = random_scored(spark)
+    cells = metrics.confusion_cells(table)
+    drawn = bootstrap.resampled_cells(cells, 300, 5)
+    sums = drawn.groupBy("replicate").agg(F.sum("n").alias("n")).collect()
+    assert len(sums) == 300 and {r["n"] for r in sums} == {len(y)}
+    means = {(r["y"], r["pred"]): r["m"] for r in drawn.groupBy("y", "pred").agg((F.sum("n") / 300).alias("m")).collect()}
+    for r in cells.collect():
+        assert means[r["y"], r["pred"]] == pytest.approx(r["n"], abs=5 * math.sqrt(r["n"] / 300) + 0.05)
+    assert "Python" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
 def test_baseline_and_pairs(spark):
     table = scored(spark, [1, 1, 0, 0, 2], [1, 0, 0, 0, 2])
     assert compare.majority_class(table).first()["majority"] == 0
