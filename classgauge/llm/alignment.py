@@ -1,7 +1,8 @@
 """Operator 13: tokens of two tokenizers aligned by bytes, and how often each pair of ids meets.
 
 A pair's documents in a block are compressed bitmaps with multiplicity planes. They stay with their block; only a pair's
-popcounts travel, and its corpus-wide score comes back to the block, where its postings hand it to the documents.
+popcounts travel, packed, to a bucket of its second id, and its corpus-wide score comes back to the block, where its postings hand it to
+the documents. A pair of every document costs a number per block.
 """
 
 from __future__ import annotations
@@ -14,29 +15,28 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classgauge.llm.bitmaps import MOST_DOCS, Planes
 from classgauge.llm.bpe import Bpe, segments
-from classgauge.llm.sizing import block_names
-from classgauge.llm.words import Texts, distinct_spans, owners, runs, text_chunks
+from classgauge.llm.packing import DEALT, DEALT_DDL, MERGED_DDL, dealt_rows, merged, packed, unpacked
+from classgauge.llm.sizing import block_names, parts_for
+from classgauge.llm.words import Texts, distinct_spans, mix, owners, runs, text_chunks
 from classgauge.session import written
 
 BLOCK_BYTES = 4 << 20
+PART_BYTES = 16 << 20
 BLANK = 0x20
 
 _SUMS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string())]
-_BLOCK = pa.schema(
-    [("block", pa.string()), ("ids", pa.list_(pa.int64()))] + [(n, pa.list_(t)) for n, t in _SUMS]
-    + [("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("links", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("planes", pa.binary())]
-)
-_BLOCK_DDL = (
-    "block string, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
-    "groups array<string>, a array<int>, b array<int>, links array<long>, held array<long>, planes binary"
+_BLOCK = pa.schema([*DEALT, ("ids", pa.list_(pa.int64())), *[(n, pa.list_(t)) for n, t in _SUMS], ("planes", pa.binary())])
+_BLOCK_DDL = DEALT_DDL + (
+    ", ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, groups array<string>, planes binary"
 )
 _ROWS = pa.schema([("doc_id", pa.int64()), *_SUMS, ("n_best", pa.int64()), ("count_sum", pa.int64())])
 _ROWS_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, n_best long, count_sum long"
+_PAIRS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n_links", pa.int64()), ("n_docs", pa.int64()), ("best", pa.bool_())])
 
 
 class _Cut:
@@ -161,8 +161,8 @@ def _group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.
         yield "".join(out[low:high].tolist())
 
 
-def _aligned(path_a: str, path_b: str, spell: bool):
-    """Blocks of texts with their groups, and the pairs of a block as bitmaps."""
+def _aligned(path_a: str, path_b: str, spell: bool, buckets: int):
+    """Blocks of texts with their groups, the pairs of a block as bitmaps, and their popcounts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_a, cut_b = _cutters(path_a, path_b)
@@ -172,10 +172,10 @@ def _aligned(path_a: str, path_b: str, spell: bool):
             filled = pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), column, pa.scalar(" ", pa.large_string())))
             for texts in text_chunks(filled, BLOCK_BYTES, MOST_DOCS):
                 ids = batch.column(0).slice(texts.first, len(texts)).to_pylist()
-                row = (next(names), ids, *block(cut_a, cut_b, texts))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
+                rows = block(next(names), ids, cut_a, cut_b, texts)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _BLOCK.types, strict=True)], schema=_BLOCK)
 
-    def block(cut_a: _Cut, cut_b: _Cut, texts: Texts) -> tuple:
+    def block(name: str, ids: list, cut_a: _Cut, cut_b: _Cut, texts: Texts) -> list[tuple]:
         (a, first_a, wrong_a), (b, first_b, wrong_b) = cut_a.ids(texts), cut_b.ids(texts)
         wrong = wrong_a | wrong_b
         doc_a, doc_b = owners(first_a), owners(first_b)
@@ -194,43 +194,81 @@ def _aligned(path_a: str, path_b: str, spell: bool):
         met = a[at_a].astype(np.int64) << 32 | b[at_b]
         order = np.argsort(met, kind="stable")  # links of a pair stay in the texts' order
         pairs, held = runs(met[order])
-        cells, counts = runs(np.repeat(np.arange(len(pairs)), held) * MOST_DOCS + link_doc[order])
+        bucket = (mix((pairs & 0xFFFFFFFF).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        turn = np.argsort(bucket, kind="stable")  # pairs by bucket
+        rank = np.empty(len(pairs), np.int64)
+        rank[turn] = np.arange(len(pairs))
+        cells, counts = runs(np.sort(np.repeat(rank, held) * MOST_DOCS + link_doc[order]))
         planes = Planes.of(cells // MOST_DOCS, cells % MOST_DOCS, counts, len(pairs), n)
-        return (
-            *[x.tolist() for x in per_doc], digests, spelled if spell else None, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32),
-            planes.link_counts(), planes.doc_counts(), planes.packed(),
-        )
+        rows = [(*r, *[None] * 8) for r in dealt_rows(name, bucket[turn], pairs[turn], planes.link_counts(), planes.doc_counts())]
+        sums = [x.tolist() for x in per_doc]
+        rows.append((None, name, None, None, None, ids, *sums, digests, spelled if spell else None, planes.packed()))
+        return rows
 
     return run
 
 
+def _best(keys: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Which pairs have the most links of all with their second id, ties included."""
+    second = keys & 0xFFFFFFFF
+    order = np.argsort(second, kind="stable")
+    _, n = runs(second[order])
+    top = np.maximum.reduceat(links[order], np.cumsum(n) - n) if len(n) else links
+    best = np.empty(len(keys), bool)
+    best[order] = links[order] == np.repeat(top, n)
+    return best
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, links, held = (unpacked(row[c]) for c in ("keys", "first", "second"))
+            columns = [(keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), links, held, _best(keys, links)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
+
+
+def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's scores of a bucket, in the order in which it sent the pairs."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            keys, links = unpacked(row["keys"]), unpacked(row["first"])
+            best = _best(keys, links)
+            for block, blob in zip(row["blocks"], row["places"], strict=True):
+                at = unpacked(blob)
+                columns = [pa.array([row["bucket"]], pa.int32()), pa.array([block]), pa.array([packed(links[at])]), pa.array([packed(best[at])])]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "own", "links", "best"])
+
+
 def _scored(blocks: pa.Table, scores: pa.Table) -> pa.Table:
     """A block's texts, with what their pairs' scores add up to."""
     if not len(blocks):
         return _ROWS.empty_table()
     row = blocks.to_pylist()[0]
     planes = Planes.unpacked(row["planes"])
-    count, best = np.zeros(planes.n_keys, np.int64), np.zeros(planes.n_keys, np.int64)
-    place = scores.column("place").to_numpy()
-    count[place] = scores.column("n_links").to_numpy()
-    best[place] = scores.column("best").to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = sorted(scores.to_pylist(), key=lambda p: p["bucket"])
+    count, best = (np.concatenate([np.zeros(0, np.int64), *[unpacked(p[c]) for p in parts]]) for c in ("links", "best"))
     more = [row[n] if row[n] is not None else [None] * planes.n_docs for n, _ in _SUMS]
     values = [row["ids"], *more, planes.totals(best), planes.totals(count)]
     return pa.table([pa.array(v, t) for v, t in zip(values, _ROWS.types, strict=True)], schema=_ROWS)
 
 
 def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", spell: bool = False) -> DataFrame:
-    """The texts encoded both ways and aligned, a row for each block of texts; written, so that all later steps agree on the blocks."""
+    """The texts encoded both ways and aligned: a row for each block of texts, and a row for each bucket of its pairs; written, so that
+    all later steps agree on the blocks."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(source.mapInArrow(_aligned(path_a, path_b, spell), _BLOCK_DDL), "aligned")
+    return written(source.mapInArrow(_aligned(path_a, path_b, spell, parts_for(source, PART_BYTES, 12)), _BLOCK_DDL), "aligned")
+
+
+def merged_pairs(blocks: DataFrame) -> DataFrame:
+    """A row for each bucket: its pairs, each once, with links and documents added up over all blocks, whose documents are others."""
+    dealt = blocks.where("bucket IS NOT NULL").select(*DEALT.names)
+    return written(dealt.groupBy("bucket").applyInArrow(merged, MERGED_DDL), "pairs")
 
 
-def pair_scores(blocks: DataFrame) -> DataFrame:
+def pair_scores(pairs: DataFrame) -> DataFrame:
     """Rows (a, b, n_links, n_docs, best): how many links and documents hold a pair of ids, and whether no other ``a`` has more links with that ``b``."""
-    each = blocks.select(F.explode(F.arrays_zip("a", "b", "links", "held")).alias("p"))
-    sums = each.groupBy("p.a", "p.b").agg(F.sum("p.links").alias("n_links"), F.sum("p.held").alias("n_docs"))
-    top = F.max("n_links").over(Window.partitionBy("b"))  # at most as many rows as the first vocabulary has ids
-    return written(sums.withColumn("best", F.col("n_links") == top), "pairs")
+    return pairs.select("keys", "first", "second").mapInArrow(_pair_rows, "a int, b int, n_links long, n_docs long, best boolean")
 
 
 def token_alignment(
@@ -247,9 +285,8 @@ def token_alignment(
     ignored; an empty table gives no rows. A text is never divided, so a block has at least one whole text.
     """
     blocks = aligned_blocks(docs, path_a, path_b, id_col, text_col, spell)
-    pairs = pair_scores(blocks)
-    own = blocks.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("place", "p")).select(F.col("block").alias("own"), "place", "p.a", "p.b")
-    scores = own.join(pairs.select("a", "b", "n_links", "best"), ["a", "b"]).select("own", "place", "n_links", "best")
-    held = blocks.select("block", "ids", *[n for n, _ in _SUMS], "planes")
-    rows = held.groupBy("block").cogroup(scores.groupBy("own")).applyInArrow(_scored, _ROWS_DDL)
-    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"), pairs
+    pairs = merged_pairs(blocks)
+    back = pairs.mapInArrow(_returned, "bucket int, own string, links binary, best binary")
+    held = blocks.where("bucket IS NULL").select("block", "ids", *[n for n, _ in _SUMS], "planes")
+    rows = held.groupBy("block").cogroup(back.groupBy("own")).applyInArrow(_scored, _ROWS_DDL)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"), pair_scores(pairs)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from classgauge.llm import sources
-from classgauge.llm.alignment import aligned_blocks, pair_scores, token_alignment
+from classgauge.llm.alignment import aligned_blocks, merged_pairs, pair_scores, token_alignment
 from classgauge.llm.bitmaps import Planes
 from classgauge.llm.bpe import Bpe
 from classgauge.llm.lexical import ranked_search, share_terms
@@ -203,9 +203,9 @@ def test_alignment_is_that_of_brute_force(docs, texts, monkeypatch):
 def test_pair_scores_do_not_depend_on_blocks(spark, docs, monkeypatch):
     """One text that a third of all rows hold."""
     many = docs.select("doc_id", "text").unionByName(spark.range(200).select(F.col("id").alias("doc_id"), F.lit("the hot text, again and again").alias("text")))
-    one = by_key(pair_scores(aligned_blocks(many.coalesce(1), BYTE_BPE, PIECES)).collect())
+    one = by_key(pair_scores(merged_pairs(aligned_blocks(many.coalesce(1), BYTE_BPE, PIECES))).collect())
     monkeypatch.setattr("classgauge.llm.alignment.BLOCK_BYTES", 500)
-    assert by_key(pair_scores(aligned_blocks(many.repartition(5), BYTE_BPE, PIECES)).collect()) == one
+    assert by_key(pair_scores(merged_pairs(aligned_blocks(many.repartition(5), BYTE_BPE, PIECES))).collect()) == one
 
 
 @pytest.mark.parametrize("n_docs", [1, 9, 4000])
