@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,103 +12,222 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classgauge.llm.words import LOWER, distinct_spans, owners, runs, text_chunks
+from classgauge.llm.sizing import block_names, parts_for
+from classgauge.llm.words import LOWER, distinct_spans, owners, runs, span_hashes, text_chunks
 from classgauge.session import written
 
 EXAMPLES = 8_000  # distinct labelled texts in the index, at most: the first by hash of the text
-TERMS = 1 << 14  # terms of the vectors, at most: those whose rates differ most between the labels
-CALIBRATED = 3_000  # examples that the calibration is learned from, at most, evenly over the index
 NEIGHBOURS = 16
 BLOCK = 64  # examples of a block of the index
-LEAST_G = 12.0  # likelihood ratio that a term needs
+COMMON = 0.05  # a term in more than this share of the examples is a column of the dense part
+TELLING = 30.0  # likelihood ratio at which a term has a quarter of the weight that the labels can give it
+FLOOR = 0.02  # weight of a term that tells nothing, beside 1 for one that tells all
+BLOCK_BYTES = 4 << 20
+PART_BYTES = 16 << 20
+QUERIES, ENTRIES = 256, 1 << 16  # texts, and their terms, of one search
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-
-def _doc_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, label, n): in how many texts of each label a term stands; label null where there is none."""
-    for batch in batches:
-        labels = batch.column(0)
-        kinds = np.where(pc.is_null(labels).to_numpy(zero_copy_only=False), -1, pc.fill_null(labels, 0).to_numpy(zero_copy_only=False)).astype(np.int64)
-        for texts in text_chunks(batch.column(1)):
-            words, docs, _ = text_terms(texts)
-            kind = kinds[texts.first : texts.first + len(texts)][docs[1]]
-            for label in (-1, 0, 1):
-                n = np.bincount(docs[0][kind == label], minlength=len(words))
-                held = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in held], pa.binary()), pa.array(np.full(len(held), label)), pa.array(n[held])], ["term", "label", "n"])
+_POSTED = pa.schema([
+    ("bucket", pa.int32()), ("block", pa.string()), ("terms", pa.binary()), ("held", pa.binary()),
+    ("ids", pa.list_(pa.int64())), ("firsts", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()),
+])
+_POSTED_DDL = "bucket int, block string, terms binary, held binary, ids array<long>, firsts binary, places binary, counts binary"
+_WEIGHED = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("terms", pa.binary()), ("weights", pa.binary())])
+_OUT = pa.schema([
+    ("row", pa.int64()), ("score", pa.float64()), ("vote", pa.float64()), ("neighbours", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())),
+])
+_OUT_DDL = "row long, score double, vote double, neighbours array<long>, cosines array<double>"
 
 
-def text_terms(texts) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The distinct terms (lower-cased words without signs at the ends), each pair of a term and a text, and its count."""
+def text_terms(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct terms (lower-cased words without signs at the ends), each pair of a text and a term's place, in order, and its count."""
     data = LOWER[texts.data]
     starts, ends, firsts = texts.edges()
     words, number, _ = distinct_spans(data, starts, ends)
     bare: dict[bytes, int] = {}
     place = np.array([bare.setdefault(w.strip(EDGES), len(bare)) for w in words], np.int64)
-    keys, counts = runs(np.sort(place[number] << np.int64(32) | owners(firsts))) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return list(bare), (keys >> 32, keys & 0xFFFFFFFF), counts
+    upto = np.cumsum([len(w) for w in bare]).astype(np.int64)
+    hashes = span_hashes(np.frombuffer(b"".join(bare), np.uint8), np.concatenate(([0], upto[:-1])).astype(np.int64), upto) if bare else np.zeros(0, np.uint64)
+    keys, counts = runs(np.sort(owners(firsts) << np.int64(32) | place[number])) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return hashes, keys >> 32, keys & 0xFFFFFFFF, counts
+
+
+def _posted(buckets: int):
+    """Of each block of texts: its distinct terms by bucket, with how many texts of either label and in all hold them; and the postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = block_names()
+        for batch in batches:
+            labels = pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)
+            for texts in text_chunks(batch.column(2), BLOCK_BYTES):
+                ids = batch.column(0).slice(texts.first, len(texts)).to_pylist()
+                yield block(next(names), ids, labels[texts.first : texts.first + len(texts)], *text_terms(texts))
+
+    def block(name: str, ids: list, labels: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        dealt = hashes % np.uint64(buckets)
+        order = np.lexsort((hashes, dealt))
+        rank = np.empty(len(hashes), np.int64)
+        rank[order] = np.arange(len(hashes))
+        hashes, dealt, place = hashes[order], dealt[order], rank[place]
+        held = np.stack([np.bincount(place[own], minlength=len(hashes)) for own in (labels[doc] == 0, labels[doc] == 1, slice(None))], axis=1).astype(np.int32)
+        rows = []
+        cuts = np.searchsorted(dealt, np.arange(buckets + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[b], cuts[b + 1])
+            rows.append((b, name, hashes[own].tobytes(), held[own].tobytes(), None, None, None, None))
+        firsts = np.searchsorted(doc, np.arange(len(ids) + 1))
+        rows.append((None, name, hashes.tobytes(), None, ids, firsts.tobytes(), place.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _POSTED.types, strict=True)], schema=_POSTED)
+
+    return run
+
+
+def term_weights(held: np.ndarray, n: int, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Each term's factor from in how many clean, toxic and all texts it is: the smoothed inverse frequency over all texts, times how far the labels tell it apart.
+
+    That is FLOOR for a term whose share is the same under both labels and nears 1 with the likelihood ratio g
+    of the difference, as (g / (g + TELLING))^2: no term is left out, and none is cut off at a limit.
+    """
+    clean, toxic, df = held[:, 0].astype(float), held[:, 1].astype(float), held[:, 2].astype(float)
+    share = (clean + toxic) / max(1, n_clean + n_toxic)
+
+    def part(x: np.ndarray, m: float, p: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log(x / (p * m)), 0.0)
+
+    g = 2 * (part(toxic, n_toxic, share) + part(clean, n_clean, share) + part(n_toxic - toxic, n_toxic, 1 - share) + part(n_clean - clean, n_clean, 1 - share))
+    g = np.maximum(np.nan_to_num(g), 0.0)
+    return (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + (g / (g + TELLING)) ** 2)
+
+
+def _weighed(asked, n: int, n_clean: int, n_toxic: int):
+    """A bucket's terms counted over all blocks; their factors go back to each block, and those asked for go out under no block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, held, bucket = [], [], [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                bucket = row["bucket"]
+                names.append(row["block"])
+                terms.append(np.frombuffer(row["terms"], np.uint64))
+                held.append(np.frombuffer(row["held"], np.int32).reshape(-1, 3))
+        if bucket is None:
+            return
+        known, place = np.unique(np.concatenate(terms), return_inverse=True)
+        total = np.zeros((len(known), 3), np.int64)
+        np.add.at(total, place, np.concatenate(held))
+        weights = term_weights(total, n, n_clean, n_toxic)
+        ends = np.cumsum([len(t) for t in terms])
+        for name, low, high in zip(names, np.concatenate(([0], ends[:-1])), ends, strict=True):
+            yield out(bucket, name, b"", weights[place[low:high]])
+        own = np.isin(known, np.frombuffer(asked.value, np.uint64))
+        yield out(bucket, None, known[own].tobytes(), weights[own])
+
+    def out(bucket: int, name: str | None, terms: bytes, weights: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bucket, name, terms, weights.tobytes()), _WEIGHED.types, strict=True)], schema=_WEIGHED)
+
+    return run
+
+
+@dataclass
+class Vectors:
+    """Unit vectors of some texts, one after the other: places of terms in the index, weights, and where each text starts."""
+
+    term: np.ndarray
+    weight: np.ndarray
+    firsts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.firsts) - 1
+
+    def parts(self) -> Iterator[tuple[int, int]]:
+        """Ranges of texts for one search each."""
+        at = 0
+        while at < len(self):
+            to = max(at + 1, int(np.searchsorted(self.firsts, self.firsts[at] + ENTRIES, "right")) - 1)
+            to = min(to, at + QUERIES, len(self))
+            yield at, to
+            at = to
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples, inverted: each term's weights by example, and their maximum in each block."""
+    """Unit vectors of examples, inverted.
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray):
-        self.terms, self.idf = {t: i for i, t in enumerate(terms)}, idf
+    Terms of very many examples are columns of a dense matrix, whose product with a batch of texts gives their exact part of all
+    cosines. The other terms have postings, with the largest weight of each block of examples.
+    """
 
-    def vectors(self, words, pairs, counts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms and weights of each text's unit vector, one text after the other, and where each starts."""
-        known = np.array([self.terms.get(w, -1) for w in words], np.int64)
-        term, doc = (known[pairs[0]], pairs[1]) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        own = term >= 0
-        term, doc, counts = term[own], doc[own], counts[own]
-        order = np.argsort(doc, kind="stable")
-        term, doc = term[order], doc[order]
-        weight = (1 + np.log(counts[order])) * self.idf[term]
-        norm = np.sqrt(np.bincount(doc, weight * weight, n))
-        return term, weight / np.maximum(norm[doc], 1e-12), np.searchsorted(doc, np.arange(n + 1))
-
-    def fill(self, ids: np.ndarray, labels: np.ndarray, term: np.ndarray, weight: np.ndarray, firsts: np.ndarray) -> None:
-        self.ids, self.labels = ids, labels.astype(float)
-        example = np.repeat(np.arange(len(ids)), np.diff(firsts))
-        self.blocks = -(-len(ids) // BLOCK)
+    def __init__(self, terms: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: Vectors):
+        self.terms, self.ids, self.labels = terms, ids, labels.astype(float)
+        n = len(ids)
+        self.blocks = -(-n // BLOCK)
+        example = owners(vectors.firsts)
+        self.common = np.bincount(vectors.term, minlength=len(terms)) > COMMON * n
+        self.column = np.where(self.common, np.cumsum(self.common) - 1, -1)
+        own = self.common[vectors.term] if len(vectors.term) else np.zeros(0, bool)
+        self.dense = np.zeros((int(self.common.sum()), self.blocks * BLOCK))
+        self.dense[self.column[vectors.term[own]], example[own]] = vectors.weight[own]
+        term, example, weight = vectors.term[~own], example[~own], vectors.weight[~own]
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order], weight[order]
-        cells = term * max(1, self.blocks) + self.example // BLOCK
-        self.cells, size = runs(cells)
-        self.spots = np.concatenate(([0], np.cumsum(size)))
+        cells, size = runs(term * max(1, self.blocks) + self.example // BLOCK)
+        self.spots = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
         self.most = np.maximum.reduceat(self.weight, self.spots[:-1]) if len(size) else np.zeros(0)
-        self.term_cells = np.searchsorted(self.cells, np.arange(len(self.idf) + 1) * max(1, self.blocks))
-
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the highest cosine above 0, ties by place; exact.
-
-        A block's bound is the sum of its maxima. Blocks are scored by falling bound, in groups,
-        until the next bound is under the k-th best cosine.
+        self.block_of = cells % max(1, self.blocks)
+        self.term_cells = np.searchsorted(cells, np.arange(len(terms) + 1) * max(1, self.blocks))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash is among the index's terms, -1 for none."""
+        if not len(self.terms):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, at, -1)
+
+    def search(self, texts: Vectors, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the k examples with the highest cosine above 0, ties by place: rows (text, example, cosine), in order. Exact.
+
+        A block's bound is its best cosine by the dense part and the sum of its maxima over the postings' terms. A block whose bound
+        is under the k-th best dense part can't have one of the k, so its postings are not read. ``skip`` has an
+        example for each text that it may not find.
         """
-        own = [np.arange(self.term_cells[t], self.term_cells[t + 1]) for t in term]
-        cells = np.concatenate(own) if own else np.zeros(0, np.int64)
-        if not len(cells):
-            return np.zeros(0, np.int64), np.zeros(0)
-        factor = np.repeat(weight, [len(x) for x in own])
-        block = self.cells[cells] % self.blocks
-        bound = np.bincount(block, factor * self.most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
-        while at < len(order) and (len(sims) < k or bound[order[at]] >= sims[k - 1] - 1e-12):
-            part = order[at : at + step]
-            at, step = at + step, step * 2
-            hit = np.isin(block, part)
-            size = self.spots[cells[hit] + 1] - self.spots[cells[hit]]
-            flat = np.repeat(self.spots[cells[hit]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            found, place = np.unique(self.example[flat], return_inverse=True)
-            cosine = np.bincount(place, self.weight[flat] * np.repeat(factor[hit], size), len(found))
-            if skip >= 0:
-                found, cosine = found[found != skip], cosine[found != skip]
-            best, sims = np.concatenate((best, found)), np.concatenate((sims, cosine))
-            top = np.lexsort((best, -sims))[:k]
-            best, sims = best[top], sims[top]
-        return best, sims
+        found = [self._search(texts, low, high, k, None if skip is None else skip[low:high]) for low, high in texts.parts()] if len(self.ids) else []
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _search(self, texts: Vectors, low: int, high: int, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, width = high - low, self.blocks * BLOCK
+        own = slice(texts.firsts[low], texts.firsts[high])
+        doc, term, weight = owners(texts.firsts[low : high + 1] - texts.firsts[low]), texts.term[own], texts.weight[own]
+        often = self.common[term]
+        queries = np.zeros((n, len(self.dense)))
+        queries[doc[often], self.column[term[often]]] = weight[often]
+        sims = queries @ self.dense
+        sims[:, len(self.ids) :] = -1.0
+        if skip is not None:
+            sims[np.arange(n), skip] = -1.0
+        doc, term, weight = doc[~often], term[~often], weight[~often]
+        size = self.term_cells[term + 1] - self.term_cells[term]
+        cell = np.repeat(self.term_cells[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        doc, weight = np.repeat(doc, size), np.repeat(weight, size)
+        place = doc * self.blocks + self.block_of[cell]
+        bound = sims.reshape(n, self.blocks, BLOCK).max(2) + np.bincount(place, weight * self.most[cell], n * self.blocks).reshape(n, self.blocks)
+        least = np.maximum(np.partition(sims, -k, axis=1)[:, -k], 0.0) if width >= k else np.zeros(n)
+        live = bound.ravel()[place] >= least[doc] - 1e-12
+        cell, doc, weight = cell[live], doc[live], weight[live]
+        size = self.spots[cell + 1] - self.spots[cell]
+        flat = np.repeat(self.spots[cell] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sims += np.bincount(np.repeat(doc, size) * width + self.example[flat], self.weight[flat] * np.repeat(weight, size), n * width).reshape(n, width)
+        if skip is not None:
+            sims[np.arange(n), skip] = -1.0
+        least = np.maximum(np.partition(sims, -k, axis=1)[:, -k], 0.0) if width >= k else np.zeros(n)
+        row, example = np.nonzero((sims >= least[:, None] - 1e-11) & (sims > 1e-11))
+        sims = np.minimum(np.round(sims[row, example], 11), 1.0)  # one text has one result, wherever in a product it stood
+        order = np.lexsort((example, -sims, row))
+        row, example, sims = row[order], example[order], sims[order]
+        _, size = runs(row)
+        best = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) < k
+        return row[best] + low, example[best], sims[best]
 
 
 class ToxicityModel:
@@ -117,139 +237,158 @@ class ToxicityModel:
         self.index, self.prior = index, prior
         self.levels, self.values = np.zeros(1), np.full(1, prior)
 
-    def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
-        """The share of label 1 among the neighbours, weighted by squared cosine; one unit of prior keeps faint votes near it."""
+    def votes(self, n: int, row: np.ndarray, example: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Of each text the share of label 1 among its neighbours, weighted by squared cosine; one unit of prior keeps faint votes near it."""
         weight = sims * sims
-        return float((weight @ self.index.labels[found] + 0.05 * self.prior) / (weight.sum() + 0.05))
+        ones = np.bincount(row, weight * self.index.labels[example], n)
+        return (ones + 0.05 * self.prior) / (np.bincount(row, weight, n) + 0.05)
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Isotonic steps (pool adjacent violators) from votes of the examples, each without itself, to shares of label 1."""
+        """Isotonic blocks (pool adjacent violators) from votes of the examples, each without itself, to shares of label 1; straight lines between blocks."""
         order = np.argsort(votes, kind="stable")
         levels, count = runs(votes[order])
         ones = np.add.reduceat(labels[order].astype(float), np.cumsum(count) - count) if len(levels) else np.zeros(0)
-        stack: list[list[float]] = []
+        stack: list[list[float]] = []  # lowest and highest vote, examples, ones
         for level, n, s in zip(levels, count, ones, strict=True):
-            stack.append([level, n, s])
-            while len(stack) > 1 and stack[-2][2] * stack[-1][1] >= stack[-1][2] * stack[-2][1]:
-                _, n, s = stack.pop()
-                stack[-1][1] += n
-                stack[-1][2] += s
+            stack.append([level, level, n, s])
+            while len(stack) > 1 and stack[-2][3] * stack[-1][2] >= stack[-1][3] * stack[-2][2]:
+                _, high, n, s = stack.pop()
+                stack[-1][1:] = [high, stack[-1][2] + n, stack[-1][3] + s]
         if stack:
-            self.levels = np.array([x[0] for x in stack])
-            self.values = np.array([(x[2] + 2 * self.prior) / (x[1] + 2) for x in stack])
+            self.levels = np.array([x for low, high, _, _ in stack for x in (low, high)])
+            self.values = np.repeat([(s + 2 * self.prior) / (n + 2) for _, _, n, s in stack], 2)
 
-    def score(self, vote: float) -> float:
-        at = np.searchsorted(self.levels, vote, "right") - 1
-        return float(0.98 * self.values[max(0, at)] + 0.02 * vote)
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        return 0.98 * np.interp(votes, self.levels, self.values) + 0.02 * votes
 
 
-_OUT = "row long, score double, vote double, neighbours array<long>, cosines array<double>"
+def _unit(doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    norm = np.sqrt(np.bincount(doc, weight * weight, n))
+    return weight / np.maximum(norm[doc], 1e-12)
 
 
-def _searched(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            for texts in text_chunks(batch.column(1)):
-                words, pairs, counts = text_terms(texts)
-                term, weight, firsts = m.index.vectors(words, pairs, counts, len(texts))
-                votes, found, known = [], [], {}
-                for d in range(len(texts)):
-                    own = slice(firsts[d], firsts[d + 1])
-                    key = term[own].tobytes(), weight[own].tobytes()
-                    if key not in known:  # copies in one chunk are searched once
-                        best, sims = m.index.search(term[own], weight[own], NEIGHBOURS)
-                        known[key] = m.vote(best, sims), (m.index.ids[best].tolist(), sims.tolist())
-                    vote, near = known[key]
-                    votes.append(vote)
-                    found.append(near)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, len(texts)), pa.array([m.score(v) for v in votes]), pa.array(votes), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                    ["row", "score", "vote", "neighbours", "cosines"],
-                )
+def _scored(model):
+    """A block's texts, from its postings and the factors of its terms."""
+
+    def run(blocks: pa.Table, factors: pa.Table) -> pa.Table:
+        m: ToxicityModel = model.value
+        if not len(blocks):
+            return _OUT.empty_table()
+        row = blocks.to_pylist()[0]
+        n, hashes = len(row["ids"]), np.frombuffer(row["terms"], np.uint64)
+        firsts = np.frombuffer(row["firsts"], np.int64)
+        place, counts = (np.frombuffer(row[c], np.int32) for c in ("places", "counts"))
+        factor = np.concatenate([np.frombuffer(r["weights"]) for r in sorted(factors.to_pylist(), key=lambda r: r["bucket"])] or [np.zeros(0)])
+        doc = owners(firsts)
+        weight = _unit(doc, (1 + np.log(counts)) * factor[place], n)
+        term = m.index.places(hashes)[place]
+        own = term >= 0
+        upto = np.concatenate(([0], np.cumsum(own)))
+        texts = Vectors(term[own], weight[own], upto[firsts])
+        at, example, sims = m.index.search(texts, NEIGHBOURS)
+        votes = m.votes(n, at, example, sims)
+        cuts = pa.array(np.searchsorted(at, np.arange(n + 1)).astype(np.int32))
+        near = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (m.index.ids[example], sims)]
+        columns = [pa.array(row["ids"], pa.int64()), pa.array(m.scores(votes)), pa.array(votes), *near]
+        return pa.Table.from_arrays(columns, schema=_OUT)
 
     return run
 
 
-def toxicity_model(texts: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> ToxicityModel:
-    """A model from (row, label, text); label is 0, 1 or null.
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts in text_chunks(batch.column(1)):
+            hashes, doc, place, counts = text_terms(texts)
+            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+            cut = [(hashes[place[a:b]].tobytes(), counts[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+            keys = batch.column(0).slice(texts.first, len(texts))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["key", "terms", "counts"])
 
-    Document frequencies of all texts, and of each label's, are counted in Spark. Vectors take the ``terms``
-    terms at most with the largest likelihood ratio between the labels, however common, weighed by 1 + ln of the count and the
-    smoothed inverse frequency over all texts. At most ``examples`` distinct labelled texts are indexed,
-    the first by a hash of the text: copies take one place, whose label is the mean of theirs.
-    """
-    source = texts.select(F.col("label").cast("long").alias("label"), "text").where("text <> ''")
-    counts = source.mapInArrow(_doc_terms, "term binary, label long, n long")
-    by = lambda k: F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0))
-    counts = counts.groupBy("term").agg(F.sum("n").alias("df"), by(0).alias("clean"), by(1).alias("toxic"))
-    held = texts.groupBy("label").agg(F.count("*").alias("n")).collect()  # three rows at most
-    sizes = {r["label"]: r["n"] for r in held}
-    n0, n1, n = sizes.get(0, 0), sizes.get(1, 0), sum(sizes.values())
-    rate = (F.col("toxic") + F.col("clean")) / max(1, n0 + n1)
-    cell = lambda x, m, p: F.when(x > 0, x * F.log(x / (p * m))).otherwise(0.0)
-    toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    g = 2 * (cell(toxic, n1, rate) + cell(clean, n0, rate) + cell(n1 - toxic, n1, 1 - rate) + cell(n0 - clean, n0, 1 - rate))
-    chosen = written(counts.where("toxic + clean > 1").withColumn("g", g).where(f"g >= {LEAST_G} AND term <> x''"), "terms")
-    steps = sorted(chosen.groupBy(F.floor(F.log2("g") * 8).alias("s")).count().collect(), key=lambda r: -r["s"])  # a few dozen rows
-    total, least = 0, 0
-    for r in steps:
-        total += r["count"]
-        if total > terms:
-            break
-        least = r["s"]
-    table = chosen.where(F.floor(F.log2("g") * 8) >= least).orderBy("term").select("term", "df").toArrow()
-    idf = np.log((1 + n) / (1 + table["df"].to_numpy())) + 1
-    index = BlockMaxIndex([bytes(t) for t in table["term"].to_pylist()], idf)
 
+def first_examples(texts: DataFrame, examples: int = EXAMPLES) -> list[dict]:
+    """Of (row, label, text) the distinct labelled texts that are first by a hash of the text, ``examples`` at most: their rows,
+    labels, term hashes and counts. Copies take one place, whose label is the mean of theirs."""
     keys = F.coalesce("text", F.lit(""))
     labelled = texts.where("label IS NOT NULL").select("row", "label", "text", F.xxhash64(F.lit(3), keys).alias("place"), F.sha2(keys, 256).alias("key"))
     distinct = written(labelled.groupBy("place", "key").agg(F.min("row").alias("row"), F.avg("label").alias("label")), "distinct")
     share = min(1.0, 1.2 * examples / max(1, distinct.count()))  # room for chance; the first by hash are taken below
     ahead = distinct.where(F.pmod("place", F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
     first = ahead.withColumn("turn", F.pmod("place", F.lit(1 << 30))).toArrow().sort_by([("turn", "ascending"), ("place", "ascending"), ("key", "ascending")]).slice(0, examples)
-    picked = F.broadcast(texts.sparkSession.createDataFrame(first.select(["row", "key"]).to_pandas(), "row long, key string"))
-    shared = texts.sparkSession.sparkContext.broadcast(index)
-    found = labelled.join(picked, ["row", "key"]).select("key", "text").mapInArrow(_vectors(shared), "key string, terms binary, weights binary")
-    vectors = {r["key"]: r for r in found.dropDuplicates(["key"]).toArrow().to_pylist()}  # an id can have a text more than once
-    rows = first.to_pydict()
-    parts = [(np.frombuffer(vectors[k]["terms"], np.int32), np.frombuffer(vectors[k]["weights"])) for k in rows["key"]]
-    firsts = np.concatenate(([0], np.cumsum([len(t) for t, _ in parts]))).astype(np.int64)
-    join = lambda i, kind: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)
-    term, weight = join(0, np.int32).astype(np.int64), join(1, float)
-    index.fill(np.array(rows["row"], np.int64), np.array(rows["label"], float), term, weight, firsts)
-    model = ToxicityModel(index, n1 / max(1, n0 + n1) if n0 + n1 else 0.5)
-    chosen_ = np.unique(np.linspace(0, len(parts) - 1, min(len(parts), CALIBRATED)).astype(np.int64)) if parts else np.zeros(0, np.int64)
-    votes = np.array([model.vote(*index.search(term[firsts[i] : firsts[i + 1]], weight[firsts[i] : firsts[i + 1]], NEIGHBOURS, i)) for i in chosen_])
-    model.calibrate(votes, index.labels[chosen_])
-    return model
-
-
-def _vectors(index):
+    picked = F.broadcast(texts.sparkSession.createDataFrame(first.select(["row", "key"]).to_pandas(), "row long, key string"))  # at most ``examples`` rows
+    found = labelled.join(picked, ["row", "key"]).select("key", "text").mapInArrow(_example_terms, "key string, terms binary, counts binary")
+    terms = {r["key"]: r for r in found.dropDuplicates(["key"]).toArrow().to_pylist()}  # an id can have a text more than once
+    return [r | terms[r["key"]] for r in first.to_pylist()]
+
+
+def example_index(rows: list[dict], terms: np.ndarray, weights: np.ndarray) -> tuple[BlockMaxIndex, Vectors]:
+    """The index of ``first_examples``, from all their terms' hashes, in order, and factors; and their vectors."""
+    hashes = [np.frombuffer(r["terms"], np.uint64) for r in rows]
+    firsts = np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64)
+    term = np.searchsorted(terms, np.concatenate([np.zeros(0, np.uint64), *hashes]))
+    counts = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["counts"], np.int32) for r in rows]])
+    vectors = Vectors(term, _unit(owners(firsts), (1 + np.log(counts)) * weights[term], len(rows)), firsts)
+    return BlockMaxIndex(terms, np.array([r["row"] for r in rows], np.int64), np.array([r["label"] for r in rows], float), vectors), vectors
+
+
+def _left_out(model, vectors):
+    """The votes of a range of examples, each without itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, all_ = model.value, vectors.value
         for batch in batches:
-            for texts in text_chunks(batch.column(1)):
-                term, weight, firsts = index.value.vectors(*text_terms(texts), len(texts))
-                cut = [(term[a:b].astype(np.int32).tobytes(), weight[a:b].tobytes()) for a, b in zip(firsts, firsts[1:], strict=False)]
-                keys = batch.column(0).slice(texts.first, len(texts))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["key", "terms", "weights"])
+            for low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = Vectors(all_.term, all_.weight, all_.firsts[low : high + 1])
+                votes = m.votes(high - low, *m.index.search(own, NEIGHBOURS, np.arange(low, high)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(votes)], ["example", "vote"])
 
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, examples: int = EXAMPLES
+) -> DataFrame:
     """Rows (doc_id, score, predicted, vote, neighbours, cosines), one for each input row.
 
     Labels of rows where ``learn`` holds are learned; ids, labels and other columns are no inputs of a score, so equal
-    texts have equal scores. ``score`` is the calibrated vote of the nearest examples; ``neighbours`` names them
-    by doc_id with their cosines. A null or empty text, or one without known terms, has no neighbours and the
-    score of an empty vote. Null labels and null ids are not learned; an id labelled more than once counts with its largest label.
-    Without labels every score is 0.5; an empty table gives no rows.
+    texts have equal scores. All terms of all texts count: a term weighs 1 + ln of its count, times its inverse frequency over all
+    texts, times how far the learned labels tell it apart (``term_weights``). At most ``examples`` distinct
+    labelled texts are indexed, a documented bound; every text is searched, exactly, and the calibration is learned from all examples, each
+    searched without itself. ``score`` is the calibrated vote of the nearest examples; ``neighbours`` names them by doc_id with their
+    cosines. A null or empty text, or one that shares no term with an example, has no neighbours and the score of an empty
+    vote. Null labels and null ids are not learned; an id labelled more than once counts with its largest label. Without labels
+    every score is 0.5; an empty table gives no rows.
+
+    A block of texts keeps its postings; only its distinct terms travel to where they are counted, and one factor
+    each comes back, so a term of every text costs a row per block.
     """
     said = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("row")).agg(F.max(label_col).cast("long").alias("label"))
+    said = written(said, "labels")  # its size is known then, so that a small one is sent to the texts and these don't move
     rows = docs.select(F.col(id_col).cast("long").alias("row"), learn.alias("learn_"), F.col(text_col).cast("string").alias("text"))
-    met = rows.join(said, "row", "left")
-    texts = met.select("row", F.when(F.col("learn_") & F.col("label").isin(0, 1), F.col("label")).alias("label"), "text")
-    model = docs.sparkSession.sparkContext.broadcast(toxicity_model(texts))
-    scored = rows.select("row", "text").mapInArrow(_searched(model), _OUT)
+    texts = rows.join(said, "row", "left").select("row", F.when(F.col("learn_") & F.col("label").isin(0, 1), F.col("label")).alias("label"), "text")
+    held = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}  # three rows at most
+    n_clean, n_toxic, n = held.get(0, 0), held.get(1, 0), sum(held.values())
+
+    spark = docs.sparkSession
+    buckets = parts_for(docs, PART_BYTES, 12)
+    posted = written(texts.mapInArrow(_posted(buckets), _POSTED_DDL), "postings")
+    chosen = first_examples(texts, examples)
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["terms"], np.uint64) for r in chosen]]))
+    asked = spark.sparkContext.broadcast(known.tobytes())
+    dealt = posted.where("bucket IS NOT NULL").select("bucket", "block", "terms", "held").repartition(buckets, "bucket")
+    factors = written(dealt.groupBy("bucket").applyInArrow(_weighed(asked, n, n_clean, n_toxic), "bucket int, block string, terms binary, weights binary"), "factors")
+    weights = np.zeros(len(known))
+    for r in factors.where("block IS NULL").select("terms", "weights").toArrow().to_pylist():  # the examples' terms, each once
+        weights[np.searchsorted(known, np.frombuffer(r["terms"], np.uint64))] = np.frombuffer(r["weights"])
+    index, vectors = example_index(chosen, known, weights)
+    model = ToxicityModel(index, n_toxic / (n_clean + n_toxic) if n_clean + n_toxic else 0.5)
+    if chosen:
+        ranges = [(low, min(low + QUERIES, len(chosen))) for low in range(0, len(chosen), QUERIES)]
+        parts = spark.createDataFrame(ranges, "low long, high long").repartition(len(ranges))
+        shared, every = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(vectors)
+        votes = parts.mapInArrow(_left_out(shared, every), "example long, vote double").toArrow().sort_by("example")["vote"].to_numpy()
+        model.calibrate(votes, index.labels)
+    final = spark.sparkContext.broadcast(model)
+    blocks = posted.where("bucket IS NULL").select(F.col("block").alias("own"), "terms", "ids", "firsts", "places", "counts")
+    back = factors.where("block IS NOT NULL").select("block", "bucket", "weights")
+    scored = blocks.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_scored(final), _OUT_DDL)
     return scored.select(F.col("row").alias("doc_id"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "vote", "neighbours", "cosines")
