@@ -17,12 +17,14 @@ from classgauge.llm.components import connected_components
 from classgauge.llm.jaccard import shingle_components
 from classgauge.llm.lexicon import Lexicon, compile_lexicon
 from classgauge.llm.linedup import dedup_lines
-from classgauge.llm.mixing import byte_runs, lm_scores, mixing_model
+from classgauge.llm import mixing
+from classgauge.llm.mixing import lm_scores
 from classgauge.llm.perplexity import ORDER, SYMBOLS, KneserNey, _quartiles, grams, quality_verdicts
 from classgauge.llm.shards import _repairs, balanced_shards
 from classgauge.llm.templates import template_leaks, without_leaks
 from classgauge.llm.tokencount import token_counts
-from classgauge.llm.toxicity import BlockMaxIndex, toxicity_model, toxicity_scores
+from classgauge.llm import toxicity
+from classgauge.llm.toxicity import BlockMaxIndex, Vectors, first_examples, toxicity_scores
 from classgauge.llm.urlfilter import filtered_urls
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -221,32 +223,161 @@ def test_lm_scores(docs, empty):
     assert lm_scores(empty, held).count() == 0
 
 
-def test_mixing_is_a_distribution(docs):
-    model = mixing_model(docs)
-    (texts,) = W.text_chunks(pa.array([BASE]))
-    keys, _ = byte_runs(texts)
-    for key in keys[:3].tolist() + keys[-2:].tolist():
-        every = (key & ~0xFF) | np.arange(256, dtype=np.int64)
-        assert np.sum(10 ** model.log10(every)) == pytest.approx(1, abs=1e-6)
-    assert -model.log10(keys).sum() * math.log2(10) < 0.7 * 8 * len(keys)  # well under a byte a byte
+def canonical_text(text):
+    return " ".join(WORD.findall((text or "").translate(LOWER))).encode() + b"\n"
+
+
+def test_canonical_texts_and_their_runs():
+    for texts in W.text_chunks(pa.array(TEXTS), 4000):
+        data, bounds = mixing.canonical(texts)
+        own = [canonical_text(t) for t in TEXTS[texts.first : texts.first + len(texts)]]
+        assert data.tobytes() == b"".join(own) and np.diff(bounds).tolist() == [len(x) for x in own]
+        want = [int.from_bytes(bytes(reversed((b"\n" * 6 + x)[i : i + 6])) + x[i : i + 1], "big") for x in own for i in range(len(x))]
+        got = [k for low in range(0, len(data), 37) for k in mixing.byte_runs(data, bounds, low, min(low + 37, len(data)))[0].tolist()]
+        assert got == want  # pieces shorter than most texts
+
+
+def brute_states(keys, counts, order):
+    """The counts of ones and of all, by context and the bits so far."""
+    nodes = collections.defaultdict(lambda: [0, 0])
+    for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        context = key >> 8 * (7 - order)
+        for place in range(8):
+            node = nodes[context, place, (key & 0xFF) >> (8 - place)]
+            node[0] += n * ((key >> (7 - place)) & 1)
+            node[1] += n
+    return nodes
+
+
+def test_predictors_know_whole_contexts():
+    """States, gates and scores against dictionaries; over all bytes after a context the probabilities sum to 1."""
+    (texts,) = W.text_chunks(pa.array([sentence(300, 7), "thath that", ""]))
+    data, bounds = mixing.canonical(texts)
+    keys, n = W.runs(np.sort(mixing.byte_runs(data, bounds, 0, len(data))[0]))
+    contexts = [int(keys[5]) >> 8, int(keys[len(keys) // 2]) >> 8, 0x0102030405060 << 4 & ~0xFF | 0x31]
+    asked = np.array([c << 8 | b for c in contexts for b in range(256)])
+    every = np.unique(np.concatenate((keys, asked)))
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, keys)] = n
+    low = mixing._counted([mixing.context_keys(keys, 2)], [n])
+    predictors = mixing.Predictors(every, counts, low)
+    known = [brute_states(keys, n, k) for k in range(1, 7)]
+    r = np.random.default_rng(1)
+    weights, refined = r.normal(0.3, 0.2, (mixing.GATES, 7)), np.sort(r.random((mixing.GATES, mixing.BINS)), axis=1)
+    want = np.zeros(len(every))
+    for place, bits, states, gates in predictors.bits():
+        for i in r.choice(len(every), 300, replace=False).tolist():
+            key, longest, met = int(every[i]), 0, 0
+            for k in range(1, 7):
+                ones, total = known[k - 1].get((key >> 8 * (7 - k), place, (key & 0xFF) >> (8 - place)), (0, 0))
+                state = round(math.log((ones + 0.3) / (total - ones + 0.3)) * 12) if total else mixing.UNKNOWN
+                assert states[k - 1, i] == max(state, -127) or not total and states[k - 1, i] == mixing.UNKNOWN
+                longest, met = (k, total) if total else (longest, met)
+            level = min(int(math.log2(max(met, 1))), 3)
+            assert gates[i] == (longest * 4 + level) * 8 + place and bits[i] == key >> (7 - place) & 1
+    scores = dict(zip(every.tolist(), mixing.Mixer(weights, refined).log10(predictors).tolist(), strict=True))
+    for c in contexts:
+        assert abs(sum(10 ** scores[c << 8 | b] for b in range(256)) - 1) < 1e-9
+
+
+def test_scores_do_not_depend_on_blocks(spark, docs, monkeypatch):
+    """Long texts in pieces, several blocks and buckets: the same scores, and those of a dictionary model of the same weights."""
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    mixer = mixing.Mixer(np.full((mixing.GATES, 7), 0.3), np.tile(np.linspace(0.01, 0.99, mixing.BINS), (mixing.GATES, 1)))
+    monkeypatch.setattr(mixing, "learned_mixer", lambda *_: mixer)
+    one = by_key((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 2)) for r in lm_scores(docs.coalesce(1), held).collect())
+    for name, value in (("BLOCK_BYTES", 3000), ("PIECE_BYTES", 700), ("PART_BYTES", 1 << 14)):
+        monkeypatch.setattr(mixing, name, value)
+    assert by_key((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 2)) for r in lm_scores(docs.repartition(4), held).collect()) == one
+    rows = list(zip(IDS, (canonical_text(t) for t in TEXTS), strict=True))
+    runs = lambda x: [int.from_bytes(bytes(reversed((b"\n" * 6 + x)[i : i + 6])) + x[i : i + 1], "big") for i in range(len(x))]
+    counts = collections.Counter(k for i, x in rows if not (i is not None and i % 3 == 0) for k in runs(x))
+    keys = np.array(sorted({k for _, x in rows for k in runs(x)}))
+    n = np.array([counts[int(k)] for k in keys])
+    predictors = mixing.Predictors(keys, n, mixing._counted([mixing.context_keys(keys[n > 0], 2)], [n[n > 0]]))
+    log = dict(zip(keys.tolist(), mixer.log10(predictors).tolist(), strict=True))
+    want = by_key((i, round(sum(log[k] for k in runs(x)), 1)) for i, x in rows)
+    assert [(a, round(d, 1)) for a, _, _, d in one] == want or all(abs(a[3] - b[1]) < 0.06 for a, b in zip(one, want, strict=True))
+
+
+def test_mixing_beats_the_base_on_unseen_texts(spark):
+    """And more texts make it better."""
+    r = random.Random(4)
+    nouns, verbs = ["".join(r.choices("bcdfgklmnprst", k=1) + r.choices("aeiou", k=1) + r.choices("lmnrst", k=2)) for _ in range(60)], ["runs to", "sees the", "holds a", "takes no"]
+    line = lambda: f"the {r.choice(nouns)} {r.choice(verbs)} {r.choice(nouns)}."
+    rows = [(i, " ".join(line() for _ in range(12))) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = []
+    for most in (60, 600):
+        got = lm_scores(table.where(f"doc_id < {most} OR doc_id % 7 = 2"), F.col("doc_id") % 7 == 2).where("held_out").agg(F.avg("score"), F.avg("base_score"), F.avg("bits_per_byte")).head()
+        assert got[0] > got[1]
+        bits.append(got[2])
+    assert bits[1] < bits[0] < 2
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(3)
-    terms = [f"t{k}".encode() for k in range(60)]
-    index = BlockMaxIndex(terms, np.ones(60))
-    dense = rng.random((500, 60)) * (rng.random((500, 60)) < 0.1)
+    dense = rng.random((500, 60)) * (rng.random((500, 60)) < np.linspace(0.02, 0.5, 60))
     dense[400:] = dense[:100]  # ties
+    dense[7] = 0
     dense /= np.maximum(np.sqrt((dense**2).sum(1, keepdims=True)), 1e-12)
-    rows = [np.flatnonzero(d) for d in dense]
-    index.fill(np.arange(500), np.zeros(500), np.concatenate(rows), np.concatenate([d[r] for d, r in zip(dense, rows, strict=True)]), np.concatenate(([0], np.cumsum([len(r) for r in rows]))))
-    for q in dense[::25]:
-        own = np.flatnonzero(q)
-        best, sims = index.search(own, q[own], 16)
-        cosine = dense @ q
-        want = np.lexsort((np.arange(500), -np.round(cosine, 12)))[:16]
-        assert np.allclose(sims, cosine[want][cosine[want] > 0]) and np.all(np.diff(sims) <= 1e-12)
-        assert np.allclose(cosine[best], sims)
+
+    def vectors(rows):
+        places = [np.flatnonzero(d) for d in rows]
+        firsts = np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int64)
+        return Vectors(np.concatenate(places), np.concatenate([d[p] for d, p in zip(rows, places, strict=True)]), firsts)
+
+    for common, queries in ((0.05, 256), (0.2, 3), (1.0, 40), (-1.0, 256)):  # parts by product and by postings, and either alone
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        monkeypatch.setattr(toxicity, "QUERIES", queries)
+        index = BlockMaxIndex(np.arange(60, dtype=np.uint64), np.arange(500), np.zeros(500), vectors(dense))
+        for skip in (None, np.arange(0, 500, 25)):
+            row, example, sims = index.search(vectors(dense[::25]), 16, skip)
+            for i, q in enumerate(dense[::25]):
+                cosine = dense @ q
+                if skip is not None:
+                    cosine[skip[i]] = -1
+                want = np.lexsort((np.arange(500), -np.round(cosine, 11)))[:16]
+                want = want[cosine[want] > 1e-11]
+                assert example[row == i].tolist() == want.tolist() and np.allclose(sims[row == i], cosine[want])
+    small = BlockMaxIndex(np.arange(60, dtype=np.uint64), np.arange(3), np.zeros(3), vectors(dense[:3]))
+    assert len(small.search(vectors(dense[:2]), 16)[0]) <= 6
+    none = BlockMaxIndex(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), vectors(dense[:0]) if False else Vectors(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64)))
+    assert len(none.search(vectors(dense[:2]), 16)[0]) == 0
+
+
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    """Every term counts, those without a label's text too; each score comes from all examples' cosines."""
+    rows = [(i, sentence(25, i) + (" vile, SCUM!" if i % 4 == 0 else "")) for i in range(120)] + [(500, "unseen words only here"), (501, None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, bucket int, block int").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity_scores(docs, labels, F.col("doc_id") % 5 != 1).collect()}
+    edges = toxicity.EDGES.decode()
+    counts = {i: collections.Counter(w.strip(edges) for w in WORD.findall((t or "").translate(LOWER))) for i, t in rows}
+    learned = [i for i in range(120) if i % 5 != 1]
+    held = {t: [0, 0, 0] for c in counts.values() for t in c}
+    for i, c in counts.items():
+        for t in c:
+            held[t][2] += 1
+            if i in learned:
+                held[t][int(i % 4 == 0)] += 1
+    toxic = sum(i % 4 == 0 for i in learned)
+    names = list(held)
+    factor = dict(zip(names, toxicity.term_weights(np.array([held[t] for t in names]), len(rows), len(learned) - toxic, toxic).tolist(), strict=True))
+    assert min(factor.values()) > 0
+    unit = {}
+    for i, c in counts.items():
+        w = {t: (1 + math.log(n)) * factor[t] for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        unit[i] = {t: x / norm for t, x in w.items()}
+    for i, _ in rows:
+        sims = sorted(((round(sum(x * unit[e].get(t, 0.0) for t, x in unit[i].items()), 9), e) for e in learned), reverse=True)
+        want = [s for s, _ in sims[:16] if s > 1e-9]
+        assert np.allclose(got[i].cosines, want, atol=1e-8)
+        weight = np.array(want) ** 2
+        near = dict((e, s) for s, e in sims)
+        vote = (sum(near[e] ** 2 * (e % 4 == 0) for e in got[i].neighbours) + 0.05 * toxic / len(learned)) / (weight.sum() + 0.05)
+        assert abs(got[i].vote - vote) < 1e-7
 
 
 def test_toxicity_learns_and_is_blind_to_ids(spark, empty):
@@ -281,8 +412,7 @@ def test_examples_are_distinct_and_the_same_in_any_order(spark):
     rows += [(150 + i, int(i < 15), "the same copied text") for i in range(60)]
     texts = spark.createDataFrame(rows, "row long, label long, text string")
     for most in (40, 1000):
-        models = [toxicity_model(t, most) for t in (texts.repartition(5), texts.orderBy(F.desc("row")).coalesce(2))]
-        a, b = (list(zip(m.index.ids.tolist(), m.index.labels.tolist(), strict=True)) for m in models)
+        a, b = ([(r["row"], r["label"]) for r in first_examples(t, most)] for t in (texts.repartition(5), texts.orderBy(F.desc("row")).coalesce(2)))
         assert a == b and len({i for i, _ in a}) == len(a) == min(most, 151) and sum(i >= 150 for i, _ in a) <= 1
     assert dict(a)[150] == 0.25
 
