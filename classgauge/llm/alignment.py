@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from classgauge.llm.bitmaps import MOST_DOCS, Planes
 from classgauge.llm.bpe import Bpe, segments
-from classgauge.llm.packing import DEALT, DEALT_DDL, MERGED_DDL, dealt_rows, merged, packed, unpacked
+from classgauge.llm.packing import DEALT, DEALT_DDL, MERGED_DDL, dealt_rows, merged, packed, unpacked, unpacked_keys
 from classgauge.llm.sizing import block_names, parts_for
 from classgauge.llm.words import Texts, distinct_spans, mix, owners, runs, text_chunks
 from classgauge.session import written
@@ -222,7 +222,7 @@ def _best(keys: np.ndarray, links: np.ndarray) -> np.ndarray:
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            keys, links, held = (unpacked(row[c]) for c in ("keys", "first", "second"))
+            keys, links, held = unpacked_keys(row["keys"]), unpacked(row["first"]), unpacked(row["second"])
             columns = [(keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), links, held, _best(keys, links)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
 
@@ -232,7 +232,7 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            keys, links = unpacked(row["keys"]), unpacked(row["first"])
+            keys, links = unpacked_keys(row["keys"]), unpacked(row["first"])
             best = _best(keys, links)
             for block, blob in zip(row["blocks"], row["places"], strict=True):
                 at = unpacked(blob)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classgauge.llm.packing import DEALT, DEALT_DDL, MERGED_DDL, dealt_rows, merged, packed, unpacked
+from classgauge.llm.packing import DEALT, DEALT_DDL, MERGED_DDL, dealt_rows, merged, packed, unpacked, unpacked_keys
 from classgauge.llm.sizing import block_names, parts_for
 from classgauge.llm.words import LOWER, SPACE, Texts, mix, per_text, runs, span_hashes, text_chunks
 from classgauge.session import written
@@ -117,6 +117,20 @@ def _distinct(keys: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return every, *counts
 
 
+def _pieces(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for low in range(0, len(data), PIECE_BYTES):
+        keys, text = byte_runs(data, bounds, low, min(low + PIECE_BYTES, len(data)))
+        yield keys, kinds[text]
+
+
+def _run_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix((keys >> 8 * (ORDERS - LOW)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return buckets + (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
 def _posted(buckets: int):
     """Of each block of texts: its distinct runs, dealt by their nearest context, and words, dealt by hash (the second half of the buckets), with counts; and the texts."""
 
@@ -130,17 +144,12 @@ def _posted(buckets: int):
                 yield from block(next(names), ids, own, *canonical(texts))
 
     def block(name: str, ids: list, kinds: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for low in range(0, len(data), PIECE_BYTES):
-                keys, text = byte_runs(data, bounds, low, min(low + PIECE_BYTES, len(data)))
-                yield keys, kinds[text]
-
-        keys, *counts = _distinct(pieces())
-        yield from dealt(name, keys, counts, (mix((keys >> 8 * (ORDERS - LOW)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
+        keys, *counts = _distinct(_pieces(data, bounds, kinds))
+        yield from dealt(name, keys, counts, _run_bucket(keys, buckets))
         starts, ends, text = _word_spans(data, bounds)
         hashes = span_hashes(data, starts, ends).view(np.int64)
         keys, *counts = _distinct(iter([(hashes, kinds[text])]))
-        yield from dealt(name, keys, counts, buckets + (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64))
+        yield from dealt(name, keys, counts, _word_bucket(keys, buckets))
         row = (None, name, None, None, None, ids, kinds.tobytes(), packed(bounds), zlib.compress(data.tobytes(), 1), int((kinds != HELD).sum()))
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _POSTED.types, strict=True)], schema=_POSTED)
 
@@ -156,7 +165,7 @@ def _posted(buckets: int):
 def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for keys, first, tune in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            low = context_keys(unpacked(keys), LOW)
+            low = context_keys(unpacked_keys(keys), LOW)
             order = np.argsort(low, kind="stable")
             distinct, n = runs(low[order])
             at = np.cumsum(n) - n
@@ -236,7 +245,7 @@ def _tune_inputs(low):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blobs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, first, tune = (unpacked(b) for b in blobs)
+                keys, first, tune = unpacked_keys(blobs[0]), unpacked(blobs[1]), unpacked(blobs[2])
                 own = tune > 0
                 step = (mix(keys[own].astype(np.uint64)) % np.uint64(STEPS)).astype(np.int64)
                 parts: list[list] = [[] for _ in range(STEPS)]
@@ -333,21 +342,21 @@ def learned_mixer(every: DataFrame, low: DataFrame, buckets: int) -> Mixer:
 
 
 def _returned(low, mixer, buckets: int):
-    """Each block's keys of a bucket, with the log10 probability of a run, or of one more than a word's count."""
+    """For each block's keys of a bucket, in the order it sent them: the log10 probability of a run, or log10 of one more than a word's count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                keys, first, tune = (unpacked(row[c]) for c in ("keys", "first", "second"))
+                keys, first, tune = unpacked_keys(row["keys"]), unpacked(row["first"]), unpacked(row["second"])
                 if row["bucket"] >= buckets:
                     values = np.log10(first + tune + 1.0)
                 else:
                     values = mixer.value.log10(Predictors(keys, first + tune, low.value)).astype(np.float32)
                 for name, blob in zip(row["blocks"], row["places"], strict=True):
                     at = unpacked(blob)
-                    columns = [pa.array([name]), pa.array([row["bucket"] >= buckets]), pa.array([packed(keys[at])]), pa.array([values[at].tobytes()])]
-                    yield pa.RecordBatch.from_arrays(columns, ["block", "words", "keys", "logs"])
+                    columns = [pa.array([row["bucket"]], pa.int32()), pa.array([name]), pa.array([values[at].tobytes()])]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "logs"])
 
     return run
 
@@ -365,33 +374,40 @@ _SCORED = pa.schema([
 ])
 
 
-def _scored(blocks: pa.Table, logs: pa.Table) -> pa.Table:
+def _scored(buckets: int):
     """A block's texts, from the logs of its runs and words. In pieces, so that a long text needs no more than a short one."""
-    if not len(blocks):
-        return _SCORED.empty_table()
-    row, parts = blocks.to_pylist()[0], logs.to_pylist()
-    data, bounds = np.frombuffer(zlib.decompress(row["data"]), np.uint8), unpacked(row["bounds"])
-    n = len(row["ids"])
-
-    def sorted_logs(words: bool, kind) -> tuple[np.ndarray, np.ndarray]:
-        own = [p for p in parts if p["words"] == words]
-        keys = np.concatenate([np.zeros(0, np.int64), *[unpacked(p["keys"]) for p in own]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([np.zeros(0, kind), *[np.frombuffer(p["logs"], kind) for p in own]])[order]
-
-    keys, values = sorted_logs(False, np.float32)
-    score = np.zeros(n)
-    for at in range(0, len(data), PIECE_BYTES):
-        own, text = byte_runs(data, bounds, at, min(at + PIECE_BYTES, len(data)))
-        score += np.bincount(text, values[np.searchsorted(keys, own)], n)
-    keys, values = sorted_logs(True, np.float64)
-    starts, ends, text = _word_spans(data, bounds)
-    each = values[np.searchsorted(keys, span_hashes(data, starts, ends).view(np.int64))] if len(starts) else np.zeros(0)
-    columns = [
-        pa.array(row["ids"], pa.int64()), pa.array(np.frombuffer(row["kinds"], np.int8) == HELD), pa.array(np.bincount(text, minlength=n)),
-        pa.array(np.bincount(text[each > 0], minlength=n)), pa.array(np.bincount(text, each, n)), pa.array(score), pa.array(np.diff(bounds)),
-    ]
-    return pa.Table.from_arrays(columns, schema=_SCORED)
+
+    def run(blocks: pa.Table, logs: pa.Table) -> pa.Table:
+        if not len(blocks):
+            return _SCORED.empty_table()
+        row, parts = blocks.to_pylist()[0], {p["bucket"]: p["logs"] for p in logs.to_pylist()}
+        data, bounds = np.frombuffer(zlib.decompress(row["data"]), np.uint8), unpacked(row["bounds"])
+        n = len(row["ids"])
+
+        def logs_of(keys: np.ndarray, bucket: np.ndarray, kind) -> np.ndarray:
+            """The logs that came back, in the order of the keys."""
+            order = np.argsort(bucket, kind="stable")
+            out = np.empty(len(keys), kind)
+            out[order] = np.concatenate([np.zeros(0, kind), *[np.frombuffer(parts[b], kind) for b in np.unique(bucket).tolist()]])
+            return out
+
+        keys = _distinct(_pieces(data, bounds, np.zeros(n, np.int8)))[0]
+        values = logs_of(keys, _run_bucket(keys, buckets), np.float32)
+        score = np.zeros(n)
+        for at in range(0, len(data), PIECE_BYTES):
+            own, text = byte_runs(data, bounds, at, min(at + PIECE_BYTES, len(data)))
+            score += np.bincount(text, values[np.searchsorted(keys, own)], n)
+        starts, ends, text = _word_spans(data, bounds)
+        hashes = span_hashes(data, starts, ends).view(np.int64)
+        keys, _ = runs(np.sort(hashes))
+        each = logs_of(keys, _word_bucket(keys, buckets), np.float64)[np.searchsorted(keys, hashes)]
+        columns = [
+            pa.array(row["ids"], pa.int64()), pa.array(np.frombuffer(row["kinds"], np.int8) == HELD), pa.array(np.bincount(text, minlength=n)),
+            pa.array(np.bincount(text[each > 0], minlength=n)), pa.array(np.bincount(text, each, n)), pa.array(score), pa.array(np.diff(bounds)),
+        ]
+        return pa.Table.from_arrays(columns, schema=_SCORED)
+
+    return run
 
 
 def counted_runs(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -433,9 +449,9 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     context = docs.sparkSession.sparkContext
     table = low.select("key", (F.col("first") + F.col("tune")).alias("n")).toArrow().sort_by("key")
     shared = context.broadcast((table["key"].to_numpy(), table["n"].to_numpy()))
-    back = every.mapInArrow(_returned(shared, context.broadcast(mixer), buckets), "block string, words boolean, keys binary, logs binary")
+    back = every.mapInArrow(_returned(shared, context.broadcast(mixer), buckets), "bucket int, block string, logs binary")
     scored = blocks.drop("ends").groupBy("own").cogroup(back.groupBy("block")).applyInArrow(
-        _scored, "doc_id long, held_out boolean, words long, known long, logs double, score double, bytes long"
+        _scored(buckets), "doc_id long, held_out boolean, words long, known long, logs double, score double, bytes long"
     )
     n_tokens = F.col("words") + 1
     return scored.select(

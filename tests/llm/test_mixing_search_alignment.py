@@ -15,6 +15,7 @@ from classgauge.llm.alignment import aligned_blocks, merged_pairs, pair_scores,
 from classgauge.llm.bitmaps import Planes
 from classgauge.llm.bpe import Bpe
 from classgauge.llm.lexical import ranked_search, share_terms
+from classgauge.llm.packing import packed, packed_keys, unpacked, unpacked_keys
 from tests.llm.test_operators import BYTE_BPE, IDS, TEXTS, WORD, by_key, sentence
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -208,6 +209,18 @@ def test_pair_scores_do_not_depend_on_blocks(spark, docs, monkeypatch):
     assert by_key(pair_scores(merged_pairs(aligned_blocks(many.repartition(5), BYTE_BPE, PIECES))).collect()) == one
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_packed_numbers_come_back(n):
+    r = np.random.default_rng(n)
+    keys = np.unique(np.concatenate((r.integers(-(2**63), 2**63 - 1, n // 2), r.integers(0, 300, n - n // 2) << 40)))
+    assert unpacked_keys(packed_keys(keys)).tolist() == keys.tolist()
+    counts = r.integers(-(2**63), 2**63 - 1, n)
+    assert unpacked(packed(counts)).tolist() == counts.tolist()
+    runs = np.sort(r.integers(0, 1 << 20, n))
+    assert unpacked_keys(packed_keys(runs)).tolist() == runs.tolist()
+    assert n < 100 or len(packed_keys(runs)) < 0.4 * runs.nbytes
+
+
 @pytest.mark.parametrize("n_docs", [1, 9, 4000])
 def test_planes_add_up(n_docs):
     r = np.random.default_rng(n_docs)
