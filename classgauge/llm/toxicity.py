@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from classgauge.llm.packing import packed, unpacked
 from classgauge.llm.sizing import block_names, parts_for
 from classgauge.llm.words import LOWER, distinct_spans, owners, runs, span_hashes, text_chunks
 from classgauge.session import written
@@ -68,15 +72,17 @@ def _posted(buckets: int):
         order = np.lexsort((hashes, dealt))
         rank = np.empty(len(hashes), np.int64)
         rank[order] = np.arange(len(hashes))
-        hashes, dealt, place = hashes[order], dealt[order], rank[place]
+        hashes, dealt = hashes[order], dealt[order]
+        turn = np.lexsort((rank[place], doc))  # a text's terms in order, which packs well
+        doc, place, counts = doc[turn], rank[place][turn], counts[turn]
         held = np.stack([np.bincount(place[own], minlength=len(hashes)) for own in (labels[doc] == 0, labels[doc] == 1, slice(None))], axis=1).astype(np.int32)
         rows = []
         cuts = np.searchsorted(dealt, np.arange(buckets + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[b], cuts[b + 1])
-            rows.append((b, name, hashes[own].tobytes(), held[own].tobytes(), None, None, None, None))
+            rows.append((b, name, packed(hashes[own].view(np.int64)), packed(held[own].T.ravel()), None, None, None, None))
         firsts = np.searchsorted(doc, np.arange(len(ids) + 1))
-        rows.append((None, name, hashes.tobytes(), None, ids, firsts.tobytes(), place.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
+        rows.append((None, name, packed(hashes.view(np.int64)), None, ids, packed(firsts), packed(place), packed(counts)))
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _POSTED.types, strict=True)], schema=_POSTED)
 
     return run
@@ -109,8 +115,8 @@ def _weighed(asked, n: int, n_clean: int, n_toxic: int):
             for row in batch.to_pylist():
                 bucket = row["bucket"]
                 names.append(row["block"])
-                terms.append(np.frombuffer(row["terms"], np.uint64))
-                held.append(np.frombuffer(row["held"], np.int32).reshape(-1, 3))
+                terms.append(unpacked(row["terms"]).view(np.uint64))
+                held.append(unpacked(row["held"]).reshape(3, -1).T)
         if bucket is None:
             return
         known, place = np.unique(np.concatenate(terms), return_inverse=True)
@@ -230,12 +236,28 @@ class BlockMaxIndex:
         return row[best] + low, example[best], sims[best]
 
 
+def calibration(votes: np.ndarray, labels: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic blocks (pool adjacent violators) from votes of the examples, each without itself, to shares of label 1: the ends of each block and its share."""
+    order = np.argsort(votes, kind="stable")
+    levels, count = runs(votes[order])
+    ones = np.add.reduceat(labels[order].astype(float), np.cumsum(count) - count) if len(levels) else np.zeros(0)
+    stack: list[list[float]] = []  # lowest and highest vote, examples, ones
+    for level, n, s in zip(levels, count, ones, strict=True):
+        stack.append([level, level, n, s])
+        while len(stack) > 1 and stack[-2][3] * stack[-1][2] >= stack[-1][3] * stack[-2][2]:
+            _, high, n, s = stack.pop()
+            stack[-1][1:] = [high, stack[-1][2] + n, stack[-1][3] + s]
+    if not stack:
+        return np.zeros(1), np.full(1, prior)
+    return np.array([x for low, high, _, _ in stack for x in (low, high)]), np.repeat([(s + 2 * prior) / (n + 2) for _, _, n, s in stack], 2)
+
+
 class ToxicityModel:
     """An index of examples with the calibration of its votes."""
 
-    def __init__(self, index: BlockMaxIndex, prior: float):
+    def __init__(self, index: BlockMaxIndex, prior: float, levels: np.ndarray | None = None, values: np.ndarray | None = None):
         self.index, self.prior = index, prior
-        self.levels, self.values = np.zeros(1), np.full(1, prior)
+        self.levels, self.values = (np.zeros(1), np.full(1, prior)) if levels is None else (levels, values)
 
     def votes(self, n: int, row: np.ndarray, example: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """Of each text the share of label 1 among its neighbours, weighted by squared cosine; one unit of prior keeps faint votes near it."""
@@ -243,22 +265,8 @@ class ToxicityModel:
         ones = np.bincount(row, weight * self.index.labels[example], n)
         return (ones + 0.05 * self.prior) / (np.bincount(row, weight, n) + 0.05)
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Isotonic blocks (pool adjacent violators) from votes of the examples, each without itself, to shares of label 1; straight lines between blocks."""
-        order = np.argsort(votes, kind="stable")
-        levels, count = runs(votes[order])
-        ones = np.add.reduceat(labels[order].astype(float), np.cumsum(count) - count) if len(levels) else np.zeros(0)
-        stack: list[list[float]] = []  # lowest and highest vote, examples, ones
-        for level, n, s in zip(levels, count, ones, strict=True):
-            stack.append([level, level, n, s])
-            while len(stack) > 1 and stack[-2][3] * stack[-1][2] >= stack[-1][3] * stack[-2][2]:
-                _, high, n, s = stack.pop()
-                stack[-1][1:] = [high, stack[-1][2] + n, stack[-1][3] + s]
-        if stack:
-            self.levels = np.array([x for low, high, _, _ in stack for x in (low, high)])
-            self.values = np.repeat([(s + 2 * self.prior) / (n + 2) for _, _, n, s in stack], 2)
-
     def scores(self, votes: np.ndarray) -> np.ndarray:
+        """Calibrated: straight lines between blocks."""
         return 0.98 * np.interp(votes, self.levels, self.values) + 0.02 * votes
 
 
@@ -267,17 +275,16 @@ def _unit(doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return weight / np.maximum(norm[doc], 1e-12)
 
 
-def _scored(model):
+def _scored(examples, prior: float, levels: np.ndarray, values: np.ndarray):
     """A block's texts, from its postings and the factors of its terms."""
 
     def run(blocks: pa.Table, factors: pa.Table) -> pa.Table:
-        m: ToxicityModel = model.value
         if not len(blocks):
             return _OUT.empty_table()
+        m = ToxicityModel(example_index(examples.value)[0], prior, levels, values)
         row = blocks.to_pylist()[0]
-        n, hashes = len(row["ids"]), np.frombuffer(row["terms"], np.uint64)
-        firsts = np.frombuffer(row["firsts"], np.int64)
-        place, counts = (np.frombuffer(row[c], np.int32) for c in ("places", "counts"))
+        n, hashes = len(row["ids"]), unpacked(row["terms"]).view(np.uint64)
+        firsts, place, counts = (unpacked(row[c]) for c in ("firsts", "places", "counts"))
         factor = np.concatenate([np.frombuffer(r["weights"]) for r in sorted(factors.to_pylist(), key=lambda r: r["bucket"])] or [np.zeros(0)])
         doc = owners(firsts)
         weight = _unit(doc, (1 + np.log(counts)) * factor[place], n)
@@ -320,26 +327,43 @@ def first_examples(texts: DataFrame, examples: int = EXAMPLES) -> list[dict]:
     return [r | terms[r["key"]] for r in first.to_pylist()]
 
 
-def example_index(rows: list[dict], terms: np.ndarray, weights: np.ndarray) -> tuple[BlockMaxIndex, Vectors]:
-    """The index of ``first_examples``, from all their terms' hashes, in order, and factors; and their vectors."""
+def packed_examples(rows: list[dict], terms: np.ndarray, weights: np.ndarray) -> bytes:
+    """``first_examples`` with all their terms' hashes, in order, and factors, compressed behind a digest: a few megabytes, where the index
+    built of them has many times that."""
     hashes = [np.frombuffer(r["terms"], np.uint64) for r in rows]
+    places = np.searchsorted(terms, np.concatenate([np.zeros(0, np.uint64), *hashes])).astype(np.int32)
+    counts = b"".join([r["counts"] for r in rows])
     firsts = np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64)
-    term = np.searchsorted(terms, np.concatenate([np.zeros(0, np.uint64), *hashes]))
-    counts = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["counts"], np.int32) for r in rows]])
-    vectors = Vectors(term, _unit(owners(firsts), (1 + np.log(counts)) * weights[term], len(rows)), firsts)
-    return BlockMaxIndex(terms, np.array([r["row"] for r in rows], np.int64), np.array([r["label"] for r in rows], float), vectors), vectors
+    ids, labels = np.array([r["row"] for r in rows], np.int64), np.array([r["label"] for r in rows], float)
+    blob = zlib.compress(pickle.dumps([x.tobytes() for x in (terms, weights, ids, labels, firsts, places)] + [counts]), 6)
+    return hashlib.md5(blob).digest() + blob
+
+
+_INDEXES: dict[bytes, tuple[BlockMaxIndex, Vectors]] = {}
+
+
+def example_index(blob: bytes) -> tuple[BlockMaxIndex, Vectors]:
+    """The index of ``packed_examples``, and the examples' vectors; a process builds it once."""
+    if blob[:16] not in _INDEXES:
+        _INDEXES.clear()
+        kinds = (np.uint64, float, np.int64, float, np.int64, np.int32, np.int32)
+        terms, weights, ids, labels, firsts, places, counts = (np.frombuffer(x, k) for x, k in zip(pickle.loads(zlib.decompress(blob[16:])), kinds, strict=True))
+        vectors = Vectors(places.astype(np.int64), _unit(owners(firsts), (1 + np.log(counts)) * weights[places], len(ids)), firsts)
+        _INDEXES[blob[:16]] = BlockMaxIndex(terms, ids, labels, vectors), vectors
+    return _INDEXES[blob[:16]]
 
 
-def _left_out(model, vectors):
-    """The votes of a range of examples, each without itself."""
+def _left_out(examples, prior: float):
+    """The votes of a range of examples, each without itself, and their labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, all_ = model.value, vectors.value
+        index, vectors = example_index(examples.value)
+        m = ToxicityModel(index, prior)
         for batch in batches:
             for low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Vectors(all_.term, all_.weight, all_.firsts[low : high + 1])
-                votes = m.votes(high - low, *m.index.search(own, NEIGHBOURS, np.arange(low, high)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(votes)], ["example", "vote"])
+                own = Vectors(vectors.term, vectors.weight, vectors.firsts[low : high + 1])
+                votes = m.votes(high - low, *index.search(own, NEIGHBOURS, np.arange(low, high)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(votes), pa.array(index.labels[low:high])], ["example", "vote", "label"])
 
     return run
 
@@ -379,16 +403,15 @@ def toxicity_scores(
     weights = np.zeros(len(known))
     for r in factors.where("block IS NULL").select("terms", "weights").toArrow().to_pylist():  # the examples' terms, each once
         weights[np.searchsorted(known, np.frombuffer(r["terms"], np.uint64))] = np.frombuffer(r["weights"])
-    index, vectors = example_index(chosen, known, weights)
-    model = ToxicityModel(index, n_toxic / (n_clean + n_toxic) if n_clean + n_toxic else 0.5)
+    prior = n_toxic / (n_clean + n_toxic) if n_clean + n_toxic else 0.5
+    shared = spark.sparkContext.broadcast(packed_examples(chosen, known, weights))
+    levels, values = np.zeros(1), np.full(1, prior)
     if chosen:
         ranges = [(low, min(low + QUERIES, len(chosen))) for low in range(0, len(chosen), QUERIES)]
         parts = spark.createDataFrame(ranges, "low long, high long").repartition(len(ranges))
-        shared, every = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(vectors)
-        votes = parts.mapInArrow(_left_out(shared, every), "example long, vote double").toArrow().sort_by("example")["vote"].to_numpy()
-        model.calibrate(votes, index.labels)
-    final = spark.sparkContext.broadcast(model)
+        votes = parts.mapInArrow(_left_out(shared, prior), "example long, vote double, label double").toArrow().sort_by("example")
+        levels, values = calibration(votes["vote"].to_numpy(), votes["label"].to_numpy(), prior)
     blocks = posted.where("bucket IS NULL").select(F.col("block").alias("own"), "terms", "ids", "firsts", "places", "counts")
     back = factors.where("block IS NOT NULL").select("block", "bucket", "weights")
-    scored = blocks.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_scored(final), _OUT_DDL)
+    scored = blocks.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_scored(shared, prior, levels, values), _OUT_DDL)
     return scored.select(F.col("row").alias("doc_id"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "vote", "neighbours", "cosines")
