@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from classgauge.llm.sizing import fresh, join_counted
 from classgauge.session import forget, written
 
 BLANK = "^[\\x20\\x09-\\x0D]*$"
 GAP = "[\\x20\\x09-\\x0D]+"
 
 
-def _key(id_col: str, text_col: str) -> Column:
+def _name_of(id_: Column, text: Column) -> Column:
     """Names a document by id and text: rows equal in both are one document."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string"))
+    return F.xxhash64(F.coalesce(id_.cast("string"), F.lit("null")), text.cast("string"))
 
 
 def _name(first: Column) -> Column:
@@ -24,7 +25,7 @@ def _name(first: Column) -> Column:
 def line_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, key, place, line_a, line_b, words): the lines of each document that aren't blank."""
     lines = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"),
+        F.col(id_col).cast("long").alias("doc_id"), _name_of(F.col(id_col), F.col(text_col)).alias("key"),
         F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("place", "line"),
     ).where(~F.col("line").rlike(BLANK))
     inner = F.regexp_replace("line", f"^{GAP}|{GAP}$", "")
@@ -49,9 +50,13 @@ def repeated_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     own = Window.partitionBy("doc_id", "key").orderBy("place")
     lines = lines.withColumns({"i": F.row_number().over(own), "upto": F.sum("words").over(own)})
     at = F.struct("doc_id", "key", "i")
-    seen = lines.groupBy("line_a", "line_b").agg(_name(F.min(at)).alias("rank_0"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-    active = lines.join(seen, ["line_a", "line_b"]).select("doc_id", "key", "i", "place", "words", "upto", "line_a", "rank_0")
-    active = written(active, "ranks")
+    seen = lines.groupBy("line_a", "line_b").agg(_name(F.min(at)).alias("rank_0"), F.count("*").alias("n_"))
+    seen = written(seen, "lines")
+    total = seen.agg(F.coalesce(F.sum("n_"), F.lit(0))).head()[0]
+    spot = ["doc_id", "key", "i"]
+    active = join_counted(lines, seen.where("n_ > 1"), ["line_a", "line_b"], total, spot).where("rank_0 IS NOT NULL")
+    active = written(active.select("doc_id", "key", "i", "place", "words", "upto", "line_a", "rank_0"), "ranks")
+    total = active.count()
 
     steps = min_words.bit_length() - 1  # 2 ** steps <= min_words
     own = Window.partitionBy("doc_id", "key").orderBy("i")
@@ -59,8 +64,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
         half = own.rangeBetween(1 << k, 1 << k)
         pairs = active.withColumn("next_", F.first(f"rank_{k}").over(half))
         both = pairs.where(f"rank_{k} IS NOT NULL AND next_ IS NOT NULL").groupBy(f"rank_{k}", "next_")
-        both = both.agg(_name(F.min(at)).alias(f"rank_{k + 1}"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-        before, active = active, written(pairs.join(both, [f"rank_{k}", "next_"], "left").drop("next_"), "ranks")
+        both = both.agg(_name(F.min(at)).alias(f"rank_{k + 1}"), F.count("*").alias("n_")).where("n_ > 1")
+        before, active = active, written(join_counted(pairs, both, [f"rank_{k}", "next_"], total, spot).drop("next_"), "ranks")
         forget(before)
 
     here = F.struct("i", "upto", (F.col("upto") - F.col("words")).alias("before"))
@@ -84,10 +89,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
 
     runs = ranked(ranked(windows, "a", "head", "line_a"), "c", "tail").withColumn("n", F.col("b") - F.col("a"))
     start = F.struct("doc_id", "key", F.col("a").alias("i"))
-    same = ["n", "line_a", "head", "tail"]
+    same = ["head", "tail", "line_a", "n"]
     runs = written(runs.select("doc_id", "key", "a", "b", *same), "windows")
-    first = runs.groupBy(*same).agg(F.min(start).alias("first"), F.count("*").alias("m")).where("m > 1")
-    later = runs.join(first, same).where(start != F.col("first"))
+    first = runs.groupBy(*same).agg(F.min(start).alias("first"), F.count("*").alias("n_")).where("n_ > 1")
+    later = join_counted(runs, first, same, runs.count(), ["doc_id", "key", "a"]).where(F.col("first").isNotNull() & (start != F.col("first")))
     gone = later.select("doc_id", "key", F.explode(F.sequence("a", "b")).alias("i")).distinct()
     return gone.alias("g").join(
         active.alias("x"), [F.col("g.doc_id").eqNullSafe(F.col("x.doc_id")), F.col("g.key") == F.col("x.key"), F.col("g.i") == F.col("x.i")]
@@ -97,24 +102,27 @@ def repeated_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
 def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with later copies of repeated line runs taken out of the text, and how many lines went.
 
-    All columns and rows stay; ``n_deleted_lines`` (long) is added. Runs need ``min_words`` words and
+    All columns and rows stay; ``n_deleted_lines`` (long) is added as the last, with underscores while the input has that name. Other
+    names never clash, as the input's columns travel in one struct. Runs need ``min_words`` words and
     may repeat within a text or between texts; the first copy by (id, null first, text) stays, and
     blank lines are skipped in comparing and left where they are. Rows with equal id and text
     count as one document and are treated alike. A null text stays null; an empty table gives no rows.
     """
-    gone = repeated_lines(docs, min_words, id_col, text_col)
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    gone = repeated_lines(own, min_words)
     order = Window.partitionBy("doc_id", "key").orderBy("place")
     gone = gone.withColumn("island", F.col("place") - F.row_number().over(order))
     gone = gone.groupBy("doc_id", "key", "island").agg(F.min("place").alias("s"), F.max("place").alias("e"))
-    cuts = gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts_"))
-    cuts = cuts.select(F.col("doc_id").alias("d_"), F.col("key").alias("k_"), "cuts_")
-    key = _key(id_col, text_col)
-    met = docs.join(cuts, [F.col(id_col).cast("long").eqNullSafe(cuts["d_"]), key == cuts["k_"]], "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    opens = F.concat(F.array(F.lit(0)), F.transform("cuts_", lambda c: c["e"] + 1))
-    closes = F.concat(F.transform("cuts_", lambda c: c["s"]), F.array(F.size("lines_")))
-    rest = F.array_join(F.flatten(F.zip_with(opens, closes, lambda a, b: F.slice("lines_", a + 1, b - a))), "\n")
-    deleted = F.aggregate("cuts_", F.lit(0).cast("long"), lambda n, c: n + c["e"] - c["s"] + 1)
-    met = met.withColumn("lines_", F.when(F.col("cuts_").isNotNull(), lines))
-    met = met.withColumns({text_col: F.when(F.col("cuts_").isNull(), F.col(text_col)).otherwise(rest), "n_deleted_lines": F.coalesce(deleted, F.lit(0).cast("long"))})
-    return met.select(*docs.columns, "n_deleted_lines")
+    cuts = gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row").getField(text_col)
+    rows = rows.withColumns({"at": F.col("row").getField(id_col).cast("long"), "name": _name_of(F.col("row").getField(id_col), text)})
+    met = rows.join(cuts, [F.col("at").eqNullSafe(F.col("doc_id")), F.col("name") == F.col("key")], "left")
+    met = met.withColumn("lines", F.when(F.col("cuts").isNotNull(), F.split(text.cast("string"), "\n")))
+    opens = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["e"] + 1))
+    closes = F.concat(F.transform("cuts", lambda c: c["s"]), F.array(F.size("lines")))
+    rest = F.array_join(F.flatten(F.zip_with(opens, closes, lambda a, b: F.slice("lines", a + 1, b - a))), "\n")
+    deleted = F.coalesce(F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + c["e"] - c["s"] + 1), F.lit(0).cast("long"))
+    left = F.when(F.col("cuts").isNull(), text).otherwise(rest)
+    columns = [(left if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return met.select(*columns, deleted.alias(fresh("n_deleted_lines", docs.columns)))

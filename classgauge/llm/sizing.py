@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from classgauge.session import input_bytes
 
@@ -41,3 +42,25 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int, spread: list[str]) -> DataFrame:
+    """The rows with the other columns of ``counted``, null where it has none; no task gets the rows of a hot key.
+
+    ``counted`` has each key once, with how many of the ``total`` rows have it in ``n_``. Keys of more than one row in
+    HOT_SHARE, of which there are fewer than HOT_SHARE, are broadcast, and their rows are dealt on by ``spread`` instead of
+    the key. ``on`` are at least two columns, the first a long.
+    """
+    values = [c for c in counted.columns if c not in on and c != "n_"]
+    is_hot = F.col("n_") > total / HOT_SHARE
+    hot = counted.where(is_hot).select(*on, F.struct(*values).alias("hot_"))
+    cold = counted.where(~is_hot).select(*[F.col(c).alias(f"{c}_on") for c in on], F.struct(*values).alias("cold_"))
+    marked = rows.join(F.broadcast(hot), on, "left")
+    away = F.col("hot_").isNotNull()
+    keys = [F.when(away, F.xxhash64(*spread)).otherwise(F.col(on[0])), F.when(away, None).otherwise(F.col(on[1])), *map(F.col, on[2:])]
+    marked = marked.withColumns({f"{c}_at": k for c, k in zip(on, keys, strict=True)})
+    met = marked.join(cold, [F.col(f"{c}_at") == F.col(f"{c}_on") for c in on], "left")
+    return met.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col("hot_")[v], F.col("cold_")[v]).alias(v) for v in values])
