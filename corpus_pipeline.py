@@ -16,6 +16,7 @@ from classgauge.llm.bpe import bpe_encode
 from classgauge.llm.jaccard import shingle_components
 from classgauge.llm.linedup import dedup_lines
 from classgauge.llm.perplexity import quality_verdicts
+from classgauge.llm.sizing import fresh
 from classgauge.llm.templates import without_leaks
 from classgauge.session import written
 
@@ -23,39 +24,55 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose verdict is to keep, joined by id and text (rows equal in both have one verdict)."""
+    """Documents whose verdict is to keep, joined by id, language and text: rows equal in these have one verdict.
+
+    A null or empty text has no words and goes. Null ids and languages are values like others. No column is
+    changed or lost, whatever its name.
+    """
+    name = fresh("key_", docs.columns)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("lang"), F.col("text"))
-    keyed = docs.withColumn("key_", key)
-    bad = quality_verdicts(keyed, keep=("key_",)).where("NOT kept").select("doc_id", F.col("kept_key_").alias("key_")).distinct()
-    kept = keyed.join(bad, [keyed["doc_id"].eqNullSafe(bad["doc_id"]), keyed["key_"] == bad["key_"]], "left_anti")
-    return kept.drop("key_")
+    keyed = docs.withColumn(name, key)
+    bad = quality_verdicts(keyed, keep=(name,)).where("NOT kept").select("doc_id", F.col(f"kept_{name}").alias(name)).distinct()
+    kept = keyed.join(bad, [keyed["doc_id"].eqNullSafe(bad["doc_id"]), keyed[name] == bad[name]], "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs leave the texts; ``n_chars`` follows. A text left without a word goes."""
-    cut = dedup_lines(docs).where("n_deleted_lines = 0 OR NOT text RLIKE '^[\\\\x20\\\\x09-\\\\x0D]*$'")
-    chars = F.when(F.col("n_deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", chars).select(*docs.columns)
+    """Later copies of repeated line runs leave the texts; ``n_chars`` follows. A text left without a word goes.
+
+    The first copy by id (null first) and text stays; rows equal in both are cut alike. A null text stays as it is.
+    """
+    cut = dedup_lines(docs)
+    n = F.col(cut.columns[-1])
+    left = cut.where((n == 0) | ~F.col("text").rlike("^[\\x20\\x09-\\x0D]*$"))
+    chars = F.when(n > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one whose id names the group. Rows without an id stay."""
+    """One document of each group of near copies stays: the one whose id names the group, the smallest.
+
+    Rows without an id stay, and so do texts without words; rows that repeat an id share its fate.
+    """
     gone = shingle_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak an item of ``benchmark`` go."""
+    """Documents that leak an item of ``benchmark`` go, all rows of their id with them. Null texts and null ids leak nothing."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, exact): each text as ids, and whether they decode to it again."""
+    """Rows (doc_id, n_tokens, ids, exact), one for each document: its text as ids, and whether they decode to it again.
+
+    A null or empty text has no ids, and that is exact.
+    """
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe_encode(docs, vocabulary, keep=(F.sha2("text", 256).alias("sha256"),), decode=True)
-    exact = F.coalesce(F.sha2("decoded", 256) == F.col("sha256"), F.col("decoded") == "")  # a null text has no ids
+    exact = F.coalesce(F.sha2("decoded", 256) == F.col("sha256"), F.col("decoded") == "")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
 
