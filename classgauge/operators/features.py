@@ -155,21 +155,29 @@ def tfidf_long(counts: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame
     return rows.withColumn("weight", F.col("_raw") / length).drop("_raw", "tf")
 
 
-def as_vector(size: Column, indices: Column, values: Column) -> Column:
-    """A sparse ML vector out of index and value arrays.
+def stored_vectors(rows: DataFrame, name: str, size: int, indices: Column, values: Column) -> DataFrame:
+    """The rows with sparse ML vectors out of index and value arrays, under ``name``.
 
-    No built-in function makes one; reading it back from its JSON form does, and
-    stays in the JVM. Doubles print in full, so nothing is lost.
+    No built-in function makes a vector of arrays. Files do not know the type, only its parts: rows written with the
+    parts are read back under a schema that names it, with every double as it was.
     """
-    parts = F.struct(F.lit(0).alias("type"), size.alias("size"), indices.alias("indices"), values.alias("values"))
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(parts.alias("v"))), schema)["v"]
+    spark = rows.sparkSession
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values"))
+    path = work_path(spark, "vectors")
+    rows.withColumn(name, parts).write.parquet(path)
+    fields = [f for f in rows.schema.fields if f.name != name]
+    return spark.read.schema(T.StructType([*fields, T.StructField(name, VectorUDT())])).parquet(path)
+
+
+def packed_weights(long: DataFrame, key: str) -> DataFrame:
+    """(key, p): each text's long weights as an array of (i, w), by index."""
+    return long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("term_idx").cast("int").alias("i"), F.col("weight").alias("w")))).alias("p"))
 
 
 def vectors_from_long(long: DataFrame, key: str, n_terms: int) -> DataFrame:
-    """(key, features) from long weights."""
-    packed = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("term_idx").cast("int").alias("i"), F.col("weight").alias("w")))).alias("p"))
-    return packed.select(key, as_vector(F.lit(n_terms), F.col("p.i"), F.col("p.w")).alias("features"))
+    """(key, features) from long weights; written."""
+    packed = packed_weights(long, key)
+    return stored_vectors(packed, "features", n_terms, F.col("p.i"), F.col("p.w")).drop("p")
 
 
 def driver_terms(vocabulary: Vocabulary, spark: SparkSession) -> tuple[list[str], list[float]]:
@@ -198,7 +206,7 @@ def with_count_arrays(df: DataFrame, text: str, profile: str, known: list[str])
 
 
 def tfidf_vectors(df: DataFrame, text: str, profile: str, vocabulary: Vocabulary, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
-    """Add ``features``, the TF-IDF vector of a text; a null text has an empty one.
+    """Add ``features``, the TF-IDF vector of a text; a null text has an empty one. The rows are written on the way.
 
     A vocabulary of up to ``driver_bytes`` is handed to every task: no shuffle and no Python. With a larger one
     each distinct text is weighed once, under its hash, through the long form.
@@ -207,12 +215,12 @@ def tfidf_vectors(df: DataFrame, text: str, profile: str, vocabulary: Vocabulary
         named = df.withColumn("_key", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
         texts = named.select("_key", text).dropDuplicates(["_key"])
         long = tfidf_long(term_counts(texts, "_key", text, profile), "_key", vocabulary)
-        rows = named.join(vectors_from_long(long, "_key", vocabulary.n_terms), "_key", "left")
-        empty = as_vector(F.lit(vocabulary.n_terms), F.array().cast("array<int>"), F.array().cast("array<double>"))
-        return rows.withColumn("features", F.coalesce("features", empty)).select(*df.columns, "features")
+        rows = named.join(packed_weights(long, "_key"), "_key", "left").select(*df.columns, "p")
+        part = lambda k, t: F.coalesce(F.col(f"p.{k}"), F.array().cast(f"array<{t}>"))
+        return stored_vectors(rows, "features", vocabulary.n_terms, part("i", "int"), part("w", "double")).drop("p")
     known, idf = driver_terms(vocabulary, df.sparkSession)
     rows = with_count_arrays(df, text, profile, known)
-    rows = rows.withColumn("_raw", as_vector(F.lit(len(known)), F.col("_idx"), F.transform("_tf", sublinear_tf)))
+    rows = stored_vectors(rows, "_raw", len(known), F.col("_idx"), F.transform("_tf", sublinear_tf))
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_raw", outputCol="_scaled").transform(rows)
     unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="features").transform(scaled)
     return unit.drop("_idx", "_tf", "_raw", "_scaled")

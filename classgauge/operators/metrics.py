@@ -3,6 +3,9 @@
 A scored table is (id, y, pred, probs). ``metric_cells`` reads it once and keeps
 one row per (true class, predicted class, confidence bin). Every metric but the
 ROC family is a sum over these cells, whose number does not grow with the data.
+
+Sums of measured numbers are exact: each number is taken to EXACT, and decimals add up to the same whatever
+their order, so metrics don't change by a bit with the partitions.
 """
 
 from __future__ import annotations
@@ -13,6 +16,17 @@ from pyspark.sql import functions as F
 # The machine epsilon that bounds a probability away from 0 and 1.
 EPS = 2.220446049250313e-16
 N_BINS = 15
+EXACT = "decimal(22,18)"  # of numbers up to 36, a log loss's bound; sums have ten digits more
+
+
+def exact_sum(value: Column) -> Column:
+    return F.sum(value.cast(EXACT))
+
+
+def _in_order(value: Column, key: str) -> Column:
+    """The sum of a few doubles, one for each class, in the classes' order."""
+    terms = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))
+    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["v"])
 
 
 def bin_edges(n_bins: int = N_BINS) -> list[float]:
@@ -53,9 +67,9 @@ def metric_cells(
     )
     return rows.groupBy(*by, "y", "pred", confidence_bin(F.col("conf"), n_bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("conf").alias("conf"),
-        F.sum("loss").alias("loss"),
-        F.sum("brier").alias("brier"),
+        exact_sum(F.col("conf")).alias("conf"),
+        exact_sum(F.col("loss")).alias("loss"),
+        exact_sum(F.col("brier")).alias("brier"),
     )
 
 
@@ -91,7 +105,7 @@ def class_sums(cells: DataFrame, labels: list[int] | None = None, by: tuple[str,
     go with the true one. With ``labels``, exactly these classes, also empty ones.
     """
     has_loss = "loss" in cells.columns
-    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    zero, none = F.lit(0).cast("long"), F.lit(0).cast(EXACT)
     loss = [F.col(c).alias(c) if has_loss else none.alias(c) for c in ("loss", "brier")]
     tp = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(zero)
     truth = F.struct(F.col("y").alias("class_id"), F.col("n").alias("support"), zero.alias("predicted"), tp.alias("tp"), *loss)
@@ -131,11 +145,11 @@ def per_class(cells: DataFrame, labels: list[int] | None = None) -> DataFrame:
 
 
 def _macro(name: str) -> Column:
-    return F.avg(name).alias(f"{name}_macro")
+    return (_in_order(F.col(name), "class_id") / F.count(name)).alias(f"{name}_macro")
 
 
 def _weighted(name: str) -> Column:
-    return (F.sum(F.col(name) * F.col("support")) / F.sum("support")).alias(f"{name}_weighted")
+    return (_in_order(F.col(name) * F.col("support"), "class_id") / F.sum("support")).alias(f"{name}_weighted")
 
 
 RATES = ("precision", "recall", "f1")
@@ -157,11 +171,11 @@ def accuracy(cells: DataFrame) -> DataFrame:
 
 
 def log_loss(cells: DataFrame) -> DataFrame:
-    return cells.agg((F.sum("loss") / F.sum("n")).alias("log_loss"))
+    return cells.agg((F.sum("loss").cast("double") / F.sum("n")).alias("log_loss"))
 
 
 def brier_score(cells: DataFrame) -> DataFrame:
-    return cells.agg((F.sum("brier") / F.sum("n")).alias("brier_score"))
+    return cells.agg((F.sum("brier").cast("double") / F.sum("n")).alias("brier_score"))
 
 
 def reliability(cells: DataFrame, n_bins: int = N_BINS, by: tuple[str, ...] = ()) -> DataFrame:
@@ -169,7 +183,7 @@ def reliability(cells: DataFrame, n_bins: int = N_BINS, by: tuple[str, ...] = ()
     edges = F.array(*[F.lit(e) for e in bin_edges(n_bins)])
     hits = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0))
     bins = cells.groupBy(*by, "bin").agg(
-        (F.sum("conf") / F.sum("n")).alias("confidence"),
+        (F.sum("conf").cast("double") / F.sum("n")).alias("confidence"),
         (hits / F.sum("n")).alias("accuracy"),
         F.sum("n").alias("n"),
     )
@@ -180,7 +194,7 @@ def reliability(cells: DataFrame, n_bins: int = N_BINS, by: tuple[str, ...] = ()
 def calibration_error(cells: DataFrame, n_bins: int = N_BINS, by: tuple[str, ...] = ()) -> DataFrame:
     """Expected calibration error: gap per bin, weighted by the bin's share."""
     gap = F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))
-    return reliability(cells, n_bins, by).groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias(f"ece_{n_bins}bins"))
+    return reliability(cells, n_bins, by).groupBy(*by).agg((_in_order(gap, "bin") / F.sum("n")).alias(f"ece_{n_bins}bins"))
 
 
 def metric_row(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -190,6 +204,6 @@ def metric_row(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         (F.sum("tp") / total).alias("accuracy"),
         *map(_weighted, RATES),
         *map(_macro, RATES),
-        (F.sum("loss") / total).alias("log_loss"),
-        (F.sum("brier") / total).alias("brier_score"),
+        (F.sum("loss").cast("double") / total).alias("log_loss"),
+        (F.sum("brier").cast("double") / total).alias("brier_score"),
     )

@@ -557,6 +557,11 @@ ORACLES: dict[str, str] = {
         f"SELECT 'centroid' AS name, {_r(MEANS['accuracy'])} AS accuracy, {_r(MEANS['f1_macro'])} AS macro_f1, "
         + ", ".join(f"{_r(MEANS[m])} AS {m}" for m in ("precision_weighted", "recall_weighted", "f1_weighted", "log_loss")),
     ),
+    "record_fields": _sql(
+        CENTROID_SCORED + ALL_METRICS,
+        f"SELECT 'centroid' AS name, {_r(MEANS['accuracy'])} AS accuracy, {_r(MEANS['f1_macro'])} AS macro_f1, "
+        + ", ".join(f"{_r(MEANS[m])} AS {m}" for m in ("precision_weighted", "recall_weighted", "f1_weighted", "log_loss")),
+    ),
     "quick_metrics": _sql(
         DENSE + SEEN_RATES, f"SELECT {_r(MEANS['accuracy'])} AS accuracy, {_r(MEANS['f1_macro'])} AS f1_macro"
     ),
@@ -627,4 +632,22 @@ ORACLES: dict[str, str] = {
         + (("ordered", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, term_idx)::INT AS rk FROM weights"),),
         f"SELECT id, rk AS \"rank\", term_idx AS feature_index, term AS feature_name, {_r('weight')} AS x_value FROM ordered WHERE rk <= 10",
     ),
+    "top_terms_any_size": _sql(
+        WEIGHTS
+        + (("ordered", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, term_idx)::INT AS rk FROM weights"),),
+        f"SELECT id, rk AS \"rank\", term_idx AS feature_index, term AS feature_name, {_r('weight')} AS x_value FROM ordered WHERE rk <= 10",
+    ),
+    "text_introspection_any_size": _sql(
+        _centroid_scored("true"),
+        f"SELECT id, c::INT AS class_id, {NAME.format('c')} AS class_label, {_r('z')} AS \"logit_xWT_plus_b\","
+        f" {_r('p')} AS prob_from_model_predict_proba, {_r('p')} AS prob_from_manual_softmax FROM pr",
+    ),
+    "weight_preview_by_term": _sql(CENTROID, f"SELECT class_id, term, {_r('w')} AS w FROM ({PREVIEW_W})"),
+    "scored_preview": f"SELECT * FROM ({_sql(NEW_TEXTS, NEW_SCORED.format(''))}) ORDER BY conv_id, turn LIMIT 10",
+    "written_reports": _sql(
+        CENTROID_SCORED + ALL_METRICS,
+        f"SELECT 'overall' AS file, metric AS name, value FROM ({OVERALL})"
+        f" UNION ALL SELECT 'classes', {NAME.format('c')}, {_r('f1')} FROM rates"
+        f" UNION ALL SELECT 'predictions', {NAME.format('y')} || '>' || {NAME.format('pred')}, count(*)::DOUBLE FROM scored GROUP BY y, pred",
+    ),
 }

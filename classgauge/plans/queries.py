@@ -699,6 +699,14 @@ def evaluation_record(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_row(reports.evaluation_record(metrics.metric_cells(centroid_scored(spark, sf)), "centroid"))
 
 
+@query
+def record_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """A record as it is shown: without the predictions and the report that it carries."""
+    cells = metrics.metric_cells(centroid_scored(spark, sf))
+    record = reports.evaluation_record(cells, "centroid").withColumns({"y_pred": F.array(F.lit(0)), "report": F.lit("")})
+    return rounded_row(reports.record_view(record))
+
+
 @query
 def quick_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_row(reports.quick_metrics(dense_scored(spark, sf)))
@@ -788,10 +796,46 @@ def model_pair_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_introspection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = split_texts(spark, sf)
+    rows = tables.spread(split_texts(spark, sf), "id")
     return rounded_row(introspect.text_introspection(rows, "id", "text", centroid_model(spark, sf)))
 
 
+@query
+def text_introspection_any_size(spark: SparkSession, sf: str) -> DataFrame:
+    """``text_introspection`` with the plan that a model past the driver's bound takes."""
+    return rounded_row(introspect.text_introspection(split_texts(spark, sf), "id", "text", centroid_model(spark, sf), driver_bytes=0))
+
+
+@query
+def weight_preview_by_term(spark: SparkSession, sf: str) -> DataFrame:
+    """The preview's columns under their terms, given back as rows to have fixed names."""
+    wide = rounded_row(introspect.weight_preview_wide(spark, centroid_model(spark, sf), by_term=True))
+    names = [c for c in wide.columns if c != "class_id"]
+    cells = F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"`{n}`").alias("w")) for n in names])
+    return wide.select("class_id", F.explode(cells).alias("c")).select("class_id", "c.term", "c.w")
+
+
+@query
+def scored_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """The first scored rows of the new texts, as shown beside the file."""
+    rows = table(spark, sf, "conversations").withColumn("at", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")))
+    first = tables.preview(rows, ["conv_id", "turn", "role", "text"], "at")
+    return rounded_row(textmodel.with_prediction_columns(textmodel.score_texts(first, "text", centroid_model(spark, sf))).drop("text"))
+
+
+@query
+def written_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The report files of an evaluation, read back: overall numbers, classes, and the predictions' count by labels."""
+    path = work_path(spark, "evaluation")
+    workbench.write_evaluation(centroid_scored(spark, sf), path)
+    read = lambda name, schema: spark.read.options(header=True, escape='"', multiLine=True).schema(schema).csv(f"{path}/{name}")
+    overall = read("detailed_metrics", "row int, metric string, value double").filter("row < 10").select(F.lit("overall").alias("file"), F.col("metric").alias("name"), "value")
+    names = "class_id int, class_label string, precision double, recall double, f1 double, support long"
+    classes = read("per_class_report", names).select(F.lit("classes").alias("file"), F.col("class_label").alias("name"), F.col("f1").alias("value"))
+    audit = "text string, true_label_id int, true_label string, pred_label_id int, pred_label string, prob_NEG double, prob_POS double, prob_NEU double"
+    counts = read("test_predictions", audit).groupBy(F.concat_ws(">", "true_label", "pred_label").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return rounded_row(overall.unionByName(classes).unionByName(counts.select(F.lit("predictions").alias("file"), "name", "value")))
+
 @query
 def head_introspection(spark: SparkSession, sf: str) -> DataFrame:
     rows = heads.score_vectors(split_embeddings(spark, sf), "embedding", dense_head(spark, sf))
@@ -829,4 +873,11 @@ def vector_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def top_terms(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables.spread(split_texts(spark, sf), "id")
+    return rounded_row(introspect.text_top_terms(rows, "id", "text", train_vocabulary(spark, sf), PROFILE))
+
+
+@query
+def top_terms_any_size(spark: SparkSession, sf: str) -> DataFrame:
+    """``top_terms`` from the long table, as a vocabulary past the driver's bound needs."""
     return rounded_row(introspect.top_terms(_weights(spark, sf, split_texts(spark, sf)), "id"))

@@ -194,6 +194,18 @@ def test_binomial_draws(spark):
         assert abs(k.mean() - n * p) < 4 * spread / math.sqrt(4000) and 0.95 < k.std() / spread < 1.05 and k.min() >= 0 and k.max() <= n
 
 
+def test_metrics_do_not_change_by_a_bit(spark):
+    """However the rows are dealt and ordered, and however many cells and classes a task holds."""
+    table, *_ = random_scored(spark)
+    table = table.crossJoin(spark.range(40).select(F.col("id").alias("copy"))).withColumn("probs", F.transform("probs", lambda p: p * 0.999 + 0.001 * F.pow(F.lit(0.7), F.col("copy")) / 4))
+    seen = set()
+    for dealt in (table.repartition(1), table.repartition(7, "copy"), table.orderBy(F.desc("copy")).repartition(13)):
+        cells = metrics.metric_cells(dealt)
+        rows = [*metrics.metric_row(cells).collect(), *metrics.calibration_error(cells).collect(), *metrics.log_loss(cells).collect(), *metrics.reliability(cells).orderBy("bin").collect()]
+        seen.add(tuple(tuple(x.hex() if isinstance(x, float) else x for x in r) for r in rows))
+    assert len(seen) == 1
+
+
 def test_resamples_have_all_draws(spark):
     table, y, _, _ = random_scored(spark)
     cells = metrics.confusion_cells(table)

@@ -59,6 +59,21 @@ def test_vector_forms_agree(spark, labelled):
         assert np.linalg.norm(v.values) == pytest.approx(1)
 
 
+def test_vectors_are_read_as_they_were_written(spark):
+    """Every double to the bit, empty vectors and extra columns too, and no text form of a vector in the plan."""
+    values = [[0.1, 1 / 3, 5e-324], [], [-0.0, 1.7976931348623157e308]]
+    rows = spark.createDataFrame([(i, list(range(1, 2 * len(v), 2)), v, "x") for i, v in enumerate(values)], "id long, i array<int>, v array<double>, type string")
+    got = features.stored_vectors(rows, "features", 9, F.col("i"), F.col("v"))
+    assert got.columns == ["id", "i", "v", "type", "features"]
+    for r in got.collect():
+        assert r["features"].size == 9 and list(r["features"].indices) == r["i"] and [x.hex() for x in r["features"].values] == [x.hex() for x in values[r["id"]]]
+    df = spark.createDataFrame(DOCS, "id long, text string")
+    vocab = features.fit_vocabulary(df, "text", "generic")
+    for at in ({}, {"driver_bytes": 0}):
+        plan = features.tfidf_vectors(df, "text", "generic", vocab, **at)._jdf.queryExecution().toString()
+        assert "to_json" not in plan and "from_json" not in plan
+
+
 def test_large_tables_join_the_same(spark, labelled, monkeypatch):
     """The joins for tables too large to broadcast, hot terms apart, give the same rows."""
     train = labelled.filter("split = 'train'")
@@ -111,7 +126,7 @@ def test_bayes_matches_mllib(spark, labelled):
     model = textmodel.fit_naive_bayes(train, "id", "text", "label", vocab, "generic")
     known, _ = features.driver_terms(vocab, spark)
     counted = features.with_count_arrays(labelled, "text", "generic", known)
-    counted = counted.withColumn("features", features.as_vector(F.lit(len(known)), F.col("_idx"), F.col("_tf")))
+    counted = features.stored_vectors(counted, "features", len(known), F.col("_idx"), F.col("_tf"))
     fitted = NaiveBayes(smoothing=1.0, modelType="multinomial").fit(counted.filter("split = 'train'").select("label", "features"))
     theirs = fitted.transform(counted).select("id", vector_to_array("probability").alias("p"))
     ours = textmodel.score_texts(labelled, "text", model).join(theirs, "id").collect()
@@ -259,7 +274,7 @@ def test_texts_are_shuffled_once(spark, labelled):
     counts = features.term_counts(rows, "id", "text", "generic")
     assert exchanges(counts) == 1
     assert exchanges(features.tfidf_long(counts, "id", vocab)) == 1
-    assert exchanges(features.vectors_from_long(features.tfidf_long(counts, "id", vocab), "id", vocab.n_terms)) == 1
+    assert exchanges(features.packed_weights(features.tfidf_long(counts, "id", vocab), "id")) == 1
     assert exchanges(textmodel.term_logits(rows, "id", "text", model)) == 1
     assert exchanges(introspect.top_terms(features.tfidf_long(counts, "id", vocab), "id")) == 1
 
