@@ -32,7 +32,7 @@ STEPS = 8  # blocks that the weights are learned on, one after the other
 RATE, HOLD = 0.7, 20.0  # of a step, and what holds weights near where they start
 UNKNOWN = -128
 SCALE = 12.0  # steps of a state in one unit of log odds
-BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 18
+BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 18
 PART_BYTES = 16 << 20
 RUN_PIECE = 1 << 16
 
@@ -61,12 +61,17 @@ def canonical(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def byte_runs(data: np.ndarray, bounds: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """The runs of the bytes from ``low`` to ``high``, and their texts. Before a text stand ends."""
-    place = np.arange(low, high)
-    text = np.searchsorted(bounds, place, "right") - 1
-    inside = place - bounds[text]
-    out = data[low:high].astype(np.int64)
+    first, last = (int(np.searchsorted(bounds, x, "right")) - 1 for x in (low, high - 1))
+    cuts = np.clip(bounds[first : last + 2], low, high)
+    text = np.repeat(np.arange(first, last + 1), np.diff(cuts))
+    inside = np.arange(low, high) - bounds[text]
+    near = np.full(high - low + ORDERS, END, np.uint8)  # with the bytes before the piece
+    begin = max(0, low - ORDERS)
+    near[ORDERS - (low - begin) :] = data[begin:high]
+    out = near[ORDERS:].astype(np.int64)
     for j in range(1, ORDERS + 1):
-        before = np.where(inside >= j, data[np.maximum(place - j, 0)], END).astype(np.int64)
+        before = near[ORDERS - j : len(near) - j].astype(np.int64)
+        before[inside < j] = END
         out |= before << 8 * (ORDERS + 1 - j)
     return out, text
 
@@ -374,6 +379,13 @@ _SCORED = pa.schema([
 ])
 
 
+def _union(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of ascending parts, merged two by two."""
+    while len(parts) > 1:
+        parts = [runs(np.sort(np.concatenate(parts[i : i + 2]), kind="stable"))[0] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else np.zeros(0, np.int64)
+
+
 def _scored(buckets: int):
     """A block's texts, from the logs of its runs and words. In pieces, so that a long text needs no more than a short one."""
 
@@ -391,12 +403,22 @@ def _scored(buckets: int):
             out[order] = np.concatenate([np.zeros(0, kind), *[np.frombuffer(parts[b], kind) for b in np.unique(bucket).tolist()]])
             return out
 
-        keys = _distinct(_pieces(data, bounds, np.zeros(n, np.int8)))[0]
-        values = logs_of(keys, _run_bucket(keys, buckets), np.float32)
-        score = np.zeros(n)
+        held = []
         for at in range(0, len(data), PIECE_BYTES):
             own, text = byte_runs(data, bounds, at, min(at + PIECE_BYTES, len(data)))
-            score += np.bincount(text, values[np.searchsorted(keys, own)], n)
+            order = np.argsort(own, kind="stable")
+            distinct, size = runs(own[order])
+            number = np.empty(len(own), np.uint32)
+            number[order] = np.repeat(np.arange(len(distinct), dtype=np.uint32), size)
+            held.append((distinct, number, int(text[0]), np.diff(np.searchsorted(text, np.arange(text[0], text[-1] + 2)))))
+        keys = _union([d for d, *_ in held])
+        values = logs_of(keys, _run_bucket(keys, buckets), np.float32)
+        score = np.zeros(n)
+        for distinct, number, first, sizes in held:
+            each = values[np.searchsorted(keys, distinct)].astype(float)[number]
+            upto = np.concatenate(([0.0], np.cumsum(each)))
+            ends = np.cumsum(sizes)
+            score[first : first + len(sizes)] += upto[ends] - upto[ends - sizes]
         starts, ends, text = _word_spans(data, bounds)
         hashes = span_hashes(data, starts, ends).view(np.int64)
         keys, _ = runs(np.sort(hashes))
