@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from classgauge.llm.packing import packed, unpacked
 from classgauge.llm.sizing import block_names, parts_for
 from classgauge.llm.words import LOWER, distinct_spans, owners, runs, span_hashes, text_chunks
-from classgauge.session import written
+from classgauge.session import input_bytes, written
 
 EXAMPLES = 8_000  # distinct labelled texts in the index, at most: the first by hash of the text
 NEIGHBOURS = 16
@@ -26,7 +26,8 @@ BLOCK = 64  # examples of a block of the index
 COMMON = 0.05  # a term in more than this share of the examples is a column of the dense part
 TELLING = 30.0  # likelihood ratio at which a term has a quarter of the weight that the labels can give it
 FLOOR = 0.02  # weight of a term that tells nothing, beside 1 for one that tells all
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+LABEL_BYTES = 32 << 20  # of label files that are broadcast
 PART_BYTES = 16 << 20
 QUERIES, ENTRIES = 256, 1 << 16  # texts, and their terms, of one search
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -386,7 +387,8 @@ def toxicity_scores(
     each comes back, so a term of every text costs a row per block.
     """
     said = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("row")).agg(F.max(label_col).cast("long").alias("label"))
-    said = written(said, "labels")  # its size is known then, so that a small one is sent to the texts and these don't move
+    said = written(said, "labels")
+    said = F.broadcast(said) if input_bytes(said) <= LABEL_BYTES else said  # so that the texts don't move
     rows = docs.select(F.col(id_col).cast("long").alias("row"), learn.alias("learn_"), F.col(text_col).cast("string").alias("text"))
     texts = rows.join(said, "row", "left").select("row", F.when(F.col("learn_") & F.col("label").isin(0, 1), F.col("label")).alias("label"), "text")
     held = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}  # three rows at most
