@@ -60,6 +60,8 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int,
     cold = counted.where(~is_hot).select(*[F.col(c).alias(f"{c}_on") for c in on], F.struct(*values).alias("cold_"))
     marked = rows.join(F.broadcast(hot), on, "left")
     away = F.col("hot_").isNotNull()
+    for c in on:  # a null key has no partner, and all of them would meet in one task
+        away = away | F.col(c).isNull()
     keys = [F.when(away, F.xxhash64(*spread)).otherwise(F.col(on[0])), F.when(away, None).otherwise(F.col(on[1])), *map(F.col, on[2:])]
     marked = marked.withColumns({f"{c}_at": k for c, k in zip(on, keys, strict=True)})
     met = marked.join(cold, [F.col(f"{c}_at") == F.col(f"{c}_on") for c in on], "left")

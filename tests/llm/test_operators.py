@@ -514,3 +514,26 @@ def test_template_leaks(spark, docs, empty):
     assert sorted((r.doc_id or 0) for r in without_leaks(table, bench).collect()) == [4, 5, 6]
     assert without_leaks(docs, bench).count() == len(TEXTS) and without_leaks(empty, bench).count() == 0
     assert without_leaks(docs, bench.where("false")).count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("share", [1, 4, 1000])
+def test_hot_keys_are_joined_the_same(spark, monkeypatch, share):
+    """With no key hot, a few and all: the rows of a plain join, null keys and rows without a partner too."""
+    from classgauge.llm import sizing
+
+    monkeypatch.setattr(sizing, "HOT_SHARE", share)
+    rows = [(i, None if i % 50 == 0 else 7 if i % 3 == 0 else i % 20, i % 2, i) for i in range(300)]
+    table = spark.createDataFrame(rows, "i long, a long, b int, v int")
+    counted = table.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("v").alias("first"), F.count("*").alias("n_")).where("n_ > 9 AND a <> 3")
+    held = {(r["a"], r["b"]): r["first"] for r in counted.collect()}
+    got = sizing.join_counted(table, counted, ["a", "b"], len(rows), ["i"])
+    assert got.columns == ["i", "a", "b", "v", "first"]
+    assert by_key(got.collect()) == by_key((*r, held.get((r[1], r[2]))) for r in rows)
+
+
+def test_line_dedup_does_not_depend_on_hot_lines(spark, docs, monkeypatch):
+    from classgauge.llm import sizing
+
+    one = by_key(dedup_lines(docs.select("doc_id", "text"), 5).collect())
+    monkeypatch.setattr(sizing, "HOT_SHARE", 2)
+    assert by_key(dedup_lines(docs.select("doc_id", "text"), 5).collect()) == one and any(r[2] for r in one)
