@@ -15,6 +15,7 @@ from classgauge.session import written
 SYMBOLS, ORDER = 48, 4  # the model has at most SYMBOLS ** ORDER entries, whatever the corpus
 LEAST_SPREAD = 0.04  # bits between the quartiles of a language, at least: about what ordinary prose has
 SCALE, DIGIT = 1 << 32, 1 << 10  # bits in fixed point, and how much of them is told apart at a time
+CHUNK = 1 << 20  # bytes of texts looked at together; some 100 times as much is held for them
 SIGNS = "#*$%&|<>"  # counted as n_symbols
 
 _CLASS = np.full(256, 34, np.uint8)  # other ASCII signs
@@ -58,7 +59,7 @@ def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for texts in text_chunks(batch.column(0)):
+        for texts in text_chunks(batch.column(0), CHUNK):
             found = np.bincount(grams(texts)[0], minlength=len(total))
             found[: len(total)] += total
             total = found
@@ -160,7 +161,7 @@ def base_counts(texts: Texts) -> list[np.ndarray]:
 def _judged(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_chunks(batch.column(batch.num_columns - 1)):
+            for texts in text_chunks(batch.column(batch.num_columns - 1), CHUNK):
                 keys, firsts = grams(texts)
                 distinct, number = np.unique(keys, return_inverse=True)
                 total = per_text(model.value.log10(distinct)[number], firsts)
