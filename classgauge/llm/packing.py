@@ -24,6 +24,27 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(blob), np.int64))
 
 
+def packed_planes(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, their lowest bytes first, then the next; small ones in any order take few bytes."""
+    return zlib.compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_planes(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<i4").ravel().astype(np.int64)
+
+
+def packed_levels(values: np.ndarray) -> bytes:
+    """Numbers of which few are distinct, exactly: those, and which of them each is."""
+    levels, at = np.unique(values, return_inverse=True)
+    return np.int64(len(levels)).tobytes() + levels.astype(np.float64).tobytes() + packed_planes(at)
+
+
+def unpacked_levels(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return np.frombuffer(blob, np.float64, n, 8)[unpacked_planes(blob[8 + 8 * n :])]
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     """Ascending 64-bit keys, each without the leading bytes that it shares with the one before."""
     n = len(keys)

@@ -15,21 +15,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classgauge.llm.packing import packed, unpacked
+from classgauge.llm.packing import packed, packed_keys, packed_levels, packed_planes, unpacked, unpacked_keys, unpacked_levels, unpacked_planes
 from classgauge.llm.sizing import block_names, parts_for
 from classgauge.llm.words import LOWER, distinct_spans, owners, runs, span_hashes, text_chunks
 from classgauge.session import input_bytes, written
 
 EXAMPLES = 8_000  # distinct labelled texts in the index, at most: the first by hash of the text
 NEIGHBOURS = 16
-BLOCK = 64  # examples of a block of the index
+BLOCK = 512  # examples of a block of the index; smaller ones rule out hardly more and cost more bounds
 COMMON = 0.05  # a term in more than this share of the examples is a column of the dense part
 TELLING = 30.0  # likelihood ratio at which a term has a quarter of the weight that the labels can give it
 FLOOR = 0.02  # weight of a term that tells nothing, beside 1 for one that tells all
 BLOCK_BYTES = 8 << 20
 LABEL_BYTES = 32 << 20  # of label files that are broadcast
 PART_BYTES = 16 << 20
-QUERIES, ENTRIES = 256, 1 << 16  # texts, and their terms, of one search
+QUERIES, ENTRIES = 128, 1 << 15  # texts, and their terms, of one search
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _POSTED = pa.schema([
@@ -37,7 +37,8 @@ _POSTED = pa.schema([
     ("ids", pa.list_(pa.int64())), ("firsts", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()),
 ])
 _POSTED_DDL = "bucket int, block string, terms binary, held binary, ids array<long>, firsts binary, places binary, counts binary"
-_WEIGHED = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("terms", pa.binary()), ("weights", pa.binary())])
+_WEIGHED = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("known", pa.binary()), ("spots", pa.binary()), ("weights", pa.binary())])
+_WEIGHED_DDL = "bucket int, block string, known binary, spots binary, weights binary"
 _OUT = pa.schema([
     ("row", pa.int64()), ("score", pa.float64()), ("vote", pa.float64()), ("neighbours", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())),
 ])
@@ -81,9 +82,9 @@ def _posted(buckets: int):
         cuts = np.searchsorted(dealt, np.arange(buckets + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[b], cuts[b + 1])
-            rows.append((b, name, packed(hashes[own].view(np.int64)), packed(held[own].T.ravel()), None, None, None, None))
+            rows.append((b, name, packed_keys(hashes[own].view(np.int64)), packed_planes(held[own].T.ravel()), None, None, None, None))
         firsts = np.searchsorted(doc, np.arange(len(ids) + 1))
-        rows.append((None, name, packed(hashes.view(np.int64)), None, ids, packed(firsts), packed(place), packed(counts)))
+        rows.append((None, name, None, None, ids, packed(firsts), packed_planes(np.diff(place, prepend=0)), packed_planes(counts)))
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _POSTED.types, strict=True)], schema=_POSTED)
 
     return run
@@ -108,7 +109,8 @@ def term_weights(held: np.ndarray, n: int, n_clean: int, n_toxic: int) -> np.nda
 
 
 def _weighed(asked, n: int, n_clean: int, n_toxic: int):
-    """A bucket's terms counted over all blocks; their factors go back to each block, and those asked for go out under no block."""
+    """A bucket's terms counted over all blocks. Each block gets the factors of its terms, which of them are asked for, and the places of
+    those among the asked; the factors of the asked also go out under no block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, terms, held, bucket = [], [], [], None
@@ -116,26 +118,41 @@ def _weighed(asked, n: int, n_clean: int, n_toxic: int):
             for row in batch.to_pylist():
                 bucket = row["bucket"]
                 names.append(row["block"])
-                terms.append(unpacked(row["terms"]).view(np.uint64))
-                held.append(unpacked(row["held"]).reshape(3, -1).T)
+                terms.append(unpacked_keys(row["terms"]).view(np.uint64))
+                held.append(unpacked_planes(row["held"]).reshape(3, -1).T)
         if bucket is None:
             return
         known, place = np.unique(np.concatenate(terms), return_inverse=True)
         total = np.zeros((len(known), 3), np.int64)
         np.add.at(total, place, np.concatenate(held))
         weights = term_weights(total, n, n_clean, n_toxic)
+        index = np.frombuffer(asked.value, np.uint64)
+        spots = np.searchsorted(index, known)
+        own = np.zeros(len(known), bool)
+        if len(index):
+            own = index[np.minimum(spots, len(index) - 1)] == known
         ends = np.cumsum([len(t) for t in terms])
         for name, low, high in zip(names, np.concatenate(([0], ends[:-1])), ends, strict=True):
-            yield out(bucket, name, b"", weights[place[low:high]])
-        own = np.isin(known, np.frombuffer(asked.value, np.uint64))
-        yield out(bucket, None, known[own].tobytes(), weights[own])
+            part = place[low:high]
+            yield out(bucket, name, own[part], spots[part], weights[part])
+        yield out(bucket, None, own[own], spots[own], weights[own])
 
-    def out(bucket: int, name: str | None, terms: bytes, weights: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bucket, name, terms, weights.tobytes()), _WEIGHED.types, strict=True)], schema=_WEIGHED)
+    def out(bucket: int, name: str | None, own: np.ndarray, spots: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+        row = bucket, name, zlib.compress(np.packbits(own).tobytes(), 1), packed_planes(np.diff(spots[own], prepend=0)), packed_levels(weights)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _WEIGHED.types, strict=True)], schema=_WEIGHED)
 
     return run
 
 
+def _factors(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of the terms of a row of ``_weighed`` the factors, and the places among the asked, -1 for none."""
+    weights = unpacked_levels(row["weights"])
+    places = np.full(len(weights), -1)
+    own = np.unpackbits(np.frombuffer(zlib.decompress(row["known"]), np.uint8), count=len(weights)).astype(bool)
+    places[own] = np.cumsum(unpacked_planes(row["spots"]))
+    return weights, places
+
+
 @dataclass
 class Vectors:
     """Unit vectors of some texts, one after the other: places of terms in the index, weights, and where each text starts."""
@@ -183,13 +200,6 @@ class BlockMaxIndex:
         self.block_of = cells % max(1, self.blocks)
         self.term_cells = np.searchsorted(cells, np.arange(len(terms) + 1) * max(1, self.blocks))
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """Where each hash is among the index's terms, -1 for none."""
-        if not len(self.terms):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
-
     def search(self, texts: Vectors, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the k examples with the highest cosine above 0, ties by place: rows (text, example, cosine), in order. Exact.
 
@@ -277,19 +287,20 @@ def _unit(doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
 
 
 def _scored(examples, prior: float, levels: np.ndarray, values: np.ndarray):
-    """A block's texts, from its postings and the factors of its terms."""
+    """A block's texts, from its postings and the factors and places of its terms."""
 
     def run(blocks: pa.Table, factors: pa.Table) -> pa.Table:
         if not len(blocks):
             return _OUT.empty_table()
         m = ToxicityModel(example_index(examples.value)[0], prior, levels, values)
         row = blocks.to_pylist()[0]
-        n, hashes = len(row["ids"]), unpacked(row["terms"]).view(np.uint64)
-        firsts, place, counts = (unpacked(row[c]) for c in ("firsts", "places", "counts"))
-        factor = np.concatenate([np.frombuffer(r["weights"]) for r in sorted(factors.to_pylist(), key=lambda r: r["bucket"])] or [np.zeros(0)])
+        n, firsts = len(row["ids"]), unpacked(row["firsts"])
+        place, counts = np.cumsum(unpacked_planes(row["places"])), unpacked_planes(row["counts"])
+        found = [_factors(r) for r in sorted(factors.to_pylist(), key=lambda r: r["bucket"])] or [(np.zeros(0), np.zeros(0, np.int64))]
+        factor, spots = (np.concatenate(x) for x in zip(*found, strict=True))
         doc = owners(firsts)
         weight = _unit(doc, (1 + np.log(counts)) * factor[place], n)
-        term = m.index.places(hashes)[place]
+        term = spots[place]
         own = term >= 0
         upto = np.concatenate(([0], np.cumsum(own)))
         texts = Vectors(term[own], weight[own], upto[firsts])
@@ -401,19 +412,20 @@ def toxicity_scores(
     known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["terms"], np.uint64) for r in chosen]]))
     asked = spark.sparkContext.broadcast(known.tobytes())
     dealt = posted.where("bucket IS NOT NULL").select("bucket", "block", "terms", "held").repartition(buckets, "bucket")
-    factors = written(dealt.groupBy("bucket").applyInArrow(_weighed(asked, n, n_clean, n_toxic), "bucket int, block string, terms binary, weights binary"), "factors")
+    factors = written(dealt.groupBy("bucket").applyInArrow(_weighed(asked, n, n_clean, n_toxic), _WEIGHED_DDL), "factors")
     weights = np.zeros(len(known))
-    for r in factors.where("block IS NULL").select("terms", "weights").toArrow().to_pylist():  # the examples' terms, each once
-        weights[np.searchsorted(known, np.frombuffer(r["terms"], np.uint64))] = np.frombuffer(r["weights"])
+    for r in factors.where("block IS NULL").select("known", "spots", "weights").toArrow().to_pylist():  # the examples' terms, each once
+        factor, places = _factors(r)
+        weights[places] = factor
     prior = n_toxic / (n_clean + n_toxic) if n_clean + n_toxic else 0.5
     shared = spark.sparkContext.broadcast(packed_examples(chosen, known, weights))
     levels, values = np.zeros(1), np.full(1, prior)
     if chosen:
-        ranges = [(low, min(low + QUERIES, len(chosen))) for low in range(0, len(chosen), QUERIES)]
+        ranges = [(low, min(low + 2 * QUERIES, len(chosen))) for low in range(0, len(chosen), 2 * QUERIES)]
         parts = spark.createDataFrame(ranges, "low long, high long").repartition(len(ranges))
         votes = parts.mapInArrow(_left_out(shared, prior), "example long, vote double, label double").toArrow().sort_by("example")
         levels, values = calibration(votes["vote"].to_numpy(), votes["label"].to_numpy(), prior)
-    blocks = posted.where("bucket IS NULL").select(F.col("block").alias("own"), "terms", "ids", "firsts", "places", "counts")
-    back = factors.where("block IS NOT NULL").select("block", "bucket", "weights")
+    blocks = posted.where("bucket IS NULL").select(F.col("block").alias("own"), "ids", "firsts", "places", "counts")
+    back = factors.where("block IS NOT NULL").select("block", "bucket", "known", "spots", "weights")
     scored = blocks.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_scored(shared, prior, levels, values), _OUT_DDL)
     return scored.select(F.col("row").alias("doc_id"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "vote", "neighbours", "cosines")

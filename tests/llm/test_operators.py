@@ -396,6 +396,35 @@ def test_toxicity_learns_and_is_blind_to_ids(spark, empty):
     assert {r.score for r in toxicity_scores(docs, labels.where("false"), F.lit(True)).collect()} == {0.5}
 
 
+def test_toxicity_terms_travel_once_and_factors_in_few_bytes(monkeypatch):
+    """A block's row has no terms of its own, and what comes back for a term takes about a byte, not the eight of a double."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdeionrst", k=8)) for _ in range(60)) for _ in range(400)] + ["", "a a a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([i % 2 for i in range(len(texts))]), pa.array(texts)], ["row", "label", "text"])
+    monkeypatch.setattr(toxicity, "block_names", lambda: iter(["0-0"]))
+    rows = pa.Table.from_batches(list(toxicity._posted(3)([batch]))).to_pylist()
+    (block,) = [x for x in rows if x["bucket"] is None]
+    dealt = [x for x in rows if x["bucket"] is not None]
+    hashes, doc, place, counts = toxicity.text_terms(next(W.text_chunks(pa.array(texts))))
+    assert block["terms"] is None and sorted(np.concatenate([toxicity.unpacked_keys(x["terms"]).view(np.uint64) for x in dealt])) == sorted(hashes)
+    asked = np.unique(hashes[::7])
+    shared = type("Shared", (), {"value": asked.tobytes()})
+    back = []
+    for x in dealt:
+        out = pa.Table.from_batches(list(toxicity._weighed(shared, 402, 201, 201)(iter(pa.Table.from_pylist([x]).to_batches())))).to_pylist()
+        weights, places = toxicity._factors(out[0])
+        own = toxicity.unpacked_keys(x["terms"]).view(np.uint64)
+        assert all(asked[p] == h if p >= 0 else h not in asked for h, p in zip(own, places))
+        held = toxicity.unpacked_planes(x["held"]).reshape(3, -1).T
+        assert (weights == toxicity.term_weights(held, 402, 201, 201)).all()
+        alone, spots = toxicity._factors(out[1])
+        assert (alone == weights[places >= 0]).all() and (spots == places[places >= 0]).all()
+        back.append(sum(len(out[0][c]) for c in ("known", "spots", "weights")))
+    assert sum(back) < 2 * len(hashes)
+    held = np.cumsum(toxicity.unpacked_planes(block["places"])), toxicity.unpacked_planes(block["counts"])
+    assert len(held[0]) == len(place) and sorted(held[1]) == sorted(counts)
+
+
 def test_a_third_of_copies_keeps_its_words(spark):
     """A group of copies that is over a third of all rows is found by its own, very common words."""
     copied = "grim spiteful words that all of these many copies have"
