@@ -79,3 +79,24 @@ def test_tasks_grow_with_the_input(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     assert task_parts(df, 1 << 10) > 8 == task_parts(df)
+
+
+def test_rows_past_the_driver_bound_are_scored_in_place(spark, monkeypatch, tmp_path):
+    """Rows keep their columns, nulls and copies, in blocks of any size; texts are not dealt by hash, counted or joined back."""
+    from classgauge.operators import termblocks
+
+    more = spark.sql("SELECT id, concat_ws(' ', transform(sequence(0, int(id % 40)), i -> char(97 + (i * id) % 5))) text, int(id % 3) label FROM range(300)")
+    table(spark).unionByName(more).selectExpr("*", "array(id, null) many", "timestamp_seconds(id) at", "if(id % 2 = 0, struct(text as t), null) part").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    vocab = features.fit_vocabulary(df, "text", "generic")
+    model = textmodel.fit_centroid(df, "id", "text", "label", vocab, "generic")
+    small = flat(textmodel.score_texts(df, "text", model))
+    for n_terms, n_rows in ((termblocks.BLOCK_TERMS, termblocks.BLOCK_ROWS), (7, 1000), (1000, 3)):
+        monkeypatch.setattr(termblocks, "BLOCK_TERMS", n_terms)
+        monkeypatch.setattr(termblocks, "BLOCK_ROWS", n_rows)
+        assert flat(textmodel.score_texts(df, "text", model, driver_bytes=0)) == small
+    plan = textmodel.score_texts(df, "text", model, driver_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    batch = [b for b in df.selectExpr("id", "split(text, ' ') terms").toArrow().to_batches()]
+    blocks = list(termblocks._cut(iter(batch)))
+    assert sum(map(len, blocks)) == df.count() and max(map(len, blocks)) <= 3
