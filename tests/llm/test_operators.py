@@ -19,7 +19,7 @@ from classgauge.llm.lexicon import Lexicon, compile_lexicon
 from classgauge.llm.linedup import dedup_lines
 from classgauge.llm import mixing
 from classgauge.llm.mixing import lm_scores
-from classgauge.llm.perplexity import ORDER, SYMBOLS, KneserNey, _quartiles, grams, quality_verdicts
+from classgauge.llm.perplexity import ORDER, SYMBOLS, KneserNey, _quartiles, code_points, grams, quality_verdicts, symbols
 from classgauge.llm.shards import _repairs, balanced_shards
 from classgauge.llm.templates import template_leaks, without_leaks
 from classgauge.llm.tokencount import token_counts
@@ -211,6 +211,78 @@ def test_kneser_ney_adds_up_to_one():
         assert np.sum(10 ** model.log10(context * SYMBOLS + np.arange(SYMBOLS))) == pytest.approx(1, abs=1e-4)
 
 
+def kneser_ney(corpus, order, first):
+    """Log2 probabilities by interpolated modified Kneser-Ney, from dictionaries, of tuples of any symbols; ``first`` is the uniform one below all orders."""
+    counts = [collections.Counter(g for text in corpus for g in text)]
+    for _ in range(order - 1):
+        counts.append(collections.Counter(g[1:] for g in counts[-1]))
+    cuts, contexts = [], []
+    for c in counts:
+        t = [sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]
+        y = t[0] / max(1, t[0] + 2 * t[1])
+        cuts.append([0, *(min(k, max(0.1, k - (k + 1) * y * t[k] / max(1, t[k - 1]))) for k in (1, 2, 3))])
+        contexts.append(collections.defaultdict(list))
+        for g, n in c.items():
+            contexts[-1][g[:-1]].append(n)
+
+    def p(g, at=0):
+        if at == order:
+            return first
+        sizes = contexts[at].get(g[:-1])
+        if not sizes:
+            return p(g[1:], at + 1)
+        n = counts[at][g]
+        return (n - cuts[at][min(n, 3)] + sum(cuts[at][min(k, 3)] for k in sizes) * p(g[1:], at + 1)) / sum(sizes)
+
+    return lambda g: math.log2(p(g))
+
+
+def test_perplexity_against_dictionaries(spark):
+    """Every text is judged by the texts of the other half, all code points told apart."""
+    texts = sorted({t for t in TEXTS if t} | {sentence(60, s) for s in range(100, 130)} | {"Слово за словом " * 9, "слова Слово за", "次の言葉は " * 7})
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string").repartition(4)
+    keys = {r.doc_id: r.h & 1 for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    code = lambda t: [tuple(("\0" * (ORDER - 1) + t)[i : i + ORDER]) for i in range(len(t))]
+    models = [kneser_ney([code(t) for i, t in enumerate([*texts, texts[0]]) if keys[i] != half], ORDER, 1 / SYMBOLS) for half in (0, 1)]
+    for r in quality_verdicts(docs, lang_col=None).collect():
+        text = [*texts, texts[0]][r.doc_id]
+        each = [-models[keys[r.doc_id]](g) for g in code(text)]
+        begins = {m.start() for m in WORD.finditer(text)}
+        steps = [x for i, x in enumerate(each) if i in begins]
+        assert r.char_bits == pytest.approx(sum(each) / len(each), abs=0.02)
+        assert r.step_bits == pytest.approx(sum(steps) / max(1, len(steps)), abs=0.02)
+        assert r.bits == r.char_bits + r.step_bits
+
+
+def test_code_points_have_their_own_symbols():
+    points = [0, 9, 65, 97, 959, 960, 961, 1983, 1984, 0x3042, 0xD7FF, 0xE000, 63423, 63424, 63425, 0x1F600, 0x10FFFF]
+    (texts,) = W.text_chunks(pa.array([chr(p) for p in points]))
+    got, firsts, size = symbols(*code_points(texts))
+    each = [tuple(got[a + ORDER - 1 : b].tolist()) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+    assert len(set(each)) == len(points) and [len(x) for x in each] == size.tolist() == [1] * 5 + [2] * 8 + [3] * 4
+    assert all(0 < x[0] < SYMBOLS and min(x) >= 0 and max(x) < SYMBOLS for x in each)
+    heads = {n: {x[0] for x in each if len(x) == n} for n in (1, 2, 3)}
+    assert not heads[1] & heads[2] and not heads[2] & heads[3] and not heads[1] & heads[3]
+    broken = W.Texts(np.frombuffer(b"a\xffb\xd0", np.uint8), np.array([0, 2, 4]), 0)
+    assert code_points(broken)[0].tolist() == [97, 0xDCFF, 98, 0xDCD0] and code_points(broken)[1].tolist() == [0, 2, 4]
+
+
+def test_texts_in_random_order_are_rejected(spark):
+    def prose(seed):
+        r = random.Random(seed)
+        return " ".join(" ".join(r.choices(VOCAB[15:], k=r.randint(4, 9))).capitalize() + "." for _ in range(r.randint(20, 60)))
+
+    mixed = []
+    for seed in range(20):
+        words = prose(1000 + seed).split()
+        random.Random(seed).shuffle(words)
+        mixed.append((1000 + seed, " ".join(words), "en"))
+    rows = [(seed, prose(seed), "en") for seed in range(400)] + mixed
+    got = [(r.doc_id, r.kept) for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_repeat_percent=100).collect()]
+    assert sum(kept for i, kept in got if i < 400) >= 380
+    assert not any(kept for i, kept in got if i >= 1000)
+
+
 def test_lm_scores(docs, empty):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     got = lm_scores(docs, held).collect()
