@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classgauge.operators.features import fit_vocabulary
+from classgauge.operators.features import DRIVER_BYTES, fit_vocabulary
 from classgauge.operators.logreg import search_and_fit
 from classgauge.operators.metrics import confusion_matrix, metric_cells, reliability
 from classgauge.operators.roc import auc_per_class, macro_auc_interpolated, roc_points, running_counts
@@ -95,10 +95,10 @@ def write_evaluation(scored: DataFrame, out: str, text: str = "text", with_probs
     write_rows(audit_table(scored, text, with_probs), f"{out}/test_predictions")
 
 
-def score_lines(df: DataFrame, key: str, text: str, model: TextModel) -> DataFrame:
-    """Score every non-blank line of a text: (key, line_no, line, Pred_Label, Prob_..)."""
-    lines = lines_to_rows(df, key, text).withColumn("_line", F.concat_ws(":", key, "line_no"))
-    return with_prediction_columns(score_texts(lines, "line", model)).drop("_line")
+def score_lines(df: DataFrame, key: str, text: str, model: TextModel, with_line: bool = True, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
+    """Score every non-blank line of a text: (key, line_no, line, Pred_Label, Prob_..), or without the line."""
+    lines = lines_to_rows(df, key, text)
+    return with_prediction_columns(score_texts(lines, "line", model, driver_bytes, keep=[key, "line_no", *["line"] * with_line]))
 
 
 def score_csv(
