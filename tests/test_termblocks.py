@@ -100,3 +100,58 @@ def test_rows_past_the_driver_bound_are_scored_in_place(spark, monkeypatch, tmp_
     batch = [b for b in df.selectExpr("id", "split(text, ' ') terms").toArrow().to_batches()]
     blocks = list(termblocks._cut(iter(batch)))
     assert sum(map(len, blocks)) == df.count() and max(map(len, blocks)) <= 3
+
+
+def test_vectors_past_the_driver_bound_stay_in_rows(spark, monkeypatch, tmp_path):
+    """Texts are not dealt by hash, counted by Spark or joined back; blocks of any size give the same vectors."""
+    from classgauge.operators import termblocks
+
+    table(spark).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    vocab = features.fit_vocabulary(df, "text", "generic")
+    plain_vectors = lambda **at: flat(features.tfidf_vectors(df, "text", "generic", vocab, **at).select("id", "text", "label", F.unwrap_udt("features")["indices"], F.unwrap_udt("features")["values"]))
+    small = plain_vectors()
+    monkeypatch.setattr(features, "term_counts", None)
+    for n_terms in (termblocks.BLOCK_TERMS, 4):
+        monkeypatch.setattr(termblocks, "BLOCK_TERMS", n_terms)
+        assert plain_vectors(driver_bytes=0) == small and len(small) == len(ROWS)
+    for at in ({}, {"driver_bytes": 0}):
+        assert features.tfidf_vectors(df, "text", "generic", vocab, keep=["label"], **at).columns == ["label", "features"]
+
+
+def test_introspection_past_the_driver_bound_cuts_texts_once(spark, monkeypatch):
+    """Texts under their own keys take one pass; rows of one key still share their terms, and rows without key or text still have no rows."""
+    df = table(spark)
+    vocab = features.fit_vocabulary(df, "text", "generic")
+    once = df.filter("id IS NOT NULL AND id <> 5")
+    for model in (textmodel.fit_centroid(df, "id", "text", "label", vocab, "generic"), textmodel.fit_naive_bayes(df, "id", "text", "label", vocab, "generic")):
+        make = lambda rows, **at: flat(introspect.text_introspection(rows, "id", "text", model, **at))  # noqa: B023, E731
+        logits = {r["id"]: r["logits"] for r in textmodel.term_logits(df.filter("id = 5"), "id", "text", model).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(introspect, "term_logits", None)
+            got = make(once, driver_bytes=0)
+            assert got == make(once.filter("text IS NOT NULL")) and len(got) == 3 * (once.count() - 1)
+        every = make(df, driver_bytes=0)
+        assert [r for r in every if r[0] != "5"] == got
+        again = [r for r in every if r[0] == "5"]
+        assert len(again) == 6 and {r[3] for r in again} == {plain(x) for x in logits[5]}
+
+
+
+def test_lines_are_scored_without_what_is_dropped(spark, monkeypatch):
+    """A caller that doesn't want the lines back gets the same rows without them, and the blocks don't carry them."""
+    from classgauge.operators import termblocks
+    from classgauge.plans import workbench
+
+    rows = [(1, "a b\n\n c "), (1, "a"), (2, None), (None, "b\nzz")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vocab = features.fit_vocabulary(table(spark), "text", "generic")
+    model = textmodel.fit_naive_bayes(table(spark), "id", "text", "label", vocab, "generic")
+    whole = workbench.score_lines(df, "id", "text", model)
+    assert whole.columns[:3] == ["id", "line_no", "line"]
+    seen = []
+    joined = termblocks.joined_rows
+    monkeypatch.setattr(textmodel, "DRIVER_BYTES", 0)
+    monkeypatch.setattr(textmodel, "joined_rows", lambda *a, **k: seen.append(k["keep"]) or joined(*a, **k))
+    few = workbench.score_lines(df, "id", "text", model, with_line=False, driver_bytes=0)
+    assert seen == [["id", "line_no"]] and flat(few) == flat(whole.drop("line")) and few.count() == 5
